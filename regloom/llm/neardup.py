@@ -39,8 +39,8 @@ from regloom.joins import lookup_join
 from regloom.llm.lookalikes import plain_rewriter
 from regloom.session import materialise, prepare
 
-FUNCTIONS, TREES, DEPTH, MIN_DEPTH = 64, 48, 9, 3
-SIMILARITY, TARGET_RECALL = 0.80, 0.99
+FUNCTIONS, TREES, DEPTH, MIN_DEPTH = 64, 48, 8, 3
+SIMILARITY, TARGET_RECALL = 0.80, 0.9995
 #: Classes of one trie node that are paired inside its task.
 NODE_PAIRS = 128
 #: Keys one reducer sorts at a time.
