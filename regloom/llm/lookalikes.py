@@ -119,7 +119,7 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
     """Rewrites: each member that is not the representative of its class, to the representative."""
     out = {}
     for members in lookalike_classes():
-        best = min(members, key=lambda s: (-counts.get(s, 0), len(s), s))
+        best = min(members, key=lambda s: (-counts.get(s, 0), not s.isascii(), len(s), s))
         out.update((m, best) for m in members if m != best)
     return out
 

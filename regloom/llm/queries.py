@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regloom.llm.lookalikes import canonical_forms, lookalike_pairs
 from regloom.llm.neardup import NearDuplicates
+from regloom.llm.scan_noise import repair_scans
 from regloom.llm.sentences import sentences
 from regloom.llm.splitter import split_oversized
 from regloom.llm.tables import clause_items, regulation_items, table
@@ -63,5 +64,28 @@ def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(clause_items(spark, sf_dir))
 
 
+def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clauses = table(spark, sf_dir, "directive_clauses").select(
+        F.lit("directive_clauses").alias("item_table"), F.col("clause_id").alias("item_id"), "doc", F.col("language_from_directive").alias("text")
+    )
+    policies = table(spark, sf_dir, "gap_assessment").select(
+        F.lit("gap_assessment").alias("item_table"), F.col("gap_id").alias("item_id"), F.lit(None).cast("string").alias("doc"), F.col("corresponding_policy_text").alias("text")
+    )
+    return clauses.unionByName(policies)
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "directives").select(F.col("id").alias("doc"), "title")
+    return repair_scans(scan_items(spark, sf_dir), titles)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).filter(F.size("faults") > 0).select("item_table", "item_id")
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).select("item_table", "item_id", "repaired", F.array_join("faults", ",").alias("faults"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_sentences)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_sentences, p6_found, p6_repaired)}
