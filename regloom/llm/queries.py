@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regloom.llm.leakage import leaked_passages
 from regloom.llm.lookalikes import canonical_forms, lookalike_pairs
+from regloom.llm.mixing import mix
 from regloom.llm.neardup import NearDuplicates
+from regloom.llm.quality import judge
 from regloom.llm.scan_noise import repair_scans
 from regloom.llm.sentences import sentences
 from regloom.llm.splitter import split_oversized
@@ -87,5 +90,36 @@ def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repaired(spark, sf_dir).select("item_table", "item_id", "repaired", F.array_join("faults", ",").alias("faults"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_no")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the share of the item's passages in the document and the longest run of words."""
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual token shares of every listed source."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    return judged.filter(F.col("kind").isin("list", "table", "junk")).select("doc_id")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_sentences, p6_found, p6_repaired)}
+    every = (
+        p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_sentences,
+        p6_found, p6_repaired, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_statistics,
+    )
+    return {f.__name__: f for f in every}

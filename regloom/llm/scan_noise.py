@@ -41,11 +41,12 @@ CONFUSIONS = (
 _TOKEN = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"--- Page \d+ ---\Z")
 _NUMBER_LINE = re.compile(
-    r"(?i)(?:(?:page|bladsy|seite|página|стр\.?) \d{1,4}(?: (?:of|van|von|de|из) \d{1,4})?|p a g e +\d{1,4}|p\. ?\d{1,4}|\d{1,4} ?/ ?\d{1,4}|[-–] \d{1,4} [-–]|\[\d{1,4}\]|\d{1,4})\Z"
+    r"(?i)(?:(?:page|bladsy|seite|página|стр\.?) \d{1,4}(?: (?:of|van|von|de|из) \d{1,4})?|p a g e +\d{1,4}|p\. ?\d{1,4}|\d{1,4} ?/ ?\d{1,4}|[-–] \d{1,4} [-–]|\[\d{1,4}\]|\([ivxlc]{1,7}\)|\d{1,4})\Z"
 )
 _HEAD_AFTER = re.compile(r"(?P<head>\S.*\S) \| \d{1,4}\Z")
 _HEAD_BEFORE = re.compile(r"\d{1,4}[ \t]{2,}(?P<head>\S.*)\Z")
 _BROKEN = re.compile(r"(?P<a>[^\W\d_]+)(?P<h>[-‐¬\xad])[^\S\n]*\Z")
+_TORN = re.compile(r"(?<![^\W_])[^\W\d_]+\Z")
 _STRAY = re.compile(r"(?<=\w)[|\\~^·](?=\s|\Z)")
 _ITEM = re.compile(r"[(\[]?(?:[a-z]|[ivx]{1,4}|\d{1,2})[)\]]\s|[-*•–]\s")
 _SOFT = str.maketrans({"\xad": None})
@@ -120,6 +121,17 @@ def _figures_inside(word: str) -> bool:
     return bool(re.search(r"[a-zà-ÿ][0158]|[0158][a-zà-ÿ]{2}", word)) and not re.match(r"\d+(?:st|nd|rd|th|ste|de|er|e|km|m|kg)\Z", word)
 
 
+_CAPITAL = str.maketrans("5081", "SOBI")
+
+
+def _capital_figure(word: str, counts: dict[str, int]) -> bool:
+    """A figure that stands for a letter of a word in capitals."""
+    if len(word) < 5 or not word.isupper() or sum(c.isdigit() for c in word) != 1:
+        return False
+    w = word.translate(_CAPITAL).lower()
+    return w in counts or w.replace("i", "l") in counts
+
+
 def head_key(line: str) -> str:
     """A line as a running head: lower case, letters only, single spaces."""
     return " ".join(re.findall(r"[^\W\d_]+", line.lower()))
@@ -228,6 +240,16 @@ def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: set[str]) ->
             out[prior] = out[prior][: m.start("h")] + glue + line.lstrip()
             del out[prior + 1 :]
             continue
+        torn = _TORN.search(out[prior]) if prior >= 0 and first and first.group(1)[0].islower() else None
+        if torn:
+            a, b = torn.group(), first.group(1)
+            if not (a in vocabulary.solid and b in vocabulary.solid):
+                whole = vocabulary.counts.get(a + b, 0)
+                if whole >= max(MIN_COUNT, RATIO * min(vocabulary.counts.get(a, 0), vocabulary.counts.get(b, 0))) and a + b not in vocabulary.misread:
+                    faults.add("broken word")
+                    out[prior] = out[prior].rstrip() + line.lstrip()
+                    del out[prior + 1 :]
+                    continue
         if prior != len(out) - 1:
             # furniture stood between two pieces: a new paragraph only after the end of a sentence
             ended = prior < 0 or out[prior].rstrip()[-1:] in ".!?:;\"”" or not first or not first.group(1)[0].islower()
@@ -271,7 +293,7 @@ def _words(lines: list[str], vocabulary: Vocabulary, faults: set[str]) -> list[s
                         parts.append(line[at : m.start()] + x)
                         at = m.end()
                         w = x
-                    elif _figures_inside(w):
+                    elif _figures_inside(w) or _capital_figure(w, counts):
                         faults.add("misread characters")
                 before, before_end = w, m.end()
             parts.append(line[at:])
