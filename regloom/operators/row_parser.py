@@ -48,12 +48,10 @@ def header_fields(header_line: Column, delimiter: Column) -> Column:
 
 
 def _tokens(record: Column, delimiter: Column) -> Column:
-    """Raw fields of a well-formed record, quotes included."""
+    """Raw fields of a well-formed record, quotes included. A delimiter is put in front so that no match is empty."""
     d = _escaped(delimiter)
-    pattern = F.concat(
-        F.lit("(?:\\A|"), d, F.lit(')("(?:[^"]++|"")*+"(?='), d, F.lit("|\\z)|(?:(?!"), d, F.lit(')[^"\\r\\n])*+)')
-    )
-    return F.regexp_extract_all(record, pattern, F.lit(1))
+    pattern = F.concat(d, F.lit('("(?:[^"]++|"")*+"(?='), d, F.lit("|\\z)|(?:(?!"), d, F.lit(')[^"\\r\\n])*+)'))
+    return F.regexp_extract_all(F.concat(delimiter, record), pattern, F.lit(1))
 
 
 def _unquoted(token: Column) -> Column:

@@ -1,29 +1,350 @@
-"""Queries over the test tables for the operators outside the training-data package."""
+"""Queries over the whole test tables for the operators outside the training-data package."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regloom.functions import rules
+from regloom.functions.text import first_filled, safe_filename
+from regloom.operators import catalogue as cat
+from regloom.operators import coverage as cov
+from regloom.operators import register as reg
+from regloom.operators.clauses import clauses, needs_ocr, page_lookup, render_pages
+from regloom.operators.match import hybrid_match, keyword_match
+from regloom.operators.policy import chunk_policies
+from regloom.operators.process_log import append, counted
 from regloom.operators.row_parser import parse_rows
+from regloom.plans.pipelines import download_log
+
+BASE_URL = "https://notices.regulator.example"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(c: Column) -> Column:
+    """Printable ASCII and line feeds: what regular expressions of all engines agree on."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x20-\x7E\n]", "")
+
+
+# --- rows that fail to parse -------------------------------------------------------------------------------------------
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_rows(table(spark, sf_dir, "register_raw"), table(spark, sf_dir, "register_uploads"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of uploaded registers that fail to parse."""
-    judged = parse_rows(table(spark, sf_dir, "register_raw"), table(spark, sf_dir, "register_uploads"))
-    return judged.filter(F.col("reason").isNotNull()).select("raw_id")
+    return _judged(spark, sf_dir).filter(F.col("reason").isNotNull()).select("raw_id")
 
 
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = parse_rows(table(spark, sf_dir, "register_raw"), table(spark, sf_dir, "register_uploads"))
-    return judged.select("raw_id", "upload_id", "reason", "broken_field", F.to_json("fields").alias("fields"))
+    return _judged(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("records"))
+
+
+def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid records with the required fields, missing values as empty strings."""
+    f = F.col("fields")
+    names = {v: k for k, v in reg.NAMES.items()}
+    valid = _judged(spark, sf_dir).filter(F.col("reason").isNull())
+    return valid.select("raw_id", *[F.when(f[c].isin(*reg.NA_VALUES), "").otherwise(f[c]).alias(names[c]) for c in reg.REQUIRED])
+
+
+# --- documents, clauses, register --------------------------------------------------------------------------------------
+
+
+def _clause_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause rows as (clause_id, doc, section, wording)."""
+    return table(spark, sf_dir, "directive_clauses").select("clause_id", "doc", "section", plain(F.col("language_from_directive")).alias("wording"))
+
+
+def _document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, text): the clauses of a directive put together again, one document each."""
+    rows = table(spark, sf_dir, "directive_clauses")
+    line = F.concat("section", F.lit(" "), plain(F.col("language_from_directive")))
+    ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "clause_id", line.alias("line"))))
+    return rows.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, page, text): clause texts by their numeric page."""
+    rows = table(spark, sf_dir, "directive_clauses").select("doc", F.expr("try_cast(page as int)").alias("page"), "sequence_no", "clause_id", plain(F.col("language_from_directive")).alias("t"))
+    ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "clause_id", "t")))
+    return rows.filter("page is not null").groupBy("doc", "page").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
+
+
+def page_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_pages(_pages(spark, sf_dir))
+
+
+def clause_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clauses(_document_texts(spark, sf_dir))
+
+
+def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.obligations(_clause_rows(spark, sf_dir), ["clause_id", "doc"])
+
+
+def obligation_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _register(spark, sf_dir).drop("doc", "language_from_directive")
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_register(spark, sf_dir), "obligation_category", "category", F.col("clause_id"))
+
+
+def department_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_register(spark, sf_dir), "primary_responsible_department", "department", F.col("clause_id"))
+
+
+def priority_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_register(spark, sf_dir), "priority", "priority", F.col("clause_id"))
+
+
+def actionable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_register(spark, sf_dir), "actionable", "actionable", F.col("clause_id"))
+
+
+def register_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.register_kpis(_register(spark, sf_dir))
+
+
+def register_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.filter_register(_register(spark, sf_dir), "Legal & Compliance", "Operations").select("clause_id", "priority", "actionable")
+
+
+def register_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.options(table(spark, sf_dir, "gap_assessment"), "obligation_category", F.col("gap_id"))
+
+
+def ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages of the directives hold too little text, page by page."""
+    rows = table(spark, sf_dir, "directive_clauses")
+    pages = rows.select(F.concat_ws("/", "doc", "sequence_no").alias("doc"), F.lit(1).alias("page"), plain(F.col("language_from_directive")).alias("text"))
+    return needs_ocr(pages)
+
+
+def page_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "gap_assessment").select(F.col("gap_id").alias("query_id"), "doc", plain(F.col("obligation")).alias("query"))
+    return page_lookup(_pages(spark, sf_dir), asked)
+
+
+# --- policies, matching, coverage --------------------------------------------------------------------------------------
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(policy, text): the passages cited for a directive as one policy, a page for each row."""
+    rows = table(spark, sf_dir, "gap_assessment").select("doc", "sequence_no", "gap_id", plain(F.col("corresponding_policy_text")).alias("t"))
+    page = F.concat(F.lit("--- Page "), F.col("sequence_no").cast("string"), F.lit(" ---\n"), "t")
+    ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "gap_id", page.alias("page"))))
+    return rows.groupBy(F.col("doc").alias("policy")).agg(F.array_join(F.transform(ordered, lambda x: x["page"]), "\n").alias("text"))
+
+
+def _review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "gap_assessment")
+    return rows.select(
+        "gap_id", F.col("doc").alias("policy"), "section", plain(F.col("obligation")).alias("obligation"), plain(F.col("language_from_directive")).alias("language_from_directive"), "obligation_category", "primary_responsible_department"
+    )
+
+
+def policy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_policies(_policies(spark, sf_dir))
+
+
+def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _clause_rows(spark, sf_dir)
+    return rows.select("clause_id", F.array_join(F.slice(rules.keywords(F.col("wording")), 1, 35), " ").alias("terms"))
+
+
+def keyword_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = keyword_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
+    return matched.select("gap_id", F.round("keyword_score", 9).alias("keyword_score"), "match_page", "match_text")
+
+
+def hybrid_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = hybrid_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
+    return matched.select("gap_id", F.round("score", 9).alias("score"), F.round("keyword_score", 9).alias("keyword_score"), "match_page", "match_text")
+
+
+_ASSESSED = ("gap_id", "coverage_status", "policy_gap_and_recommendations", "policy_page", "corresponding_policy_text", "priority")
+
+
+def gap_assessment_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = keyword_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
+    return cov.assess(matched).select(*_ASSESSED)
+
+
+def gap_assessment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = hybrid_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
+    return cov.assess(matched).select(*_ASSESSED)
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "gap_assessment")
+
+
+def gap_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_assessed(spark, sf_dir), "coverage_status", "coverage_status", F.col("gap_id"))
+
+
+def gap_priority_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_assessed(spark, sf_dir), "priority", "priority", F.col("gap_id"))
+
+
+def gap_category_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.pair_counts(_assessed(spark, sf_dir), "obligation_category", "coverage_status")
+
+
+def gap_department_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.pair_counts(_assessed(spark, sf_dir), "primary_responsible_department", "coverage_status")
+
+
+def gap_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.gap_kpis(_assessed(spark, sf_dir))
+
+
+# --- catalogue ---------------------------------------------------------------------------------------------------------
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "directives")
+    return rows.select("seq", *cat.COLUMNS)
+
+
+def catalogue_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue rows built again from what a list endpoint would deliver."""
+    rows = table(spark, sf_dir, "directives")
+    items = rows.select(
+        "seq",
+        plain(F.col("title")).alias("Title"),
+        F.col("source_link").alias("FileRef"),
+        F.col("filename").alias("FileLeafRef"),
+        F.when(F.col("seq") % 3 != 0, F.col("category")).alias("Category1"),
+        F.when(F.col("year") != "Unknown", F.col("year")).alias("Year"),
+        F.col("description").alias("Document_x0020_no"),
+    )
+    return cat.from_rest_items(items, BASE_URL).select("seq", "id", "title", "section", "category", "year", "source_link", "filename", "description")
+
+
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "directives")
+    tag = F.concat(F.lit('<li><a class="doc" href="'), "source_link", F.lit('"><b>'), plain(F.col("title")), F.lit("</b></a></li>"))
+    return rows.select(F.col("seq").alias("page_id"), tag.alias("html"))
+
+
+def anchor_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = cat.anchors(_html(spark, sf_dir)).select(F.col("page_id").alias("seq"), "label", "href")
+    return cat.from_anchors(links, BASE_URL).select("seq", "id", "title", "section", "year", "source_link", "filename")
+
+
+def category_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "directives")
+    text = F.concat(F.lit("Category1 : "), "category", F.lit(" ("), (F.col("seq") % 1000).cast("string"), F.lit(")"))
+    return cat.category_counts(rows.select(F.col("seq").alias("page_id"), text.alias("text")))
+
+
+def reference_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "directives").filter(F.col("local_path").isNotNull())
+    files = rows.select("seq", F.col("filename").alias("name"), F.col("local_path").alias("path"))
+    return cat.from_files(files, BASE_URL).select("seq", "id", "title", "section", "year", "filename", "local_path")
+
+
+def catalogue_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.dedupe(_catalogue(spark, sf_dir))
+
+
+def layered_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalogue(spark, sf_dir)
+    kinds = [rows.filter(F.col("source_type") == k) for k in ("Nothing", "Public HTML", "Reference file")]
+    return cat.layered(*kinds).select("seq", "id", "source_type")
+
+
+def catalogue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.filter_catalogue(_catalogue(spark, sf_dir), "Retirement Fund", "2010").select("seq", "id", "section", "category", "year")
+
+
+def catalogue_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.metadata(_catalogue(spark, sf_dir))
+
+
+def catalogue_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.catalogue_kpis(_catalogue(spark, sf_dir))
+
+
+def catalogue_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 25 rows, as the page shows them."""
+    return cat.display_table(_catalogue(spark, sf_dir))
+
+
+def _download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalogue(spark, sf_dir)
+    asked = rows.select(F.col("seq").alias("pos"), F.when(F.col("seq") % 11 == 0, F.reverse("id")).otherwise(F.col("id")).alias("id"))
+    held = rows.filter("downloaded").select(F.col("filename").alias("name"))
+    there = rows.filter("local_path is not null and not downloaded").select(F.col("local_path").alias("path"))
+    return cat.plan_downloads(asked, rows, held, there)
+
+
+def download_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _download_plan(spark, sf_dir)
+
+
+def download_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return download_log(_download_plan(spark, sf_dir))
+
+
+def download_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of fetched bytes, with the length of the link standing in for their size."""
+    rows = table(spark, sf_dir, "directives")
+    kind = F.when(F.col("seq") % 2 == 0, "application/pdf").otherwise("text/html")
+    name = F.when(F.col("seq") % 3 == 0, F.lit("page.html")).otherwise(F.col("filename"))
+    return rows.select("seq", cat.accept_download(F.length("source_link") + F.col("seq") % 60, kind, name).alias("accepted"))
+
+
+def mark_downloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalogue(spark, sf_dir)
+    done = rows.filter("source_type = 'Public HTML'").select("id")
+    return cat.mark_downloaded(rows, done).select("seq", "id", "cached", "downloaded")
+
+
+def process_log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalogue(spark, sf_dir)
+    return append(
+        counted(rows, "Results", "Completed", "Catalogue rows"),
+        counted(cat.filter_catalogue(rows, "Retirement Fund"), "Filter", "Completed", "Applied filters: section=Retirement Fund, year=All"),
+    )
+
+
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "directives")
+    return cat.unique_names(rows.select("seq", F.concat("source_type", F.lit("/"), "year", F.lit(".pdf")).alias("filename")))
+
+
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "directives")
+    return rows.select("seq", safe_filename(plain(F.col("title"))).alias("name"), rules.year_of(plain(F.col("title"))).alias("year"), rules.directive_number(plain(F.col("title"))).alias("number"))
+
+
+def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows numbered for display, with the library's defaults."""
+    rows = table(spark, sf_dir, "directives")
+    n = F.row_number().over(Window.partitionBy("section").orderBy("seq"))
+    return rows.select("seq", "section", n.alias("doc_no"), first_filled(F.when(F.col("downloaded"), F.col("filename")), F.lit("Not downloaded")).alias("file"))
+
+
+QUERIES = (
+    p1_found, p1_reasons, p1_rows, page_render, clause_breakdown, obligation_register, category_counts, department_counts, priority_counts,
+    actionable_counts, register_kpis, register_filter, register_options, ocr_candidates, page_lookups, policy_chunks, keyword_terms,
+    keyword_best_match, hybrid_best_match, gap_assessment_keyword, gap_assessment_full, gap_status_counts, gap_priority_counts,
+    gap_category_status, gap_department_status, gap_kpis, catalogue_normalise, anchor_extract, category_scrape, reference_files,
+    catalogue_dedupe, layered_catalogue, catalogue_filter, catalogue_metadata, catalogue_kpis, catalogue_table, download_plan,
+    download_messages, download_accept, mark_downloaded, process_log_union, unique_names, safe_names, document_numbers,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_reasons)}
+    return {f.__name__: f for f in QUERIES}
