@@ -214,6 +214,8 @@ def member_counts(texts: DataFrame, column: str) -> dict[str, int]:
 def canonical_forms(texts: DataFrame, column: str, output: str = "canonical", counts: dict[str, int] | None = None) -> DataFrame:
     """Adds ``output``: the text in which look-alike texts are equal. Other columns pass through."""
     prepare(texts.sparkSession)
+    if output != column:
+        texts = texts.drop(output)
     rewrites = representatives(member_counts(texts, column) if counts is None else counts)
     at = texts.columns.index(column)
     schema = texts.select("*", F.col(column).cast("string").alias(output)).schema

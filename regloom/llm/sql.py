@@ -2,6 +2,36 @@
 
 from __future__ import annotations
 
+from regloom.llm.lookalikes import CYRILLIC, CYRILLIC_LATIN, GREEK, GREEK_LATIN
+
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_FROM = CYRILLIC + GREEK + _WIDE + "   　‐‑"
+_TO = CYRILLIC_LATIN + GREEK_LATIN + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "    --"
+
+
+def _looks(c: str) -> str:
+    """Canonical look of a text by plain replacement."""
+    bare = rf"regexp_replace({c}, '[\x{{ad}}\x{{34f}}\x{{200b}}-\x{{200d}}\x{{2060}}-\x{{2064}}\x{{feff}}]', '', 'g')"
+    to = _TO.replace("'", "''")
+    single = f"translate(nfc_normalize({bare}), '{_FROM}', '{to}')"
+    for lig, plain in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        single = f"replace({single}, '{lig}', '{plain}')"
+    return f"nfc_normalize({single})"
+
+
+_ITEMS = """(SELECT 'directive_clauses' AS item_table, clause_id AS item_id, language_from_directive AS text FROM directive_clauses
+  UNION ALL SELECT 'gap_assessment', gap_id, corresponding_policy_text FROM gap_assessment)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = rf"regexp_extract_all(lower({_looks('text')}), '[\pL\pN]+')"
+    return {
+        "p2_found": f"SELECT item_table, item_id FROM {_ITEMS} WHERE length(text) > 1800",
+        "p3_found": f"""WITH looks AS (SELECT item_table, item_id, text, {_looks('text')} AS look FROM {_ITEMS} WHERE text IS NOT NULL)
+            SELECT a.item_table, a.item_id AS id_a, b.item_id AS id_b FROM looks a JOIN looks b
+            ON a.item_table = b.item_table AND a.look = b.look AND a.item_id < b.item_id AND a.text <> b.text""",
+        "p7_found": f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_no, {words} AS w FROM eval_items WHERE text IS NOT NULL),
+            dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM d),
+            eg AS (SELECT item_no, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM e)
+            SELECT DISTINCT doc_id, item_no FROM dg JOIN eg USING (g)""",
+    }
