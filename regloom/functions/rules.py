@@ -70,34 +70,43 @@ def first_best(lowered: Column, rules: Sequence[tuple[str, Sequence[str]]], defa
     return F.element_at(F.transform(top, lambda b: F.when(b["hits"] == 0, default).otherwise(b["name"])), 1)
 
 
-def is_actionable(text: Column) -> Column:
-    return contains_any(F.lower(text), ACTION_WORDS)
+# The functions below take lower-cased text: lower it once in a column of its own, they read it many times.
 
 
-def category(text: Column) -> Column:
-    return first_best(F.lower(text), CATEGORY_RULES, CATEGORY_DEFAULT)
+def is_actionable(low: Column) -> Column:
+    return contains_any(low, ACTION_WORDS)
 
 
-def department(text: Column) -> Column:
-    return first_best(F.lower(text), [(d, t) for d, _, t in DEPARTMENT_RULES], DEPARTMENT_DEFAULT[0])
+def category(low: Column) -> Column:
+    return first_best(low, CATEGORY_RULES, CATEGORY_DEFAULT)
 
 
-def support_function(text: Column) -> Column:
-    return first_best(F.lower(text), [(s, t) for _, s, t in DEPARTMENT_RULES], DEPARTMENT_DEFAULT[1])
+def department(low: Column) -> Column:
+    return first_best(low, [(d, t) for d, _, t in DEPARTMENT_RULES], DEPARTMENT_DEFAULT[0])
 
 
-def priority(text: Column) -> Column:
-    low = F.lower(text)
+def support_function(low: Column) -> Column:
+    return first_best(low, [(s, t) for _, s, t in DEPARTMENT_RULES], DEPARTMENT_DEFAULT[1])
+
+
+def priority(low: Column) -> Column:
     return F.when(contains_any(low, HIGH_TOKENS), "High").when(contains_any(low, LOW_TOKENS), "Low").otherwise("Medium")
 
 
-def obligation_text(section: Column, wording: Column) -> Column:
-    """Wording of the obligation: a fixed sentence, or the shortened clause with its actor and section."""
-    short = strip(collapse(wording))
-    actor = F.when(F.lower(short).contains("bank"), "The institution").otherwise("Insurers")
+def shortened(wording: Column) -> Column:
+    """Wording on one line."""
+    return strip(collapse(wording))
+
+
+def obligation_text(section: Column, short: Column, low: Column) -> Column:
+    """Wording of the obligation: a fixed sentence, or the clipped clause with its actor and section.
+
+    ``short`` is the wording on one line, ``low`` the same in lower case.
+    """
+    actor = F.when(low.contains("bank"), "The institution").otherwise("Insurers")
     clipped = F.when(F.length(short) > 240, F.concat(F.regexp_replace(F.substring(short, 1, 237), r"(?U)\s+\z", ""), F.lit("..."))).otherwise(short)
     sentence = F.concat(actor, F.lit(" must address the requirement described in section "), section, F.lit(": "), clipped)
-    return F.when(is_actionable(short), sentence).otherwise(NOT_ACTIONABLE)
+    return F.when(is_actionable(low), sentence).otherwise(NOT_ACTIONABLE)
 
 
 def is_negative(text: Column) -> Column:

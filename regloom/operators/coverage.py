@@ -34,23 +34,23 @@ ADVICE = {
 }
 
 
-def coverage_status(score: Column, keyword_score: Column, obligation: Column, wording: Column, chunk: Column) -> Column:
+def coverage_status(score: Column, keyword_score: Column, informational: Column, negative: Column, escalating: Column) -> Column:
     """Informational first, then negative evidence, then the thresholds (all inclusive)."""
     return (
-        F.when(is_informational(obligation, wording), NOT_APPLICABLE)
-        .when(is_negative(chunk) & escalates(obligation, wording), MISSING)
-        .when(is_negative(chunk), PARTIAL)
+        F.when(informational, NOT_APPLICABLE)
+        .when(negative & escalating, MISSING)
+        .when(negative, PARTIAL)
         .when((score >= COVERED_SCORE) & (keyword_score >= COVERED_KEYWORDS), COVERED)
         .when((score >= PARTIAL_SCORE) | (keyword_score >= PARTIAL_KEYWORDS), PARTIAL)
         .otherwise(MISSING)
     )
 
 
-def recommendation(status: Column, chunk: Column) -> Column:
+def recommendation(status: Column, negative: Column) -> Column:
     return (
         F.when(status == COVERED, ADVICE["covered"])
         .when(status == PARTIAL, ADVICE["partial"])
-        .when((status == MISSING) & is_negative(chunk), ADVICE["negative"])
+        .when((status == MISSING) & negative, ADVICE["negative"])
         .when(status == MISSING, ADVICE["missing"])
         .otherwise(ADVICE["informational"])
     )
@@ -64,18 +64,25 @@ def gap_priority(status: Column, existing: Column | None = None) -> Column:
 
 def assess(matched: DataFrame, existing_priority: str | None = None) -> DataFrame:
     """Register rows with a match (score, keyword_score, match_page, match_text) to assessed rows."""
-    status, chunk = F.col("coverage_status"), F.col("match_text")
-    rows = matched.withColumn("coverage_status", coverage_status(F.col("score"), F.col("keyword_score"), F.col("obligation"), F.col("language_from_directive"), chunk))
-    hidden = (status == MISSING) & ~is_negative(chunk)
-    masked = lambda absent, informational, found: F.when(hidden, absent).when(status == NOT_APPLICABLE, informational).otherwise(found)
+    flags = matched.withColumns(
+        {
+            "informational": is_informational(F.col("obligation"), F.col("language_from_directive")),
+            "negative": is_negative(F.col("match_text")),
+            "escalating": escalates(F.col("obligation"), F.col("language_from_directive")),
+        }
+    )
+    status, negative = F.col("coverage_status"), F.col("negative")
+    rows = flags.withColumn("coverage_status", coverage_status(F.col("score"), F.col("keyword_score"), F.col("informational"), negative, F.col("escalating")))
+    hidden = (status == MISSING) & ~negative
+    masked = lambda absent, instead, found: F.when(hidden, absent).when(status == NOT_APPLICABLE, instead).otherwise(found)
     return rows.withColumns(
         {
-            "policy_gap_and_recommendations": recommendation(status, chunk),
+            "policy_gap_and_recommendations": recommendation(status, negative),
             "policy_page": masked("Not located", "Not applicable", F.col("match_page")),
-            "corresponding_policy_text": masked(NO_MATCH, NO_EVIDENCE_NEEDED, chunk),
+            "corresponding_policy_text": masked(NO_MATCH, NO_EVIDENCE_NEEDED, F.col("match_text")),
             "priority": gap_priority(status, F.col(existing_priority) if existing_priority else None),
         }
-    ).drop("match_page", "match_text", "score", "keyword_score")
+    ).drop("match_page", "match_text", "score", "keyword_score", "informational", "negative", "escalating")
 
 
 def gap_kpis(assessed: DataFrame) -> DataFrame:

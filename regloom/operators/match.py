@@ -65,8 +65,7 @@ def _terms(search: Column) -> Column:
     return F.slice(keywords(search), 1, MAX_TERMS)
 
 
-def _keyword_share(text: Column, terms: Column) -> Column:
-    low = F.lower(text)
+def _keyword_share(low: Column, terms: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.greatest(F.size(terms), F.lit(1))
 
 
@@ -75,11 +74,15 @@ def scored_chunks(register: DataFrame, chunks: DataFrame) -> DataFrame:
 
     The chunks of one policy are one array; its size is that of one document.
     """
-    arrays = chunks.groupBy("policy").agg(F.array_sort(F.collect_list(F.struct("chunk_seq", "page", "text"))).alias("chunks"))
-    rows = lookup_join(register.withColumn("terms", _terms(F.concat_ws(" ", "obligation", "language_from_directive"))), arrays, ["policy"])
+    arrays = chunks.groupBy("policy").agg(F.array_sort(F.collect_list(F.struct("chunk_seq", "page", "text", F.lower("text").alias("low")))).alias("chunks"))
+    # few bytes, much work: spread the rows over all cores, whatever file or policy they come from
+    spark = register.sparkSession
+    spread = register.repartition(max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = lookup_join(spread.withColumn("terms", _terms(F.concat_ws(" ", "obligation", "language_from_directive"))), arrays, ["policy"])
+    empty = F.array().cast("array<struct<chunk_seq:int,page:string,text:string,low:string>>")
     scored = F.transform(
-        F.coalesce("chunks", F.array().cast("array<struct<chunk_seq:int,page:string,text:string>>")),
-        lambda c: F.struct(c["chunk_seq"].alias("chunk_seq"), c["page"].alias("page"), c["text"].alias("text"), _keyword_share(c["text"], F.col("terms")).alias("keyword_score")),
+        F.coalesce("chunks", empty),
+        lambda c: F.struct(c["chunk_seq"].alias("chunk_seq"), c["page"].alias("page"), c["text"].alias("text"), _keyword_share(c["low"], F.col("terms")).alias("keyword_score")),
     )
     return rows.withColumn("scored", scored).drop("chunks", "terms")
 

@@ -35,18 +35,20 @@ NAMES = {
 
 
 def obligations(clauses: DataFrame, keys: Sequence[str] = ("doc", "seq")) -> DataFrame:
-    """One register row per clause (``keys``, section, wording): everything is derived in one projection."""
-    w = F.col("wording")
-    return clauses.select(
+    """One register row per clause (``keys``, section, wording), without an exchange."""
+    kept = clauses.select(*keys, "section", "wording", F.lower("wording").alias("low"), rules.shortened(F.col("wording")).alias("short"))
+    lowered = kept.withColumn("short_low", F.lower("short"))
+    low = F.col("low")
+    return lowered.select(
         *keys,
         "section",
-        w.alias("language_from_directive"),
-        rules.obligation_text(F.col("section"), w).alias("obligation"),
-        rules.category(w).alias("obligation_category"),
-        rules.department(w).alias("primary_responsible_department"),
-        rules.support_function(w).alias("support_function"),
-        rules.priority(w).alias("priority"),
-        F.when(rules.is_actionable(w), "Yes").otherwise("No").alias("actionable"),
+        F.col("wording").alias("language_from_directive"),
+        rules.obligation_text(F.col("section"), F.col("short"), F.col("short_low")).alias("obligation"),
+        rules.category(low).alias("obligation_category"),
+        rules.department(low).alias("primary_responsible_department"),
+        rules.support_function(low).alias("support_function"),
+        rules.priority(low).alias("priority"),
+        F.when(rules.is_actionable(low), "Yes").otherwise("No").alias("actionable"),
     )
 
 

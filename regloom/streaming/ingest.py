@@ -41,5 +41,5 @@ def category_stream(documents: DataFrame, watermark: str = "1 day", window: str
     """Running counts by category and window of arrival from a stream with ``arrived_at``, ``wording``; late rows are dropped after ``watermark``."""
     from regloom.functions.rules import category
 
-    rows = documents.withWatermark("arrived_at", watermark).withColumn("category", category(F.col("wording")))
+    rows = documents.withWatermark("arrived_at", watermark).withColumn("category", category(F.lower("wording")))
     return rows.groupBy(F.window("arrived_at", window), "category").agg(F.count("*").alias("rows"))
