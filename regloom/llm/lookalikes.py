@@ -119,7 +119,8 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
     """Rewrites: each member that is not the representative of its class, to the representative."""
     out = {}
     for members in lookalike_classes():
-        best = min(members, key=lambda s: (-counts.get(s, 0), not s.isascii(), len(s), s))
+        # a string that composing would change is no representative
+        best = min(members, key=lambda s: (not unicodedata.is_normalized("NFC", s), -counts.get(s, 0), not s.isascii(), len(s), s))
         out.update((m, best) for m in members if m != best)
     return out
 
@@ -154,7 +155,9 @@ class Rewriter:
         if not parts:
             return t
         parts.append(t[at:])
-        return "".join(parts)
+        out = "".join(parts)
+        # a mark may now compose with the end of a rewritten string
+        return out if unicodedata.is_normalized("NFC", out) else self(unicodedata.normalize("NFC", out))
 
 
 @lru_cache(maxsize=1)
