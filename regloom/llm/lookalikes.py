@@ -108,10 +108,15 @@ def prepared(text: str) -> str:
     """Composed form without invisible characters."""
     if text.isascii():
         return text
+    text = _composed(text)
     if _INVISIBLE.search(text):
-        text = _INVISIBLE.sub("", text)
+        text = _composed(_INVISIBLE.sub("", text))
     if _JOINER.search(text):
-        text = _JOINER.sub("", text)
+        text = _composed(_JOINER.sub("", text))
+    return text
+
+
+def _composed(text: str) -> str:
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,8 +49,9 @@ _HEAD_BEFORE = re.compile(r"\d{1,4}[ \t]{2,}(?P<head>\S.*)\Z")
 _BROKEN = re.compile(r"(?P<a>[^\W\d_]+)(?P<h>[-‐¬\xad])[^\S\n]*\Z")
 _TORN = re.compile(r"(?<![^\W_])[^\W\d_]+\Z")
 _STRAY = re.compile(r"(?<=\w)[|\\~^·](?=\s|\Z)")
+_HYPHENS = frozenset("-‐¬\xad")
+_STRAYS = "|\\~^·"
 _ITEM = re.compile(r"[(\[]?(?:[a-z]|[ivx]{1,4}|\d{1,2})[)\]]\s|[-*•–]\s")
-_SOFT = str.maketrans({"\xad": None})
 
 
 class Vocabulary:
@@ -58,6 +60,7 @@ class Vocabulary:
     def __init__(self, counts: dict[str, int], heads: frozenset[str] = frozenset()) -> None:
         self.counts = counts
         self.heads = heads
+        self.seen: dict[str, str | None] = {}
         self.misread: dict[str, str] = {}
         for w, n in counts.items():
             if x := self.correction(w, n):
@@ -107,7 +110,13 @@ class Vocabulary:
         """Correction of a word that is not solid, from the table or, for a rare word, computed."""
         if word in self.misread:
             return self.misread[word]
-        return None if word in self.counts else self.correction(word)
+        if word in self.counts:
+            return None
+        if word not in self.seen:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            self.seen[word] = self.correction(word)
+        return self.seen[word]
 
 
 _FIGURED = re.compile(r"(?=[^\W\d_]*\d)(?=.*[a-z].*[a-z])[^\W_]{3,30}\Z")
@@ -165,6 +174,11 @@ def _repeats(key: list[str], known: list[list[str]]) -> bool:
     return False
 
 
+@lru_cache(maxsize=4096)
+def _head_words(titles: tuple[str, ...]) -> list[list[str]]:
+    return [head_key(x).split() for x in titles if x]
+
+
 def _is_head(line: str, vocabulary: Vocabulary, known: list[list[str]]) -> bool:
     if not 8 <= len(line) <= 110 or line[-1] in ".;:,!?\"”)" or not line[0].isupper():
         return False
@@ -182,7 +196,7 @@ def repair(text: str, vocabulary: Vocabulary, titles: tuple[str, ...] | list[str
     t = plain_rewriter()(text) if not text.isascii() else text
     if "\xad" in text:  # a soft hyphen at a line end is a break, elsewhere it is invisible
         t = plain_rewriter()(re.sub("\xad[^\\S\\n]*\\n", "¬\n", text))
-    known = [head_key(x).split() for x in titles if x]
+    known = _head_words(tuple(titles))
     lines: list[str] = []
     for raw in t.split("\n"):
         line = raw.strip()
@@ -227,7 +241,8 @@ def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: set[str]) ->
         prior = len(out) - 1
         while prior >= 0 and out[prior] == "\1":
             prior -= 1
-        m = _BROKEN.search(out[prior]) if prior >= 0 else None
+        tail = out[prior].rstrip() if prior >= 0 else ""
+        m = _BROKEN.search(out[prior], max(0, len(tail) - 40)) if tail[-1:] in _HYPHENS else None
         first = re.match(r"\s*([^\W\d_]+)", line)
         if m and first and first.group(1)[0].islower():
             a, b = m.group("a"), first.group(1)
@@ -240,7 +255,7 @@ def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: set[str]) ->
             out[prior] = out[prior][: m.start("h")] + glue + line.lstrip()
             del out[prior + 1 :]
             continue
-        torn = _TORN.search(out[prior]) if prior >= 0 and first and first.group(1)[0].islower() else None
+        torn = _TORN.search(out[prior], max(0, len(out[prior]) - 40)) if prior >= 0 and first and first.group(1)[0].islower() else None
         if torn:
             a, b = torn.group(), first.group(1)
             if not (a in vocabulary.solid and b in vocabulary.solid):
@@ -263,45 +278,70 @@ def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: set[str]) ->
 
 
 def _words(lines: list[str], vocabulary: Vocabulary, faults: set[str]) -> list[str]:
-    solid = vocabulary.solid
-    counts = vocabulary.counts
+    """Stray characters out, torn words joined, misread words put right; only words that are not solid are looked at."""
+    solid, counts = vocabulary.solid, vocabulary.counts
     for i, line in enumerate(lines):
-        if _STRAY.search(line):
+        if any(c in line for c in _STRAYS) and _STRAY.search(line):
             faults.add("misread characters")
-            line = _STRAY.sub("", line)
-        if not solid.issuperset(_TOKEN.findall(line)):
-            parts: list[str] = []
-            at = 0
-            before, before_end = "", -1
-            for m in _TOKEN.finditer(line):
-                w = m.group()
-                if w in solid and (not before or before in solid):
-                    before, before_end = w, m.end()
-                    continue
-                if before and before_end + 1 == m.start() and line[before_end] == " " and w.isalpha() and before.isalpha() and w[0].islower():
-                    k = counts.get(before + w, 0)
-                    if k >= MIN_COUNT and k >= RATIO * min(counts.get(before, 0), counts.get(w, 0)) and (before + w) not in vocabulary.misread:
+            line = lines[i] = _STRAY.sub("", line)
+        odd = set(_TOKEN.findall(line)) - solid
+        edits: list[tuple[int, int, str]] = []
+        for w in odd:
+            if w.isupper() and not _capital_figure(w, counts):
+                continue  # codes in capitals are no words, unless a figure stands for a letter
+            corrected = None if w.isupper() else vocabulary.corrected(w)
+            at = line.find(w)
+            while at >= 0:
+                end = at + len(w)
+                if (at == 0 or not _alnum(line[at - 1])) and (end == len(line) or not _alnum(line[end])):
+                    gap = _torn_at(line, at, end, vocabulary) if w.isalpha() else None
+                    if gap is not None:
                         faults.add("misread characters")
-                        parts.append(line[at:before_end])
-                        at = m.start()
-                        before, before_end = "", -1
-                        continue
-                if w not in solid:
-                    x = vocabulary.corrected(w)
-                    if x:
+                        edits.append((gap, gap + 1, ""))
+                    elif corrected:
                         faults.add("misread characters")
-                        parts.append(line[at : m.start()] + x)
-                        at = m.end()
-                        w = x
-                    elif _figures_inside(w) or _capital_figure(w, counts):
+                        edits.append((at, end, corrected))
+                    elif _capital_figure(w, counts) or _figures_inside(w):
                         faults.add("misread characters")
-                before, before_end = w, m.end()
-            parts.append(line[at:])
-            line = "".join(parts)
-        lines[i] = line
+                at = line.find(w, end)
+        if edits:
+            parts, at = [], 0
+            for start, end, new in sorted(set(edits)):
+                if start >= at:
+                    parts += [line[at:start], new]
+                    at = end
+            lines[i] = "".join(parts) + line[at:]
     return lines
 
 
+def _alnum(c: str) -> bool:
+    return c.isalnum()
+
+
+_BEFORE = re.compile(r"(?<![^\W_])[^\W\d_]+\Z")
+_AFTER = re.compile(r"[^\W\d_]+(?![^\W_])")
+
+
+def _torn_at(line: str, at: int, end: int, vocabulary: Vocabulary) -> int | None:
+    """Position of a space that tears the word at line[at:end] from its other half."""
+    counts = vocabulary.counts
+
+    def whole(a: str, b: str) -> bool:
+        k = counts.get(a + b, 0)
+        return k >= MIN_COUNT and k >= RATIO * min(counts.get(a, 0), counts.get(b, 0)) and a + b not in vocabulary.misread
+
+    w = line[at:end]
+    if at > 1 and line[at - 1] == " " and w[0].islower():
+        m = _BEFORE.search(line, max(0, at - 32), at - 1)
+        if m and whole(m.group(), w):
+            return at - 1
+    if end + 1 < len(line) and line[end] == " " and line[end + 1].islower():
+        m = _AFTER.match(line, end + 1)
+        if m and whole(w, m.group()):
+            return end
+    return None
+
+
 def _paragraphs(lines: list[str]) -> str:
     out: list[str] = []
     fresh = True
