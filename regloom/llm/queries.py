@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regloom.joins import lookup_join
 from regloom.llm.leakage import leaked_passages
 from regloom.llm.lookalikes import canonical_forms, lookalike_pairs
 from regloom.llm.mixing import mix
@@ -53,9 +54,9 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unscanned_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses whose directive was not read from a scan."""
-    scanned = table(spark, sf_dir, "directives").filter("source_type = 'Scanned archive'").select("id").distinct()
+    scanned = table(spark, sf_dir, "directives").filter("source_type = 'Scanned archive'").select(F.col("id").alias("doc")).distinct()
     clauses = table(spark, sf_dir, "directive_clauses").select("clause_id", "doc", "language_from_directive")
-    kept = clauses.join(scanned, clauses["doc"] == scanned["id"], "left_anti")
+    kept = lookup_join(clauses, scanned, ["doc"], "left_anti")
     return kept.select(F.lit("directive_clauses").alias("item_table"), F.col("clause_id").alias("item_id"), F.col("language_from_directive").alias("text"))
 
 
