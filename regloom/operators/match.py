@@ -7,7 +7,7 @@ these go through the Python similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,10 +87,19 @@ def scored_chunks(register: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumn("scored", scored).drop("chunks", "terms")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, even if ``body`` uses it inside another lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _ranked(score: Column, chunk: Column) -> Column:
+    """Struct that orders by score, then by earlier chunk."""
+    return F.struct(score.alias("score"), (-chunk["chunk_seq"]).alias("back"), chunk["keyword_score"].alias("keyword_score"), chunk["page"].alias("page"), chunk["text"].alias("text"))
+
+
 def _best(candidates: Column) -> Column:
     """First candidate of the highest positive score."""
-    top = F.array_max(F.transform(candidates, lambda c: c["score"]))
-    return F.when(top > 0, F.element_at(F.filter(candidates, lambda c: c["score"] == top), 1))
+    return let(F.array_max(candidates), lambda b: F.when(b["score"] > 0, b))
 
 
 def _result(rows: DataFrame) -> DataFrame:
@@ -108,7 +117,7 @@ def _result(rows: DataFrame) -> DataFrame:
 def keyword_match(register: DataFrame, chunks: DataFrame) -> DataFrame:
     """Best chunk by keyword share alone; everything stays in the JVM."""
     rows = scored_chunks(register, chunks)
-    candidates = F.transform("scored", lambda c: F.struct((c["keyword_score"] * F.lit(1.0)).alias("score"), c["keyword_score"].alias("keyword_score"), c["page"].alias("page"), c["text"].alias("text")))
+    candidates = F.transform("scored", lambda c: _ranked(c["keyword_score"], c))
     return _result(rows.withColumn("best", _best(candidates)).drop("scored"))
 
 
@@ -118,15 +127,11 @@ def hybrid_match(register: DataFrame, chunks: DataFrame) -> DataFrame:
     Adds score, keyword_score, match_page and match_text; without a positive score the default text.
     """
     rows = scored_chunks(register, chunks)
-    best_keyword = F.array_max(F.transform("scored", lambda c: c["keyword_score"]))
-    can_win = F.filter("scored", lambda c: c["keyword_score"] * KEYWORD_WEIGHT + FUZZY_WEIGHT >= best_keyword * KEYWORD_WEIGHT - 1e-9)
+    bound = F.struct(F.array_max(F.transform("scored", lambda c: c["keyword_score"])).alias("top"), F.col("scored").alias("chunks"))
+    can_win = let(bound, lambda x: F.filter(x["chunks"], lambda c: c["keyword_score"] * KEYWORD_WEIGHT + FUZZY_WEIGHT >= x["top"] * KEYWORD_WEIGHT - 1e-9))
     pruned = rows.withColumn("pruned", can_win).drop("scored")
     query = F.substring(F.concat_ws(" ", "obligation", "language_from_directive"), 1, QUERY_CHARS)
     similar = _similarities(query, F.transform("pruned", lambda c: F.substring(c["text"], 1, CHUNK_CHARS)))
     rated = pruned.withColumn("similar", similar)
-    candidates = F.zip_with(
-        "pruned",
-        "similar",
-        lambda c, f: F.struct((c["keyword_score"] * KEYWORD_WEIGHT + f * FUZZY_WEIGHT).alias("score"), c["keyword_score"].alias("keyword_score"), c["page"].alias("page"), c["text"].alias("text")),
-    )
+    candidates = F.zip_with("pruned", "similar", lambda c, f: _ranked(c["keyword_score"] * KEYWORD_WEIGHT + f * FUZZY_WEIGHT, c))
     return _result(rated.withColumn("best", _best(candidates)).drop("pruned", "similar"))
