@@ -40,7 +40,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if getattr(sc, "_regloom_ready", False):
         return spark
-    shared = sc.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared:
         sc.setCheckpointDir(shared)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
