@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest lookup side, in bytes by the optimizer's estimate, that may be broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
+#: Largest lookup side, in bytes by the optimizer's estimate, that may be broadcast. Files are estimated by their
+#: compressed size, so the rows may take several times as much.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
