@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regloom.session import prepare
+from regloom.joins import lookup_join
+from regloom.session import materialise, prepare
 
 # Letters with coinciding glyphs, Cyrillic and Greek against Latin.
 CYRILLIC = "АВЕКМНОРСТУХаеорсухѕіјһԁԛԝЅІЈԌԚԜ"
@@ -268,14 +269,14 @@ def lookalike_pairs(items: DataFrame) -> DataFrame:
     left side, so no task meets all pairs of a hot group.
     """
     prepare(items.sparkSession)
-    hashed = look_hashes(items, member_counts(items, "text"))
+    hashed = materialise(look_hashes(items, member_counts(items, "text")), "looks")
     looks = (
         hashed.groupBy("item_table", "look")
         .agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.count("*").alias("n"))
         .filter("low <> high")
         .select("item_table", "look", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("blocks"))
     )
-    members = hashed.join(looks, ["item_table", "look"])
+    members = lookup_join(hashed, looks, ["item_table", "look"], "inner")
     left = members.withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"))
     right = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     a, b = left.alias("a"), right.alias("b")
