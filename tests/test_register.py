@@ -116,6 +116,6 @@ def test_derived_columns(spark):
     got = reg.obligations(rows).orderBy("seq").collect()
     assert [(r["obligation_category"], r["primary_responsible_department"], r["priority"], r["actionable"]) for r in got] == [c[2:] for c in cases]
     assert got[3]["obligation"] == "The institution must address the requirement described in section 7: The bank shall notify the committee of the board."
-    assert got[5]["obligation"].endswith("must must...") and len(got[5]["obligation"].split(": ", 1)[1]) <= 240
+    assert got[5]["obligation"].endswith("must mu...") and len(got[5]["obligation"].split(": ", 1)[1]) <= 240
     assert got[0]["obligation"].endswith("does not create a direct compliance obligation.")
     assert reg.obligations(rows.limit(0)).count() == 0
