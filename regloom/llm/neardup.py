@@ -8,8 +8,9 @@ representative per class, so groups of copies cost nothing.
 Forest: every class has ``FUNCTIONS`` MinHash values. Each of ``TREES`` trees orders a fixed selection of them; a prefix
 of that sequence is a path in a trie, and the keys of all tries are exchanged once, packed, and sorted. Classes
 that share a prefix are candidates. Matching starts at a long prefix. From the verified pairs the
-recall is estimated (each found pair of similarity s stands for 1/P(found | s) pairs, Horvitz-Thompson), and the prefix is
-shortened by one and the search repeated until the estimate reaches ``target_recall``.
+recall is estimated (each found pair of similarity s stands for 1/P(found | s) pairs, Horvitz-Thompson; P is simulated for the
+very trees, as they share their functions), and the search is repeated with the longest prefix that promises ``target_recall``
+until the estimate reaches it, for pairs of classes and for pairs of rows.
 
 Candidates pass an exact bound first (a parity bitmap of 128 bits bounds the symmetric difference from below, the word
 counts bound the overlap from above), then the multisets themselves are intersected. A trie node with more than
@@ -41,6 +42,8 @@ from regloom.session import materialise, prepare
 
 FUNCTIONS, TREES, DEPTH, MIN_DEPTH = 64, 48, 8, 3
 SIMILARITY, TARGET_RECALL = 0.80, 0.9995
+#: Simulated pairs a depth.
+SAMPLES = 200_000
 #: Classes of one trie node that are paired inside its task.
 NODE_PAIRS = 128
 #: Keys one reducer sorts at a time.
@@ -281,12 +284,46 @@ def _verified(pairs: DataFrame, classes: DataFrame, items: DataFrame, similarity
     return both.select("a", "b", "ea", "eb").mapInArrow(overlap, "a long, b long, dice double").filter(F.col("dice") >= similarity - 1e-9)
 
 
-def _estimated_recall(found: DataFrame, depth: int, trees: int = TREES) -> float:
-    """Horvitz-Thompson estimate of the share of pairs that paths of ``depth`` find."""
-    j = F.col("dice") / (2 - F.col("dice"))
-    seen = F.greatest(1 - F.pow(1 - F.pow(j, depth), F.lit(trees)), F.lit(1e-6))
-    r = found.agg(F.count("*").alias("n"), F.sum(1 / seen).alias("total")).first()
-    return r["n"] / r["total"] if r["n"] else 1.0
+@lru_cache(maxsize=DEPTH)
+def _thresholds(depth: int) -> np.ndarray:
+    """Sorted sample of the share of equal functions from which the trees find a pair at ``depth``.
+
+    The trees order the same functions, so their misses coincide. If every function gets a uniform number and agrees
+    where it lies below the similarity, a tree agrees from the largest number of its path on, and the forest from the smallest of these.
+    """
+    rng = np.random.default_rng(depth)
+    found = []
+    for _ in range(SAMPLES // 5000):
+        u = rng.random((FUNCTIONS, 5000))
+        found.append(np.min([u[path].max(axis=0) for path in _plan()[1][:, :depth]], axis=0))
+    return np.sort(np.concatenate(found))
+
+
+def _detected(dice: np.ndarray, depth: int) -> np.ndarray:
+    """Probability that a pair of this overlap shares a path of ``depth``; a byte agrees by chance once in 256."""
+    j = dice / (2 - dice)
+    at = _thresholds(depth)
+    return np.maximum(np.searchsorted(at, j + (1 - j) / 256) / len(at), 1e-6)
+
+
+def _overlaps(found: DataFrame, classes: DataFrame) -> np.ndarray:
+    """Rows of (dice, pairs of classes, pairs of rows), by overlap rounded down to thousandths."""
+    copies = classes.filter("copies > 1").select("cid", "copies")
+    a, b = copies.toDF("a", "copies_a"), copies.toDF("b", "copies_b")
+    weight = F.coalesce("copies_a", F.lit(1)) * F.coalesce("copies_b", F.lit(1))
+    rows = found.join(a, "a", "left").join(b, "b", "left").groupBy(F.floor(F.col("dice") * 1000 + 1e-6).alias("k"))
+    return np.array([tuple(r) for r in rows.agg(F.count("*"), F.sum(weight)).collect()], dtype=float).reshape(-1, 3) * [0.001, 1, 1]
+
+
+def _estimated_recall(overlaps: np.ndarray, depth: int, searched: int | None = None) -> float:
+    """Horvitz-Thompson estimate of the share of pairs that paths of ``depth`` find, of classes or of rows, whichever is less.
+
+    ``overlaps`` were found at ``searched``, by default the same depth.
+    """
+    if not len(overlaps):
+        return 1.0
+    total = overlaps[:, 1:] / _detected(overlaps[:, 0], searched or depth)[:, None]
+    return float(np.min((total * _detected(overlaps[:, 0], depth)[:, None]).sum(axis=0) / total.sum(axis=0)))
 
 
 class NearDuplicates:
@@ -312,10 +349,13 @@ class NearDuplicates:
             candidates = materialise(_candidates(self.classes, depth, parts), "candidates")
             plausible = materialise(_plausible(candidates, self.classes, similarity), "plausible")
             self.pairs = materialise(_verified(plausible, self.classes, items, similarity), "pairs")
-            self.depth, self.recall = depth, _estimated_recall(self.pairs, depth)
+            overlaps = _overlaps(self.pairs, self.classes)
+            self.depth, self.recall = depth, _estimated_recall(overlaps, depth)
             if self.recall >= target_recall or depth <= MIN_DEPTH:
                 break
-            depth -= 1
+            searched, depth = depth, depth - 1
+            while depth > MIN_DEPTH and _estimated_recall(overlaps, depth, searched) < target_recall:
+                depth -= 1
 
     def row_pairs(self) -> DataFrame:
         """(item_table, id_a, id_b): all pairs of rows, copies included."""

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from regloom.llm import neardup
 from regloom.llm.neardup import NearDuplicates, connected_components, words
 
@@ -89,6 +91,25 @@ def test_prefix_is_shortened_until_the_recall(spark):
     assert got == expected(texts)
 
 
+def test_detection_is_that_of_the_trees(spark):
+    rng = random.Random(5)
+    left, right = [], []
+    for _ in range(1500):
+        base = [f"v{rng.randint(0, 10**9)}" for _ in range(50)]
+        left.append(" ".join(base))
+        right.append(" ".join(base[:44] + [f"z{rng.randint(0, 10**9)}" for _ in range(6)]))
+    salt = np.zeros(1500, np.uint64)
+    x, y = (neardup._prefix_keys(neardup.signatures(t)["sig"], salt, 8) for t in (left, right))
+    found = (x == y).any(axis=1).mean()
+    assert found < 0.99 and abs(neardup._detected(np.array([0.88]), 8)[0] - found) < 0.012
+    pairs = spark.createDataFrame([(0, 1, 1.0), (2, 3, 0.88)], "a long, b long, dice double")
+    classes = spark.createDataFrame([(0, 1), (1, 1), (2, 30), (3, 20)], "cid long, copies long")
+    overlaps = neardup._overlaps(pairs, classes)
+    assert sorted(map(tuple, overlaps)) == [(0.88, 1, 600), (1.0, 1, 1)]
+    assert neardup._estimated_recall(overlaps, 8) < 0.983
+    assert neardup._estimated_recall(overlaps, 4, 8) > neardup._estimated_recall(overlaps, 6, 8) > 0.99
+
+
 def test_tables_do_not_mix_and_empty_input(spark):
     df = frame(spark, ["a b c d e f"]).unionByName(frame(spark, ["a b c d e f"], "u"))
     assert NearDuplicates(df).row_pairs().count() == 0
