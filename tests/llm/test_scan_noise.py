@@ -1,5 +1,6 @@
 from collections import Counter
 
+from regloom.llm import scan_noise
 from regloom.llm.scan_noise import Vocabulary, repair, repair_scans
 
 WORDS = "the board must report and keep every modern record before the board of Wenmar holds against support third party third-party settlement tested turnover form from claim model duties records policy v4".split()
@@ -49,3 +50,26 @@ def test_operator_learns_from_the_corpus(spark):
     assert got[903] == ("the board must report", ["running header"])
     assert repair_scans(df.limit(0), titles).count() == 0
     assert len(got) == 304 and Counter(bool(f) for _, f in got.values())[True] == 2
+
+
+def test_rare_words_do_not_depend_on_the_size(spark, monkeypatch):
+    rows = ["the board must report every record"] * 700 + ["a settlement of Wenmarfund in Benmarfund"] * 40 + ["the settlernent Wenmorfund and Benmorfund stand"] + ["Benmorfund stands"] * 11
+    rows += ["Quarter ledger annex | 3\nthe board must report"] * 9 + ["Quarter ledger annex\nthe board", "every sett-\nlement", "a sett\nlement", "the settle ment report"]
+    df = spark.createDataFrame([("t", i, None, x) for i, x in enumerate(rows)], "item_table string, item_id long, doc string, text string")
+
+    def run():
+        return {rows[r["item_id"]]: (r["repaired"], r["faults"]) for r in repair_scans(df).collect()}
+
+    small = run()
+    monkeypatch.setattr(scan_noise, "MIN_SHARE", 0.05)  # the bound of a corpus many times as large
+    large = run()
+    assert small == large
+    assert large["the settlernent Wenmorfund and Benmorfund stand"][0] == "the settlement Wenmorfund and Benmorfund stand"
+    assert large["Quarter ledger annex\nthe board"] == ("the board", ["running header"])
+    assert large["every sett-\nlement"][0] == "every settlement" and large["the settle ment report"][0] == "the settlement report"
+
+
+def test_rare_words_are_judged_by_their_number(spark):
+    rows = ["the settlement is due"] * 40 + ["the settlernent is due"] * 6
+    df = spark.createDataFrame([("t", i, None, x) for i, x in enumerate(rows)], "item_table string, item_id long, doc string, text string")
+    assert all(not r["faults"] for r in repair_scans(df).collect())  # 40 is less than eight times 6
