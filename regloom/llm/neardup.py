@@ -392,5 +392,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == signature:
             break
         signature = now
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).distinct()
