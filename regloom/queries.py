@@ -82,10 +82,11 @@ def _document_texts(spark: SparkSession, sf_dir: str, text: Text = plain) -> Dat
 
 
 def _pages(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    """(doc, page, text): clause texts by their numeric page."""
+    """(doc, page, text): clause texts by their numeric page; the SQL over ``plain`` texts leaves out clauses without one (null)."""
     rows = table(spark, sf_dir, "directive_clauses").select("doc", F.expr("try_cast(page as int)").alias("page"), "sequence_no", "clause_id", text(F.col("language_from_directive")).alias("t"))
     ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "clause_id", "t")))
-    return rows.filter("page is not null").groupBy("doc", "page").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
+    kept = rows.filter("page is not null") if text is plain else rows
+    return kept.groupBy("doc", "page").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
 
 
 def page_render(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from regloom import queries as q
 from regloom.functions import rules
+from regloom.operators.clauses import page_lookup
 from regloom.operators.match import token_set_ratio
 
 TEXTS = [
@@ -119,6 +120,15 @@ def test_matching(spark, sf, name):
         assert best[3] is None or got[gap][2] == best[3]
 
 
+def test_pages_of_unknown_number(spark, sf):
+    got = dict(run(spark, sf, "page_render_whole"))
+    assert got["d"] == f"{TEXTS[2][3]}\n\n--- Page 1 ---\n{TEXTS[0][3]}\n\n--- Page 2 ---\n{TEXTS[1][3]}"
+    assert got["e"] == f"{TEXTS[4][3]}\n\n--- Page 1 ---\n{TEXTS[3][3]}".strip() and got["f"] == ""
+    pages = spark.createDataFrame([("d", None, "committee report"), ("d", 2, "report")], "doc string, page int, text string")
+    asked = spark.createDataFrame([(1, "d", "committee"), (2, "d", "report"), (3, "d", "nothing")], "query_id long, doc string, query string")
+    assert sorted(map(tuple, page_lookup(pages, asked).collect())) == [(1, "Unknown"), (2, "2"), (3, "Not located")]
+
+
 def test_titles(spark, sf):
     assert sorted(run(spark, sf, "safe_names_whole"))[0][1:3] == ("Verf_gung_Nr. 5 _ Gr_e 2011", "2011")
 
