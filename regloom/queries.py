@@ -134,9 +134,10 @@ def register_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_candidates(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    """Which pages of the directives hold too little text, page by page."""
+    """Which directives hold too little text over all their clauses; over ``plain`` texts clause by clause, as in the SQL."""
     rows = table(spark, sf_dir, "directive_clauses")
-    pages = rows.select(F.concat_ws("/", "doc", "sequence_no").alias("doc"), F.lit(1).alias("page"), text(F.col("language_from_directive")).alias("text"))
+    document = F.concat_ws("/", "doc", "sequence_no") if text is plain else F.col("doc")
+    pages = rows.select(document.alias("doc"), F.col("sequence_no").alias("page"), text(F.col("language_from_directive")).alias("text"))
     return needs_ocr(pages)
 
 

@@ -129,6 +129,11 @@ def test_pages_of_unknown_number(spark, sf):
     assert sorted(map(tuple, page_lookup(pages, asked).collect())) == [(1, "Unknown"), (2, "2"), (3, "Not located")]
 
 
+def test_character_recognition_is_judged_by_document(spark, sf):
+    texts = {d: [(t or "").strip() for _, doc, _, _, t, _ in CLAUSES if doc == d] for d in "def"}
+    assert dict(run(spark, sf, "ocr_candidates_whole")) == {d: len(" ".join(t)) < 80 for d, t in texts.items()} == {"d": False, "e": False, "f": True}
+
+
 def test_titles(spark, sf):
     assert sorted(run(spark, sf, "safe_names_whole"))[0][1:3] == ("Verf_gung_Nr. 5 _ Gr_e 2011", "2011")
 
