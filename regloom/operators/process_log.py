@@ -23,6 +23,18 @@ def append(*logs: DataFrame) -> DataFrame:
     return joined.withColumn("seq", F.row_number().over(Window.orderBy("part", "seq"))).drop("part")
 
 
+def failed_endpoints(spark: SparkSession, errors: Sequence[tuple[str, str]]) -> DataFrame:
+    """A log row for every list endpoint that failed, from (endpoint, error)."""
+    return log(spark, [("List Scan", "Failed", f"{endpoint}: {error}", 0) for endpoint, error in errors])
+
+
+def found(rows: DataFrame, stage: str, message: str, otherwise: str) -> DataFrame:
+    """As ``counted``, with status Failed and the other message if the frame is empty."""
+    some = F.col("row_count") > 0
+    status, text = F.when(some, "Completed").otherwise("Failed"), F.when(some, message).otherwise(otherwise)
+    return counted(rows, stage, "", "").withColumns({"status": status, "message": text})
+
+
 def counted(rows: DataFrame, stage: str, status: str, message: str) -> DataFrame:
     """A log row with the number of rows of a frame, computed with the rest of the plan."""
     return rows.agg(F.count("*").alias("row_count")).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,18 @@ from regloom.operators.clauses import clauses, render_pages
 from regloom.operators.coverage import assess, gap_kpis
 from regloom.operators.match import hybrid_match
 from regloom.operators.policy import chunk_policies, readable
-from regloom.operators.process_log import append, counted, log
+from regloom.operators.process_log import append, counted, failed_endpoints, found as counted_or_failed, log
 from regloom.operators.register import obligations, pair_counts, register_kpis, value_counts
 
 
-def crawl(sources: list[DataFrame], section: str | None = None, year: str | None = None) -> dict[str, DataFrame]:
-    """Catalogue of the first source with rows, filtered; ``sources`` are catalogue frames in order of preference."""
+NOTHING_FOUND = "No directives were found in any source."
+
+
+def crawl(sources: list[DataFrame], section: str | None = None, year: str | None = None, errors: Sequence[tuple[str, str]] = ()) -> dict[str, DataFrame]:
+    """Catalogue of the first source with rows, filtered; ``sources`` are catalogue frames in order of preference.
+
+    ``errors`` are the list endpoints that failed (``sources.remote.list_errors``), a log row each.
+    """
     found = cat.layered(*sources)
     shown = cat.filter_catalogue(found, section, year)
     message = f"Applied filters: section={section or 'All'}, year={year or 'All'}"
@@ -24,7 +32,11 @@ def crawl(sources: list[DataFrame], section: str | None = None, year: str | None
         "records": shown,
         "metadata": cat.metadata(found),
         "kpis": cat.catalogue_kpis(shown),
-        "logs": append(counted(found, "Results", "Completed", "Catalogue rows"), counted(shown, "Filter", "Completed", message)),
+        "logs": append(
+            failed_endpoints(found.sparkSession, errors),
+            counted_or_failed(found, "Results", "Catalogue rows", NOTHING_FOUND),
+            counted(shown, "Filter", "Completed", message),
+        ),
     }
 
 

@@ -50,20 +50,32 @@ class _ListReader(DataSourceReader):
         self.top = int(options.get("top", str(TOP)))
 
     def read(self, partition) -> Iterator[tuple]:
-        """Items of the first endpoint that has any; an endpoint that fails is passed over."""
+        """Items of the first endpoint that has any; an endpoint that fails is passed over (see ``list_errors``)."""
+        for i, item in enumerate(self.items([])):
+            yield (i, *[None if item.get(n) is None else str(item.get(n)) for n in ALTERNATIVES])
+
+    def items(self, errors: list[tuple[str, str]]) -> list[dict]:
+        """The same items as they were delivered; (endpoint, error) of failed endpoints go to ``errors``."""
         for endpoint in self.endpoints:
             query = urllib.parse.urlencode({"$select": ",".join(SELECTED), "$top": str(self.top)})
             request = urllib.request.Request(f"{endpoint}?{query}", headers={"Accept": "application/json;odata=nometadata"})
             try:
                 with urllib.request.urlopen(request, timeout=self.timeout) as response:
                     payload = json.load(response)
-            except (OSError, ValueError):
+            except (OSError, ValueError) as e:
+                errors.append((endpoint, f"{type(e).__name__}: {e}"))
                 continue
             items = payload.get("value") or (payload.get("d") or {}).get("results") or []
             if items:
-                for i, item in enumerate(items):
-                    yield (i, *[None if item.get(n) is None else str(item.get(n)) for n in ALTERNATIVES])
-                return
+                return items
+        return []
+
+
+def list_errors(endpoints: str, timeout: float = 45) -> list[tuple[str, str]]:
+    """(endpoint, error) of the endpoints, separated by ``|``, that fail before one has items; asks each for one item."""
+    errors: list[tuple[str, str]] = []
+    _ListReader({"endpoints": endpoints, "timeout": str(timeout), "top": "1"}).items(errors)
+    return errors
 
 
 class ListItems(DataSource):

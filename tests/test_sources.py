@@ -3,7 +3,9 @@ import json
 
 import pytest
 
+from regloom.operators import catalogue as cat
 from regloom.operators import register as reg
+from regloom.plans.pipelines import crawl
 from regloom.sources import documents, registers, remote, sinks
 from regloom.streaming.ingest import start_register_stream
 
@@ -73,6 +75,15 @@ def test_payload_files_and_list_source(spark, tmp_path):
     assert spark.read.format("list_items").option("endpoints", "http://127.0.0.1:9/x").option("timeout", "1").load().count() == 0
 
 
+def test_failed_endpoints_and_empty_sources_are_logged(spark):
+    errors = remote.list_errors("http://127.0.0.1:9/x|http://127.0.0.1:9/y", 1)
+    assert [e for e, _ in errors] == ["http://127.0.0.1:9/x", "http://127.0.0.1:9/y"]
+    empty = spark.createDataFrame([], "seq int, " + ", ".join(f"{c} {'boolean' if c in ('cached', 'downloaded') else 'string'}" for c in cat.COLUMNS))
+    rows = [tuple(r) for r in crawl([empty, empty], errors=errors)["logs"].orderBy("seq").collect()]
+    assert [(r[0], r[1], r[2], r[4]) for r in rows] == [(1, "List Scan", "Failed", 0), (2, "List Scan", "Failed", 0), (3, "Results", "Failed", 0), (4, "Filter", "Completed", 0)]
+    assert rows[0][3].startswith("http://127.0.0.1:9/x: ")
+
+
 def test_stream(spark, tmp_path):
     drop = tmp_path / "in"
     drop.mkdir()
