@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest lookup side, in bytes by the optimizer's estimate, that may be broadcast. Files are estimated by their
-#: compressed size, so the rows may take several times as much.
-BROADCAST_BYTES = 16 * 1024 * 1024
+#: Largest lookup side, in bytes of its rows as counted, that is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+#: Bytes a row takes besides its strings, arrays and maps.
+ROW_BYTES = 64
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of the plan's output."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take, counted in one pass over them; the plan of ``df`` runs once for it."""
+    width = F.lit(ROW_BYTES)
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    return df.select(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
 
 
 def lookup_join(
@@ -20,17 +27,19 @@ def lookup_join(
     small: DataFrame,
     on: list[str],
     how: str = "left",
-    limit: int = BROADCAST_BYTES,
+    limit: int | None = None,
     salts: int = 16,
 ) -> DataFrame:
     """Join rows to a lookup table that is unique on ``on``.
 
-    A lookup below ``limit`` bytes is broadcast. Beyond it every lookup row is replicated ``salts`` times
+    The rows of the lookup are measured; up to ``limit`` bytes it is broadcast. Beyond it every lookup row is replicated ``salts`` times
     and the big side gets a salt by the hash of its row, so that a key holding a third of all rows is
-    spread over ``salts`` tasks. Both ways return the same rows.
+    spread over ``salts`` tasks; with one salt (keys that are unique on both sides) it is a plain join. All ways return the same rows.
     """
-    if estimated_bytes(small) <= limit:
+    if measured_bytes(small) <= (BROADCAST_BYTES if limit is None else limit):
         return big.join(F.broadcast(small), on, how)
+    if salts == 1:
+        return big.join(small, on, how)
     taken = {c.lower() for c in [*big.columns, *small.columns]}
     salt = "salt"
     while salt in taken:
