@@ -5,17 +5,19 @@ A text is the multiset of its words (runs of letters and digits, lower case, loo
 dice = 2c/(a+b) obey dice = 2J/(1+J). Equal multisets collapse into classes first; everything below works on one
 representative per class, so groups of copies cost nothing.
 
-Forest: every class has ``FUNCTIONS`` MinHash values. Each of ``TREES`` trees orders a fixed selection of them; a prefix
-of that sequence is a path in a trie, and the keys of all tries are exchanged once, packed, and sorted. Classes
-that share a prefix are candidates. Matching starts at a long prefix. From the verified pairs the
+Forest: every class has ``FUNCTIONS`` MinHash bytes. A tree orders ``DEPTH`` of them; the eight bytes in that order are one
+64-bit path of its trie, so sorting the paths of a tree sorts its trie, and a shorter prefix is a mask over the low bytes.
+The paths are exchanged once a round, packed, by tree and first two bytes; every task sorts its part and pairs the classes under
+the same node. Matching starts at the whole path. From the verified pairs the
 recall is estimated (each found pair of similarity s stands for 1/P(found | s) pairs, Horvitz-Thompson; P is simulated for the
-very trees, as they share their functions), and the search is repeated with the longest prefix that promises ``target_recall``
-until the estimate reaches it, for pairs of classes and for pairs of rows.
+very trees, as they share their functions). While the estimate is below ``target_recall``, for pairs of classes or for pairs of rows, the prefix
+is shortened to the longest one that promises it and only pairs that first meet there are emitted. A target that no prefix reaches is an error.
 
 Candidates pass an exact bound first (a parity bitmap of 128 bits bounds the symmetric difference from below, the word
-counts bound the overlap from above), then the multisets themselves are intersected. A trie node with more than
+counts bound the overlap from above), then the share of equal MinHash bytes (five standard deviations below what a pair at the
+limit has, which loses fewer than one pair in a million); then the multisets themselves are intersected. A trie node with more than
 ``NODE_PAIRS`` classes is not paired inside its task: its members are joined in blocks under the same bounds, so no
-candidate is dropped.
+candidate is dropped. A class with many copies is split into blocks wherever its rows are joined.
 
 Defined results: null texts and texts without words belong to no pair; equal texts pair with each other; the length of
 a text is not limited; rows of different tables never pair.
@@ -40,14 +42,16 @@ from regloom.joins import lookup_join
 from regloom.llm.lookalikes import plain_rewriter
 from regloom.session import materialise, prepare
 
-FUNCTIONS, TREES, DEPTH, MIN_DEPTH = 64, 48, 8, 3
+FUNCTIONS, TREES, DEPTH, MIN_DEPTH = 128, 48, 8, 1
 SIMILARITY, TARGET_RECALL = 0.80, 0.9995
 #: Simulated pairs a depth.
-SAMPLES = 200_000
+SAMPLES = 100_000
 #: Classes of one trie node that are paired inside its task.
 NODE_PAIRS = 128
-#: Keys one reducer sorts at a time.
+#: Paths one reducer sorts at a time.
 KEYS_PER_PART = 2_000_000
+#: Elements of texts of similar length that are hashed together.
+HASHED_AT_ONCE = 1 << 15
 #: Rows of one group that are joined as one block.
 BLOCK_ROWS = 4096
 
@@ -69,12 +73,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _plan() -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers of the hash functions and, by tree, the order of functions along a path."""
+def _plan() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks and multipliers of the hash functions and, by tree, the order of functions along a path.
+
+    The trees deal out one shuffled pack of all functions after the other, so that two trees share as few as possible.
+    """
     rng = np.random.default_rng(20240521)
-    factors = rng.integers(0, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    paths = np.stack([rng.permutation(FUNCTIONS)[:DEPTH] for _ in range(TREES)])
-    return factors, paths
+    masks = rng.integers(0, 2**32, FUNCTIONS, dtype=np.uint32)
+    factors = rng.integers(0, 2**31, FUNCTIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    packs = [rng.permutation(FUNCTIONS) for _ in range(-(-TREES * DEPTH // FUNCTIONS))]
+    return masks, factors, np.concatenate(packs)[: TREES * DEPTH].reshape(TREES, DEPTH)
 
 
 def element_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +124,7 @@ def signatures(texts: list[str]) -> dict[str, np.ndarray]:
     with np.errstate(over="ignore"):
         out["h0"][some] = np.add.reduceat(_mix(elements ^ _G), starts)
         out["h1"][some] = np.add.reduceat(_mix(elements + _G), starts)
-        for f, factor in enumerate(_plan()[0]):
-            value = (elements * factor) >> np.uint64(24)
-            out["sig"][some, f] = (np.minimum.reduceat(value, starts) & np.uint64(0xFF)).astype(np.uint8)
+        out["sig"][some] = _min_hashes((elements >> np.uint64(32)).astype(np.uint32), starts, n[some])
     bit = np.uint64(1) << (elements & np.uint64(63))
     upper = ((elements >> np.uint64(6)) & np.uint64(1)).astype(bool)
     out["b0"][some] = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), starts)
@@ -126,6 +132,33 @@ def signatures(texts: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
+def _min_hashes(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(texts, FUNCTIONS) bytes of the smallest hashes of each text's elements values[start : start + n].
+
+    Texts of similar length lie side by side in a matrix, short ones padded with an element they have.
+    """
+    masks, factors, _ = _plan()
+    out = np.empty((len(n), FUNCTIONS), np.uint8)
+    order = np.argsort(n, kind="stable")
+    lengths = n[order]
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and lengths[end] * (end + 1 - at) <= HASHED_AT_ONCE and lengths[end] <= 1.3 * lengths[at] + 4:
+            end += 1
+        rows = order[at:end]
+        longest = int(lengths[end - 1])
+        block = values[starts[rows][None, :] + np.minimum(np.arange(longest)[:, None], n[rows][None, :] - 1)]
+        hashed, low = np.empty_like(block), np.empty((FUNCTIONS, len(rows)), np.uint32)
+        for f in range(FUNCTIONS):
+            np.bitwise_xor(block, masks[f], out=hashed)
+            np.multiply(hashed, factors[f], out=hashed)
+            np.minimum.reduce(hashed, axis=0, out=low[f])
+        out[rows] = ((low ^ (low >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(24)).T
+        at = end
+    return out
+
+
 def _features(items: DataFrame) -> DataFrame:
     schema = "item_table string, item_id long, h0 long, h1 long, n int, sig binary, b0 long, b1 long"
     names = ["item_table", "item_id", "h0", "h1", "n", "sig", "b0", "b1"]
@@ -143,80 +176,88 @@ def _features(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(compute, schema)
 
 
-def _prefix_keys(sig: np.ndarray, salt: np.ndarray, depth: int) -> np.ndarray:
-    """(rows, TREES) 64-bit keys of the paths of length ``depth``."""
-    paths = _plan()[1]
-    with np.errstate(over="ignore"):
-        key = _mix(salt[:, None] + np.arange(1, TREES + 1, dtype=np.uint64)[None, :] * _G)
-        for d in range(depth):
-            key = _mix(key * np.uint64(0x100000001B3) + sig[:, paths[:, d]].astype(np.uint64))
-    return key
+def _paths(sig: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """(rows, TREES) paths, the first function of a tree in the highest byte; tables are told apart by their salt."""
+    along = sig[:, _plan()[2]].astype(np.uint64)  # rows, TREES, DEPTH
+    path = np.zeros(along.shape[:2], np.uint64)
+    for d in range(DEPTH):
+        path |= along[:, :, d] << np.uint64(8 * (7 - d))
+    return path ^ salt[:, None]
+
+
+def _mask(depth: int) -> np.uint64:
+    """The bits of a path that a prefix of ``depth`` bytes compares."""
+    return np.uint64((0xFFFFFFFFFFFFFFFF << (8 * (8 - depth))) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _candidates(classes: DataFrame, depth: int, parts: int) -> DataFrame:
-    """(a, b, node): pairs a < b of classes that share a path of ``depth``; rows with ``node`` are members of large nodes."""
+def _candidates(classes: DataFrame, depth: int, parts: int, above: int | None = None) -> DataFrame:
+    """(a, b, node): pairs a < b of classes under one node of ``depth``; rows with ``node`` are members of large nodes.
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Pairs under one node of the deeper level ``above``, which earlier rounds have met, are left out.
+    """
+    shared = min(depth, 2)  # bytes of a path that decide its part
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             cid = b.column(0).to_numpy(zero_copy_only=False)
             salt = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
-            key = _prefix_keys(sig, salt, depth)
-            part = (key >> np.uint64(32)) % np.uint64(parts)
+            path = _paths(sig, salt)
+            with np.errstate(over="ignore"):
+                place = _mix((path & _mask(shared)) + np.arange(1, TREES + 1, dtype=np.uint64)[None, :] * _G)
+            part = place % np.uint64(parts)
             base = cid >> 16
             for group in np.unique(base):  # offsets from a common base need two bytes
                 rows = np.nonzero(base == group)[0]
-                k, p = key[rows].ravel(), part[rows].ravel()
+                k, p = path[rows].ravel(), part[rows].ravel()
+                tree = np.tile(np.arange(TREES, dtype=np.uint8), len(rows))
                 off = np.repeat((cid[rows] & 0xFFFF).astype(np.uint16), TREES)
-                order = np.argsort(p, kind="stable")
-                k, p, off = k[order].astype(np.uint32), p[order], off[order]
+                order = np.lexsort((tree, p))
+                k, p, off, tree = k[order], p[order], off[order], tree[order]
                 cuts = np.nonzero(np.diff(p))[0] + 1
-                ps = p[np.concatenate([[0], cuts])].astype(np.int32)
-                ks, os_ = np.split(k, cuts), np.split(off, cuts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ps),
-                        pa.array(np.full(len(ps), group, np.int64)),
-                        pa.array([x.tobytes() for x in ks], pa.binary()),
-                        pa.array([x.tobytes() for x in os_], pa.binary()),
+                        pa.array(p[np.concatenate([[0], cuts])].astype(np.int32)),
+                        pa.array(np.full(len(cuts) + 1, group, np.int64)),
+                        *[pa.array([x.tobytes() for x in np.split(column, cuts)], pa.binary()) for column in (k, off, tree)],
                     ],
-                    names=["part", "base", "keys", "offsets"],
+                    names=["part", "base", "paths", "offsets", "trees"],
                 )
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        by_part: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for b in batches:
-            for p, base, k, o in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by_part.setdefault(p, []).append((np.frombuffer(k, np.uint32), (base << 16) + np.frombuffer(o, np.uint16).astype(np.int64)))
+            for p, base, k, o, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                by_part.setdefault(p, []).append((np.frombuffer(k, np.uint64), (base << 16) + np.frombuffer(o, np.uint16).astype(np.int64), np.frombuffer(t, np.uint8)))
         for p in list(by_part):
-            chunks = by_part.pop(p)
-            k = np.concatenate([c[0] for c in chunks])
-            c = np.concatenate([c[1] for c in chunks])
-            order = np.lexsort((c, k))
-            k, c = k[order], c[order]
-            edges = np.concatenate([[0], np.nonzero(np.diff(k))[0] + 1, [len(k)]])
+            path, c, tree = (np.concatenate(x) for x in zip(*by_part.pop(p), strict=True))
+            order = np.lexsort((c, path, tree))
+            path, c, tree = path[order], c[order], tree[order]
+            node = path & _mask(depth)
+            edges = np.concatenate([[0], np.nonzero((np.diff(node) != 0) | (np.diff(tree) != 0))[0] + 1, [len(node)]])
             size = np.diff(edges)
             left, right = [], []
             for n in np.unique(size[(size > 1) & (size <= NODE_PAIRS)]):
                 at = edges[:-1][size == n]
                 i, j = np.triu_indices(int(n), 1)
-                left.append(c[at[:, None] + i[None, :]].ravel())
-                right.append(c[at[:, None] + j[None, :]].ravel())
+                x, y = (at[:, None] + i[None, :]).ravel(), (at[:, None] + j[None, :]).ravel()
+                if above is not None:
+                    fresh = (path[x] ^ path[y]) & _mask(above) != 0
+                    x, y = x[fresh], y[fresh]
+                left.append(np.minimum(c[x], c[y]))
+                right.append(np.maximum(c[x], c[y]))
             if left:
-                a, b_ = np.concatenate(left), np.concatenate(right)
-                differ = a != b_
-                both = np.unique(np.stack([a[differ], b_[differ]], 1), axis=0)
+                both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["a", "b", "node"])
-            large = np.nonzero(size > NODE_PAIRS)[0]
-            for x in large:
-                members = np.unique(c[edges[x] : edges[x + 1]])
-                node = (p << 32) + int(k[edges[x]])
-                yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64()), pa.array(np.full(len(members), node, np.int64))], names=["a", "b", "node"])
+            for x in np.nonzero(size > NODE_PAIRS)[0]:
+                members = c[edges[x] : edges[x + 1]]
+                name = xxhash.xxh3_64_intdigest(node[edges[x]].tobytes() + tree[edges[x]].tobytes()) >> 1
+                yield pa.RecordBatch.from_arrays([pa.array(members), pa.nulls(len(members), pa.int64()), pa.array(np.full(len(members), name, np.int64))], names=["a", "b", "node"])
 
-    packed = classes.select("cid", "item_table", "sig").mapInArrow(keys, "part int, base long, keys binary, offsets binary")
-    return packed.repartition(parts, "part").mapInArrow(pair, "a long, b long, node long")
+    packed = classes.select("cid", "item_table", "sig").mapInArrow(paths, "part int, base long, paths binary, offsets binary, trees binary")
+    return packed.repartitionById(parts, "part").mapInArrow(pair, "a long, b long, node long")
 
 
 def _bounded(a: str, b: str, similarity: float) -> F.Column:
@@ -224,11 +265,12 @@ def _bounded(a: str, b: str, similarity: float) -> F.Column:
     col = lambda side, k: F.col(f"{side}_{k}")
     total = col(a, "n") + col(b, "n")
     apart = F.bit_count(col(a, "b0").bitwiseXOR(col(b, "b0"))) + F.bit_count(col(a, "b1").bitwiseXOR(col(b, "b1")))
-    return (2 * F.least(col(a, "n"), col(b, "n")) >= similarity * total - 1e-9) & (apart <= (1 - similarity) * total + 1e-9)
+    same = col(a, "item_table") == col(b, "item_table")
+    return same & (2 * F.least(col(a, "n"), col(b, "n")) >= similarity * total - 1e-9) & (apart <= (1 - similarity) * total + 1e-9)
 
 
 def _sketch(classes: DataFrame, side: str) -> DataFrame:
-    return classes.select(F.col("cid").alias(side), *[F.col(k).alias(f"{side}_{k}") for k in ("n", "b0", "b1")])
+    return classes.select(F.col("cid").alias(side), *[F.col(k).alias(f"{side}_{k}") for k in ("item_table", "n", "b0", "b1")])
 
 
 def _block_join(rows: DataFrame, key: list[str], payload: list[str], condition, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -247,22 +289,41 @@ def _plausible(found: DataFrame, classes: DataFrame, similarity: float) -> DataF
     """Distinct candidate pairs that pass the exact bounds."""
     pairs = found.filter("node is null").select("a", "b").distinct()
     direct = pairs.join(_sketch(classes, "a"), "a").join(_sketch(classes, "b"), "b").filter(_bounded("a", "b", similarity)).select("a", "b")
-    members = found.filter("node is not null").select("node", F.col("a").alias("cid")).join(classes.select("cid", "n", "b0", "b1"), "cid")
+    members = found.filter("node is not null").select("node", F.col("a").alias("cid")).join(classes.select("cid", "item_table", "n", "b0", "b1"), "cid")
     total = F.col("x.n") + F.col("y.n")
     apart = F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))) + F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1")))
     close = (
         (F.col("x.cid") < F.col("y.cid"))
+        & (F.col("x.item_table") == F.col("y.item_table"))
         & (2 * F.least(F.col("x.n"), F.col("y.n")) >= similarity * total - 1e-9)
         & (apart <= (1 - similarity) * total + 1e-9)
     )
-    blocked = _block_join(members, ["node"], ["cid", "n", "b0", "b1"], close).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    blocked = _block_join(members, ["node"], ["cid", "item_table", "n", "b0", "b1"], close).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     return direct.unionByName(blocked).distinct()
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose MinHash bytes agree often enough for a pair at the limit, less five standard deviations."""
+    p = similarity / (2 - similarity)
+    p += (1 - p) / 256
+    least = FUNCTIONS * p - 5 * math.sqrt(FUNCTIONS * p * (1 - p))
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, FUNCTIONS) for i in (2, 3))
+            keep = pa.array(np.nonzero((x == y).sum(axis=1) >= least)[0])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+
+    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ends")
+    sigs = materialise(lookup_join(classes.select("cid", "sig"), ends, ["cid"], "inner", salts=1), "sigs")
+    both = pairs.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     """(a, b, dice): pairs whose multisets overlap enough."""
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = materialise(classes.select("cid", "item_table", F.col("rep").alias("item_id")).join(ends, "cid"), "wanted")
+    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ends")
+    wanted = materialise(lookup_join(classes.select("cid", "item_table", F.col("rep").alias("item_id")), ends, ["cid"], "inner", salts=1), "wanted")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,7 +339,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, items: DataFrame, similarity
                 dice.append(2 * len(np.intersect1d(u, v, assume_unique=True)) / (len(u) + len(v)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dice, pa.float64())], names=["a", "b", "dice"])
 
-    texts = lookup_join(items.select("item_table", F.col("item_id").cast("long").alias("item_id"), "text"), wanted, ["item_table", "item_id"], "inner")
+    texts = lookup_join(items.select("item_table", F.col("item_id").cast("long").alias("item_id"), "text"), wanted, ["item_table", "item_id"], "inner", salts=1)  # item ids are unique
     sets = texts.select("cid", "text").mapInArrow(elements, "cid long, elements binary")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("eb")), "b")
     return both.select("a", "b", "ea", "eb").mapInArrow(overlap, "a long, b long, dice double").filter(F.col("dice") >= similarity - 1e-9)
@@ -294,8 +355,8 @@ def _thresholds(depth: int) -> np.ndarray:
     rng = np.random.default_rng(depth)
     found = []
     for _ in range(SAMPLES // 5000):
-        u = rng.random((FUNCTIONS, 5000))
-        found.append(np.min([u[path].max(axis=0) for path in _plan()[1][:, :depth]], axis=0))
+        u = rng.random((FUNCTIONS, 5000), dtype=np.float32)
+        found.append(np.min([u[path].max(axis=0) for path in _plan()[2][:, :depth]], axis=0))
     return np.sort(np.concatenate(found))
 
 
@@ -326,6 +387,15 @@ def _estimated_recall(overlaps: np.ndarray, depth: int, searched: int | None = N
     return float(np.min((total * _detected(overlaps[:, 0], depth)[:, None]).sum(axis=0) / total.sum(axis=0)))
 
 
+def _members(features: DataFrame, classes: DataFrame) -> DataFrame:
+    """(item_table, item_id, cid, copies): every row with its class. Classes of many copies meet their rows by a lookup, so that none of them is one task."""
+    key = ["item_table", "h0", "h1"]
+    hot = materialise(classes.filter(F.col("copies") > BLOCK_ROWS), "hot")
+    marked = lookup_join(features, hot, key)
+    rest = marked.filter("cid is null").drop("cid", "copies").join(classes.filter(F.col("copies") <= BLOCK_ROWS), key)
+    return marked.filter("cid is not null").unionByName(rest).select("item_table", "item_id", "cid", "copies")
+
+
 class NearDuplicates:
     """Classes of equal texts and pairs of similar classes.
 
@@ -340,21 +410,24 @@ class NearDuplicates:
             F.min("item_id").alias("rep"), F.count("*").alias("copies"), *[F.first(k).alias(k) for k in ("n", "sig", "b0", "b1")]
         )
         self.classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-        self.members = features.select("item_table", "item_id", "h0", "h1").join(
-            self.classes.select("item_table", "h0", "h1", "cid", "copies"), ["item_table", "h0", "h1"]
-        ).select("item_table", "item_id", "cid", "copies")
+        self.members = _members(features.select("item_table", "item_id", "h0", "h1"), self.classes.select("item_table", "h0", "h1", "cid", "copies"))
         parts = max(1, math.ceil(self.classes.count() * TREES / KEYS_PER_PART))
-        parts = max(parts, min(12, items.sparkSession.sparkContext.defaultParallelism))
+        parts = max(parts, min(2 * TREES, 2 * items.sparkSession.sparkContext.defaultParallelism))
+        above, pairs = None, None
         while True:
-            candidates = materialise(_candidates(self.classes, depth, parts), "candidates")
+            candidates = materialise(_candidates(self.classes, depth, parts, above), "candidates")
             plausible = materialise(_plausible(candidates, self.classes, similarity), "plausible")
-            self.pairs = materialise(_verified(plausible, self.classes, items, similarity), "pairs")
-            overlaps = _overlaps(self.pairs, self.classes)
+            alike = materialise(_alike(plausible, self.classes, similarity), "alike")
+            found = _verified(alike, self.classes, items, similarity)
+            self.pairs = pairs = materialise(found if pairs is None else pairs.unionByName(found).distinct(), "pairs")
+            overlaps = _overlaps(pairs, self.classes)
             self.depth, self.recall = depth, _estimated_recall(overlaps, depth)
-            if self.recall >= target_recall or depth <= MIN_DEPTH:
+            if self.recall >= target_recall:
                 break
-            searched, depth = depth, depth - 1
-            while depth > MIN_DEPTH and _estimated_recall(overlaps, depth, searched) < target_recall:
+            if depth <= MIN_DEPTH:
+                raise RuntimeError(f"recall {self.recall:.4f} at depth {depth}: these trees do not reach {target_recall}")
+            above, depth = depth, depth - 1
+            while depth > MIN_DEPTH and _estimated_recall(overlaps, depth, above) < target_recall:
                 depth -= 1
 
     def row_pairs(self) -> DataFrame:
@@ -362,9 +435,16 @@ class NearDuplicates:
         rows = self.members
         within = _block_join(rows.filter("copies > 1").select("item_table", "cid", "item_id"), ["item_table", "cid"], ["item_id"], F.col("x.item_id") < F.col("y.item_id"))
         within = within.select(F.col("x.item_table").alias("item_table"), F.col("x.item_id").alias("id_a"), F.col("y.item_id").alias("id_b"))
-        a = rows.select(F.col("cid").alias("a"), "item_table", F.col("item_id").alias("ia"))
-        b = rows.select(F.col("cid").alias("b"), F.col("item_id").alias("ib"))
-        across = self.pairs.join(a, "a").join(b, "b").select("item_table", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+        # the rows of a class with many copies are dealt out to blocks, and its pairs go to each of them
+        blocks = F.ceil(F.col("copies") / BLOCK_ROWS).cast("int")
+        placed = rows.withColumn("block", F.pmod(F.xxhash64("item_id"), blocks).cast("int"))
+        sized = self.classes.select("cid", blocks.alias("blocks"))
+        every = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"blocks_{side}") - 1)).alias(f"block_{side}")
+        linked = self.pairs.join(sized.toDF("a", "blocks_a"), "a").join(sized.toDF("b", "blocks_b"), "b")
+        linked = linked.select("a", "b", "blocks_b", every("a")).select("a", "b", "block_a", every("b"))
+        a = placed.select(F.col("cid").alias("a"), F.col("block").alias("block_a"), "item_table", F.col("item_id").alias("ia"))
+        b = placed.select(F.col("cid").alias("b"), F.col("block").alias("block_b"), F.col("item_id").alias("ib"))
+        across = linked.join(a, ["a", "block_a"]).join(b, ["b", "block_b"]).select("item_table", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
         return within.unionByName(across)
 
     def groups(self) -> DataFrame:
