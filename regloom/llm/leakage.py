@@ -7,25 +7,28 @@ equal sets have equal MinHash values, so one key of ``ROWS`` MinHash values over
 the recall of the search is 1 by construction. Neighbouring passages mostly share their minima, so a text of
 n words has far fewer keys than passages. Texts shorter than one passage hold none and drop out at once.
 
-Candidates (document, item) are verified by exact containment of the RUN-word shingles, which also gives the share of
-the item's shingles that the document contains and the longest run.
+A document passage that shares a key with an item passage is a candidate; it is verified by the exact RUN-word shingle, joined as a
+hash of 64 bits by itself, never with the text it comes from. Items of up to ``SHARED_PASSAGES`` passages hand their keys to all tasks, so that
+documents emit candidates only; beyond that, documents emit all passages and the join finds the candidates. The passages of one document
+and one item give the share of the item's shingles that the document contains and the longest run.
 
 Words are runs of letters and digits after folding case, look-alike and compatibility forms; punctuation and the kind of white space
 do not count. Defined results: null, empty and short texts leak nothing; a passage that occurs in
-several items is reported for each; repeated documents are reported one by one.
+several items is reported for each; repeated documents are reported one by one, a document id that occurs twice once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regloom.joins import lookup_join
@@ -34,6 +37,8 @@ from regloom.session import materialise, prepare
 
 #: Words in a row that make a leak; words of a shingle; MinHash values of a key.
 RUN, SHINGLE, ROWS = 12, 5, 2
+#: Passages of all items up to which their keys are shared with all tasks, 8 bytes each.
+SHARED_PASSAGES = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -46,11 +51,6 @@ def words(text: str) -> list[str]:
     return _WORD.findall(t.casefold())
 
 
-def _word_hashes(tokens: list[str]) -> np.ndarray:
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in tokens), np.uint64, len(tokens))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
@@ -67,66 +67,68 @@ def _rolled(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def passage_keys(tokens: list[str], run: int = RUN, shingle: int = SHINGLE, rows: int = ROWS) -> np.ndarray:
-    """Distinct MinHash keys of all passages of ``run`` words."""
-    if len(tokens) < run:
-        return np.empty(0, np.int64)
-    s = _rolled(_word_hashes(tokens), shingle)
+def _window_minima(v: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each window of ``width``: from windows of doubling width, two of which cover it."""
+    low, size = v, 1
+    while 2 * size <= width:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    rest = width - size
+    return np.minimum(low[:-rest], low[rest:]) if rest else low
+
+
+def passages(texts: list[str], run: int = RUN, shingle: int = SHINGLE, rows: int = ROWS) -> tuple[np.ndarray, ...]:
+    """(text, position, MinHash key, hash of the words) of all passages of ``run`` words of ``texts``."""
+    lists = [words(t) for t in texts]
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.empty(int(lengths.sum()), dtype=object)
+    flat[:] = list(chain.from_iterable(lists))
+    if len(flat) < run:
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    codes, uniques = pd.factorize(flat)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in uniques), np.uint64, len(uniques))[codes]
+    shingles = _rolled(h, shingle)
     width = run - shingle + 1
-    key = np.zeros(len(s) - width + 1, np.uint64)
+    key = np.zeros(len(h) - run + 1, np.uint64)
     for r in range(rows):
-        v = _mixed(s * _SEEDS[r])
-        low = np.lib.stride_tricks.sliding_window_view(v, width).min(axis=1)
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + low)
-    return np.unique(key.view(np.int64))
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + _window_minima(_mixed(shingles * _SEEDS[r]), width))
+    text = np.repeat(np.arange(len(lists)), lengths)
+    inside = np.nonzero(text[: len(key)] == text[run - 1 :])[0]  # a passage lies within one text
+    start = np.concatenate([[0], np.cumsum(lengths)])
+    return text[inside], inside - start[text[inside]], key[inside].view(np.int64), _rolled(h, run)[inside].view(np.int64)
 
 
-def _key_rows(items: DataFrame, id_column: str) -> DataFrame:
-    """(id, key): one row per passage key of each text."""
+def _passage_rows(items: DataFrame, id_column: str, keys: np.ndarray | None = None) -> DataFrame:
+    """(id, at, key, gram): one row per passage of each text; with ``keys`` (sorted) only those of a key among them."""
+    names = [id_column, "at", "key", "gram"]
+    shared = None if keys is None else items.sparkSession.sparkContext.broadcast(keys)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            per = [passage_keys(words(t)) for t in b.column(1).to_pylist()]
-            n = np.fromiter(map(len, per), np.int64, len(per))
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(per)), n)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(per) if per else np.empty(0, np.int64))], names=[id_column, "key"])
+            text, at, key, gram = passages(b.column(1).to_pylist())
+            if shared is not None:
+                known = shared.value
+                place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[place] == key
+                text, at, key, gram = text[hit], at[hit], key[hit], gram[hit]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(key), pa.array(gram)], names=names)
 
     rows = items.select(F.col(id_column).cast("long").alias(id_column), "text").filter(F.col("text").isNotNull())
-    return rows.mapInArrow(keys, f"{id_column} long, key long")
+    return rows.mapInArrow(cut, f"{id_column} long, at int, key long, gram long")
 
 
 def leaked_passages(documents: DataFrame, test_items: DataFrame) -> DataFrame:
     """(doc_id, item_no, shared, containment, longest_run) of documents that hold ``RUN`` or more words of an item in a row."""
     prepare(documents.sparkSession)
-    item_keys = materialise(_key_rows(test_items, "item_no").distinct(), "item-keys")
-    candidates = lookup_join(_key_rows(documents, "doc_id"), item_keys, ["key"], "inner").select("doc_id", "item_no").distinct()
-    candidates = materialise(candidates, "leak-candidates")
-    suspects = candidates.groupBy("doc_id").agg(F.collect_set("item_no").alias("items"))
-    texts = lookup_join(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), suspects, ["doc_id"], "inner")
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [_rolled(_word_hashes(words(t)), RUN).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["item_no", "grams"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mine: dict[int, np.ndarray] = {}
-            rows = defaultdict(list)
-            for doc, text, item, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if doc not in mine:
-                    mine[doc] = _rolled(_word_hashes(words(text)), RUN)
-                theirs = np.frombuffer(grams, np.uint64)
-                hit = np.isin(theirs, mine[doc])
-                if not hit.any():
-                    continue
-                edges = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-                run = int((np.nonzero(edges == -1)[0] - np.nonzero(edges == 1)[0]).max()) + RUN - 1
-                for k, v in (("doc_id", doc), ("item_no", item), ("shared", int(hit.sum())), ("containment", float(hit.mean())), ("longest_run", run)):
-                    rows[k].append(v)
-            types = {"doc_id": pa.int64(), "item_no": pa.int64(), "shared": pa.int64(), "containment": pa.float64(), "longest_run": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in types.items()], names=list(types))
-
-    grams = test_items.select(F.col("item_no").cast("long").alias("item_no"), "text").filter(F.col("text").isNotNull()).mapInArrow(shingles, "item_no long, grams binary")
-    pairs = lookup_join(texts.select("doc_id", "text", F.explode("items").alias("item_no")), grams, ["item_no"], "inner")
-    return pairs.select("doc_id", "text", "item_no", "grams").mapInArrow(verify, "doc_id long, item_no long, shared long, containment double, longest_run long")
+    held = materialise(_passage_rows(test_items, "item_no"), "item-passages")
+    size = held.count()
+    keys = None
+    if 0 < size <= SHARED_PASSAGES:
+        keys = np.unique(held.select("key").toPandas()["key"].to_numpy(np.int64))
+    found = _passage_rows(documents, "doc_id", keys).select("doc_id", "key", "gram")
+    known = held.select("item_no", "at", "key", "gram")
+    hits = lookup_join(found, known, ["key", "gram"], "inner").select("doc_id", "item_no", "at").distinct()
+    order = Window.partitionBy("doc_id", "item_no").orderBy("at")  # at most the passages of one item
+    runs = hits.withColumn("island", F.col("at") - F.row_number().over(order)).groupBy("doc_id", "item_no", "island").agg(F.count("*").alias("n"))
+    leaks = runs.groupBy("doc_id", "item_no").agg(F.sum("n").alias("shared"), (F.max("n") + (RUN - 1)).alias("longest_run"))
+    whole = held.groupBy("item_no").agg(F.count_distinct("at").alias("passages"))
+    return leaks.join(whole, "item_no").select("doc_id", "item_no", "shared", (F.col("shared") / F.col("passages")).alias("containment"), "longest_run")

@@ -34,4 +34,11 @@ def oracle_sql() -> dict[str, str]:
             dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM d),
             eg AS (SELECT item_no, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM e)
             SELECT DISTINCT doc_id, item_no FROM dg JOIN eg USING (g)""",
+        "p7_leaks": f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_no, {words} AS w FROM eval_items WHERE text IS NOT NULL),
+            dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM d)),
+            eg AS (SELECT item_no, unnest(range(1, len(w) - 10)) AS pos, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM e),
+            hits AS (SELECT doc_id, item_no, pos - row_number() OVER (PARTITION BY doc_id, item_no ORDER BY pos) AS island FROM dg JOIN eg USING (g)),
+            runs AS (SELECT doc_id, item_no, count(*) AS n FROM hits GROUP BY doc_id, item_no, island),
+            sizes AS (SELECT item_no, count(*) AS passages FROM eg GROUP BY item_no)
+            SELECT doc_id, item_no, CAST(sum(n) AS BIGINT) AS shared, sum(n) / any_value(passages) AS containment, max(n) + 11 AS longest_run FROM runs JOIN sizes USING (item_no) GROUP BY doc_id, item_no""",
     }

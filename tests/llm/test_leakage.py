@@ -1,6 +1,9 @@
 import random
 
-from regloom.llm.leakage import RUN, leaked_passages, passage_keys, words
+import numpy as np
+
+from regloom.llm import leakage
+from regloom.llm.leakage import RUN, leaked_passages, passages, words
 
 
 def test_equal_passages_share_a_key():
@@ -9,8 +12,17 @@ def test_equal_passages_share_a_key():
         run = [f"w{rng.randint(0, 30)}" for _ in range(RUN)]
         a = [f"a{i}" for i in range(rng.randint(0, 9))] + run + ["x"] * rng.randint(0, 5)
         b = ["y"] * rng.randint(0, 9) + run
-        assert set(passage_keys(a)) & set(passage_keys(b))
-    assert len(passage_keys(["w"] * (RUN - 1))) == 0
+        text, at, key, gram = passages([" ".join(a), "", "w " * (RUN - 1), " ".join(b)])
+        assert set(text) <= {0, 3} and len(text) == len(a) + len(b) - 2 * (RUN - 1)
+        assert set(key[text == 0]) & set(key[text == 3]) and set(gram[text == 0]) & set(gram[text == 3])
+        assert at.max() <= max(len(a), len(b)) - RUN
+    assert len(passages([])[0]) == len(passages(["w " * (RUN - 1)])[0]) == 0
+
+
+def test_window_minima():
+    v = np.random.default_rng(1).integers(0, 99, 40)
+    for width in (1, 2, 5, 8, 11):
+        assert leakage._window_minima(v, width).tolist() == [v[i : i + width].min() for i in range(41 - width)]
 
 
 def longest(a, b):
@@ -22,7 +34,7 @@ def longest(a, b):
     return best
 
 
-def test_equals_brute_force(spark):
+def test_equals_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     tokens = [f"w{i}" for i in range(60)]
     items = [[rng.choice(tokens) for _ in range(rng.randint(5, 60))] for _ in range(12)]
@@ -48,3 +60,5 @@ def test_equals_brute_force(spark):
     assert set(got) == set(truth) and len(truth) > 20
     assert all(got[k]["longest_run"] == n for k, n in truth.items())
     assert leaked_passages(d.limit(0), e).count() == 0 and leaked_passages(d, e.limit(0)).count() == 0
+    monkeypatch.setattr(leakage, "SHARED_PASSAGES", 10)  # too many items to share their keys
+    assert {(r["doc_id"], r["item_no"]): r for r in leaked_passages(d, e).collect()} == got
