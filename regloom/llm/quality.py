@@ -3,11 +3,11 @@
 All statistics are built-in column expressions. The rule list is induced from labelled documents by incremental reduced-error
 pruning: for each class, rarest first, a rule grows literal by literal on two thirds of the examples by information gain, is
 pruned on the rest as long as (p - n) / (p + n) does not fall, and is kept if its precision is at least ``MIN_PRECISION``;
-what it covers is set aside and the next rule grows. The list is exported as one SQL CASE expression and applied by
+what it covers is set aside and the next rule grows. Several lists from different splits vote on wrong labels first (see ``learned``). The list is exported as one SQL CASE expression and applied by
 Spark to every document. Only the labelled rows reach the driver, at most ``MAX_LABELS`` of them.
 
 Defined results: null text has null statistics and a null label; blank text is labelled ``empty`` and is neither prose nor found;
-contradicting labels all count as examples; with too few labels (fewer than ``MIN_EXAMPLES``) a fixed rule list applies.
+contradicting labels all count as examples; without labels of a kind no document is of that kind.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regloom.joins import lookup_join
+from regloom.session import materialise, prepare
 
-MAX_LABELS, MIN_EXAMPLES, SEED = 20_000, 40, 7
+MAX_LABELS, SEED, RUNS = 20_000, 7, 5
 #: Least precision of a rule, on all it covers and on the pruning part.
 MIN_PRECISION = 0.8
 #: Cuts whose gain is at least this share of the best compete by the width of the gap they lie in.
@@ -64,6 +65,8 @@ FEATURES = (
     "distinct_ratio",
     "common_share",
     "function_share",
+    "bare_char_share",
+    "bare_words",
 )
 #: Statistics the rules may use.
 RULE_FEATURES = (
@@ -81,75 +84,80 @@ RULE_FEATURES = (
     "distinct_ratio",
     "common_share",
     "function_share",
+    "bare_char_share",
+    "bare_words",
 )
 
-# Used where there are too few labels to learn from.
-DEFAULT_RULES = (
-    ("junk", (("common_share", "<=", 0.3), ("words_per_line", ">=", 3.0))),
-    ("junk", (("symbol_ratio", ">=", 0.25),)),
-    ("junk", (("max_word_length", ">=", 30.0),)),
-    ("junk", (("distinct_ratio", "<=", 0.2), ("words_per_line", ">=", 10.0))),
-    ("table", (("cell_share", ">=", 0.6), ("n_lines", ">=", 2.0))),
-    ("list", (("marked_share", ">=", 0.6), ("n_lines", ">=", 3.0))),
-    ("list", (("item_char_share", ">=", 0.8), ("n_lines", ">=", 3.0))),
-)
-
-
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _common_words(documents: DataFrame) -> DataFrame:
-    """(word): words that many documents have; at most (distinct words a document) / COMMON_SHARE of them."""
-    n = documents.count()
-    least = max(MIN_DOCUMENTS, int(n * COMMON_SHARE) + 1)
-    seen = documents.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
-    return seen.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("word")
+def common_words(documents: DataFrame) -> list[str]:
+    """Words that many documents have, counted over all documents; at most (mean distinct words a document) / COMMON_SHARE of them, whatever their number."""
+    seen = documents.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    least = max(MIN_DOCUMENTS, int(documents.count() * COMMON_SHARE) + 1)
+    return sorted(r["word"] for r in seen.filter(F.col("n") >= least).select("word").collect())
+
 
+def text_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
+    """Adds the columns of ``FEATURES`` to doc_id and text; other columns are dropped. Everything is computed within the row.
 
-def text_statistics(documents: DataFrame) -> DataFrame:
-    """Adds the columns of ``FEATURES`` to doc_id and text; other columns are dropped."""
-    docs = documents.select("doc_id", "text")
+    ``common`` are the words of ``common_words``; as literals of the plan they are one hash set in every task.
+    """
     text = F.col("text")
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    per_word = F.transform(F.col("words"), lambda w: F.length(w))
-    n_lines = F.size("lines")
-    chars = F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))
-    share = lambda condition: F.size(F.filter("lines", condition)) / F.greatest(n_lines, F.lit(1))
-    char_share = lambda condition: F.aggregate(F.filter("lines", condition), F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(chars, F.lit(1))
-    visible = F.greatest(F.length(F.regexp_replace(text, r"\s+", "")), F.lit(1))
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    staged = docs.withColumn("words", _words(text)).withColumn("lines", lines)
-    n_words = F.size("words")
-    some = F.greatest(n_words, F.lit(1))
-    basic = staged.select(
-        "doc_id",
-        "text",
-        F.length(text).cast("double").alias("n_chars"),
-        n_words.cast("double").alias("n_words"),
-        n_lines.cast("double").alias("n_lines"),
-        (F.aggregate(per_word, F.lit(0), lambda a, x: a + x) / some).alias("mean_word_length"),
-        F.coalesce(F.array_max(per_word), F.lit(0)).cast("double").alias("max_word_length"),
-        (count(r"[^\p{L}\p{M}\p{N}\s.,;:!?'’\"()\-。，！？、：；“”]") / visible).alias("symbol_ratio"),
-        (count(r"\p{L}") / visible).alias("letter_ratio"),
-        (count(r"\p{Nd}") / visible).alias("digit_ratio"),
-        (count(r"\p{Lu}") / visible).alias("upper_ratio"),
-        share(lambda x: F.rlike(x, F.lit(_END))).alias("end_share"),
-        char_share(lambda x: F.rlike(x, F.lit(_END))).alias("end_char_share"),
-        share(lambda x: F.rlike(x, F.lit(_MARK))).alias("marked_share"),
-        char_share(lambda x: F.regexp_count(x, F.lit(WORD)) >= 9).alias("long_char_share"),
+
+    def shape(x: Column) -> Column:
+        """What the statistics need of a line, each pattern matched once."""
+        return F.struct(
+            F.length(x).alias("chars"),
+            _words(x).alias("words"),
+            F.regexp_count(x, F.lit(_CELLS)).alias("cells"),
+            F.rlike(x, F.lit(_END)).alias("ends"),
+            F.rlike(x, F.lit(_MARK)).alias("marked"),
+        )
+
+    per_word = F.transform("words", lambda w: F.length(w))
+    n_lines, n_words = F.size("lines"), F.size("words")
+    some, some_lines = F.greatest(n_words, F.lit(1)), F.greatest(n_lines, F.lit(1))
+    total = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + x["chars"])
+    share = lambda condition: F.size(F.filter("lines", condition)) / some_lines
+    char_share = lambda condition: total(F.filter("lines", condition)) / F.greatest(total(F.col("lines")), F.lit(1))
+    is_function = lambda w: w.isin(*sorted(set(FUNCTION_WORDS.split())))
+    visible = F.greatest(F.length("visible"), F.lit(1))
+    rest = lambda pattern: F.length(F.regexp_replace("visible", pattern, "")) / visible
+    # two steps, so that the words of a line are found once
+    shaped = documents.select("doc_id", "text").select("doc_id", "text", F.transform(lines, shape).alias("shaped"), F.regexp_replace(text, r"\s+", "").alias("visible"))
+    counted = lambda x: x.withField("words", F.size(x["words"])).withField("function", F.size(F.filter(x["words"], is_function)))
+    staged = shaped.select("doc_id", "text", "visible", F.flatten(F.transform("shaped", lambda x: x["words"])).alias("words"), F.transform("shaped", counted).alias("lines"))
+    known = text.isNotNull()
+    values = {
+        "n_chars": F.length(text),
+        "n_words": n_words,
+        "n_lines": n_lines,
+        "mean_word_length": F.aggregate(per_word, F.lit(0), lambda a, x: a + x) / some,
+        "max_word_length": F.coalesce(F.array_max(per_word), F.lit(0)),
+        "symbol_ratio": rest(r"[\p{L}\p{M}\p{N}.,;:!?'’\"()\-。，！？、：；“”]+"),
+        "letter_ratio": rest(r"\P{L}+"),
+        "digit_ratio": rest(r"\P{Nd}+"),
+        "upper_ratio": rest(r"\P{Lu}+"),
+        "end_share": share(lambda x: x["ends"]),
+        "end_char_share": char_share(lambda x: x["ends"]),
+        "marked_share": share(lambda x: x["marked"]),
+        "long_char_share": char_share(lambda x: x["words"] >= 9),
         # cells: two or more delimiters with few words between them; items: short lines that end no sentence
-        share(lambda x: (F.regexp_count(x, F.lit(_CELLS)) >= 2) & (F.regexp_count(x, F.lit(WORD)) <= 3 * F.regexp_count(x, F.lit(_CELLS)) + 3)).alias("cell_share"),
-        F.when(n_lines >= 3, char_share(lambda x: (F.regexp_count(x, F.lit(WORD)) <= 7) & ~F.rlike(x, F.lit(_END)))).otherwise(0.0).alias("item_char_share"),
-        (n_words / F.greatest(n_lines, F.lit(1))).alias("words_per_line"),
-        (F.size(F.array_distinct("words")) / some).alias("distinct_ratio"),
-        (F.size(F.filter("words", lambda w: w.isin(*sorted(set(FUNCTION_WORDS.split()))))) / some).alias("function_share"),
-    )
-    hits = lookup_join(docs.select("doc_id", F.explode(_words(text)).alias("word")), _common_words(docs).withColumn("common", F.lit(1)), ["word"])
-    shares = hits.groupBy("doc_id").agg((F.count("common") / F.count("*")).alias("common_share"))
-    joined = basic.join(shares, "doc_id", "left").withColumn("common_share", F.coalesce("common_share", F.lit(0.0)))
-    known = F.col("text").isNotNull()
-    return joined.select("doc_id", "text", *[F.when(known, F.col(f)).alias(f) for f in FEATURES])
+        "cell_share": share(lambda x: (x["cells"] >= 2) & (x["words"] <= 3 * x["cells"] + 3)),
+        "item_char_share": F.when(n_lines >= 3, char_share(lambda x: (x["words"] <= 7) & ~x["ends"])).otherwise(0.0),
+        "words_per_line": n_words / some_lines,
+        "distinct_ratio": F.size(F.array_distinct("words")) / some,
+        "common_share": F.size(F.filter("words", lambda w: w.isin(*common))) / some if common else F.lit(0.0),
+        "function_share": F.aggregate("lines", F.lit(0), lambda a, x: a + x["function"]) / some,
+        # lines that neither hold a function word nor end like a sentence
+        "bare_char_share": char_share(lambda x: (x["function"] == 0) & ~x["ends"]),
+        # runs of words between function words: long ones where words are strung together
+        "bare_words": n_words / (F.aggregate("lines", F.lit(0), lambda a, x: a + x["function"]) + 1),
+    }
+    return staged.select("doc_id", "text", *[F.when(known, values[f].cast("double")).alias(f) for f in FEATURES])
 
 
 Literal = tuple[str, str, float]
@@ -262,19 +270,38 @@ def induce(x: np.ndarray, labels: np.ndarray, names: tuple[str, ...] = RULE_FEAT
     return RuleList(tuple(rules), default)
 
 
-def learn_rules(statistics: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> RuleList:
-    """Rule list from labelled documents; at most ``max_labels`` labels, chosen by hash, are used."""
+def learned(x: np.ndarray, labels: np.ndarray, names: tuple[str, ...] = RULE_FEATURES, default: str = "prose", runs: int = RUNS) -> RuleList:
+    """Rule list from labels of which some are wrong.
+
+    ``runs`` lists are induced from different splits into growing and pruning examples. Examples whose label (``default`` or
+    another) most of them contradict count as mislabelled and are left out; of the lists induced from the rest, the one
+    with the fewest errors is kept, the shortest of equals.
+    """
+    if not len(x):
+        return RuleList((), default)
+    other = labels != default
+    votes = sum(induce(x, labels, names, seed=SEED + k, default=default).predict(x, names) != default for k in range(runs))
+    sound = (2 * votes > runs) == other
+    x, labels, other = x[sound], labels[sound], other[sound]
+    lists = [induce(x, labels, names, seed=SEED + k, default=default) for k in range(runs)]
+    return min(lists, key=lambda r: (int(((r.predict(x, names) != default) != other).sum()), sum(len(b) for _, b in r.rules)))
+
+
+def learn_rules(documents: DataFrame, labels: DataFrame, common: list[str], max_labels: int = MAX_LABELS) -> RuleList:
+    """Rule list from labelled documents; at most ``max_labels`` labels, chosen by hash, are used. Only the statistics of labelled documents are computed."""
     chosen = labels.select("doc_id", "label").filter("label is not null").orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(max_labels)
-    rows = lookup_join(statistics.filter("n_words is not null").select("doc_id", *FEATURES), chosen.groupBy("doc_id").agg(F.collect_list("label").alias("labels")), ["doc_id"], "inner")
-    data = rows.select(*RULE_FEATURES, F.explode("labels").alias("label"), "doc_id").orderBy("doc_id", "label").toPandas()
-    if len(data) < MIN_EXAMPLES or (data.label != "prose").sum() < 6:
-        return RuleList(DEFAULT_RULES)
-    return induce(data[list(RULE_FEATURES)].to_numpy(dtype=float), data.label.to_numpy(dtype=object))
+    held = materialise(chosen.groupBy("doc_id").agg(F.collect_list("label").alias("labels")), "labels")
+    told = lookup_join(documents.select("doc_id", "text").filter("text is not null"), held, ["doc_id"], "inner", salts=1)
+    told = materialise(told, "labelled")
+    rows = text_statistics(told, common).select("doc_id", *RULE_FEATURES).join(told.select("doc_id", F.explode("labels").alias("label")), "doc_id")
+    data = rows.orderBy("doc_id", "label").toPandas()
+    return learned(data[list(RULE_FEATURES)].to_numpy(dtype=float), data.label.to_numpy(dtype=object))
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of every document with ``kind`` (prose, list, table, junk, empty) and ``is_prose``."""
-    statistics = text_statistics(documents)
-    rules = learn_rules(statistics, labels)
-    judged = statistics.withColumn("kind", F.expr(rules.case_sql()))
+    prepare(documents.sparkSession)
+    common = common_words(documents)
+    rules = learn_rules(documents, labels, common)
+    judged = text_statistics(documents, common).withColumn("kind", F.expr(rules.case_sql()))
     return judged.withColumn("is_prose", F.col("kind") == "prose").drop("text")
