@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from regloom.functions.text import collapse, strip
+from regloom.functions.text import SPACE, collapse, strip
 
 # Rule packs of the obligation register.
 ACTION_WORDS = ("must", "shall", "required", "require", "ensure", "direct", "comply", "submit", "maintain", "establish", "monitor", "assess")
@@ -48,6 +48,18 @@ ESCALATION_TOKENS = ("notify", "notification", "annual independent", "tested exi
 # Sections of the catalogue.
 KNOWN_CATEGORIES = ("Insurer / Micro Insurer", "Joint FSCA / PA Directives", "Retirement Fund")
 
+# Words that tell the section of a catalogue entry, in this order; a blank stands before and after the text.
+SECTION_RULES = (
+    ("Retirement Fund", ("retirement", "pension")),
+    ("Joint FSCA / PA Directives", ("joint", "prudential authority", " pa ")),
+    ("Insurer / Micro Insurer", ("long-term", "short-term", "insur", "ltst")),
+)
+SECTION_DEFAULT = "Directives"
+# A year, and the two forms of a directive's number. A word holds letters, figures and underscores of any script.
+YEAR_PATTERN = r"(?<![\p{L}\p{N}_])(20\p{Nd}{2}|19\p{Nd}{2})(?![\p{L}\p{N}_])"
+NUMBER_PATTERN = rf"(?iU)Directive{SPACE}+([0-9A-Za-z.]+(?:{SPACE}*\([^)]+\))?)"
+BARE_NUMBER_PATTERN = r"(?<![\p{L}\p{N}_])(\p{Nd}{2,3}\.[A-Z]\.[A-Za-z])(?![\p{L}\p{N}_])"
+
 
 def contains_any(lowered: Column, tokens: Sequence[str]) -> Column:
     """Whether lower-cased text contains any token."""
@@ -130,20 +142,18 @@ def section_of(text: Column) -> Column:
     """Section of a catalogue entry by its words."""
     low = F.lower(text)
     padded = F.concat(F.lit(" "), low, F.lit(" "))
-    return (
-        F.when(low.contains("retirement") | low.contains("pension"), "Retirement Fund")
-        .when(low.contains("joint") | low.contains("prudential authority") | padded.contains(" pa "), "Joint FSCA / PA Directives")
-        .when(contains_any(low, ("long-term", "short-term", "insur", "ltst")), "Insurer / Micro Insurer")
-        .otherwise("Directives")
-    )
+    ladder = F
+    for name, tokens in SECTION_RULES:
+        ladder = ladder.when(contains_any(padded, tokens), name)
+    return ladder.otherwise(SECTION_DEFAULT)
 
 
 def year_of(text: Column) -> Column:
     """First year 1900-2099 that stands alone, else ``Unknown``."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?U)\b(20\d{2}|19\d{2})\b", 1), F.lit("")), F.lit("Unknown"))
+    return F.coalesce(F.nullif(F.regexp_extract(text, YEAR_PATTERN, 1), F.lit("")), F.lit("Unknown"))
 
 
 def directive_number(text: Column) -> Column:
     """Number of a directive from its name, else an empty string."""
-    named = F.replace(F.regexp_extract(text, r"(?i)Directive\s+([0-9A-Za-z.]+(?:\s*\([^)]+\))?)", 1), F.lit(" "), F.lit(""))
-    return F.coalesce(F.nullif(named, F.lit("")), F.regexp_extract(text, r"\b(\d{2,3}\.[A-Z]\.[A-Za-z])\b", 1))
+    named = F.replace(F.regexp_extract(text, NUMBER_PATTERN, 1), F.lit(" "), F.lit(""))
+    return F.coalesce(F.nullif(named, F.lit("")), F.regexp_extract(text, BARE_NUMBER_PATTERN, 1))

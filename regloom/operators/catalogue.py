@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regloom.functions.rules import KNOWN_CATEGORIES, directive_number, section_of, year_of
-from regloom.functions.text import base_name, blank_to_null, first_filled, html_text, joined_url, resolved_url, safe_filename, short_id, strip, url_file
+from regloom.functions.text import base_name, blank_to_null, collapse, first_filled, html_text, joined_url, resolved_url, safe_filename, short_id, strip, url_file
 from regloom.joins import lookup_join
 
 COLUMNS = ("id", "title", "section", "category", "year", "source_link", "filename", "cached", "downloaded", "description", "local_path", "source_type")
 
+# What a link must hold to be admitted.
+ADMITTED = r"(?i)directive|\.pdf|LTST|FSCA|FSB"
 # Titles known by the number in a file's name.
 KNOWN_TITLES = (("101", "Directive 101.A.i (LT&ST) - Directors and Managing Executive"), ("159", "Directive 159.A.i (LT&ST) - Outsourcing"))
 REFERENCE_NOTE = "Reference directive available for offline/demo crawl workflow."
@@ -91,14 +93,14 @@ def anchors(pages: DataFrame) -> DataFrame:
     whole = F.regexp_extract_all("html", F.lit(link), F.lit(0))
     found = pages.select("page_id", F.posexplode(whole).alias("at", "tag"))
     href = first_filled(*[F.regexp_extract("tag", link, i) for i in (1, 2, 3)])
-    return found.select("page_id", "at", F.regexp_replace(html_text(F.regexp_extract("tag", link, 4)), r"\s+", " ").alias("label"), F.coalesce(href, F.lit("")).alias("href"))
+    return found.select("page_id", "at", collapse(html_text(F.regexp_extract("tag", link, 4))).alias("label"), F.coalesce(href, F.lit("")).alias("href"))
 
 
 def from_anchors(links: DataFrame, page_url: str, library: DataFrame | None = None) -> DataFrame:
     """Catalogue rows from (seq, label, href)."""
     hay = F.concat_ws(" ", "label", "href")
     low = F.lower("href")
-    admitted = links.filter(hay.rlike(r"(?i)directive|\.pdf|LTST|FSCA|FSB") & ~low.startswith("javascript") & ~low.contains("{item"))
+    admitted = links.filter(hay.rlike(ADMITTED) & ~low.startswith("javascript") & ~low.contains("{item"))
     linked = admitted.withColumn("source_link", joined_url(F.lit(page_url), F.col("href"))).withColumn("hay", hay)
     name = safe_filename(first_filled(url_file("source_link"), F.concat("label", F.lit(".pdf"))))
     rows = linked.withColumn("filename", name).filter(F.col("filename") != "file").select(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,20 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plain(c: Column) -> Column:
-    """Printable ASCII and line feeds: what regular expressions of all engines agree on."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x20-\x7E\n]", "")
-
-
 def whole(c: Column) -> Column:
     """The text as it is stored."""
     return F.coalesce(c, F.lit(""))
 
 
-#: Which part of the stored texts a query reads.
-Text = Callable[[Column], Column]
-
-
 # --- rows that fail to parse -------------------------------------------------------------------------------------------
 
 
@@ -68,131 +58,129 @@ def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- documents, clauses, register --------------------------------------------------------------------------------------
 
 
-def _clause_rows(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
+def _clause_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause rows as (clause_id, doc, section, wording)."""
-    return table(spark, sf_dir, "directive_clauses").select("clause_id", "doc", "section", text(F.col("language_from_directive")).alias("wording"))
+    return table(spark, sf_dir, "directive_clauses").select("clause_id", "doc", "section", whole(F.col("language_from_directive")).alias("wording"))
 
 
-def _document_texts(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
+def _document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, text): the clauses of a directive put together again, one document each."""
     rows = table(spark, sf_dir, "directive_clauses")
-    line = F.concat("section", F.lit(" "), text(F.col("language_from_directive")))
+    line = F.concat("section", F.lit(" "), whole(F.col("language_from_directive")))
     ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "clause_id", line.alias("line"))))
     return rows.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
-def _pages(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    """(doc, page, text): clause texts by their numeric page; the SQL over ``plain`` texts leaves out clauses without one (null)."""
-    rows = table(spark, sf_dir, "directive_clauses").select("doc", F.expr("try_cast(page as int)").alias("page"), "sequence_no", "clause_id", text(F.col("language_from_directive")).alias("t"))
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, page, text): clause texts by their numeric page; those without one are a page of unknown number (null)."""
+    rows = table(spark, sf_dir, "directive_clauses").select("doc", F.expr("try_cast(page as int)").alias("page"), "sequence_no", "clause_id", whole(F.col("language_from_directive")).alias("t"))
     ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "clause_id", "t")))
-    kept = rows.filter("page is not null") if text is plain else rows
-    return kept.groupBy("doc", "page").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
+    return rows.groupBy("doc", "page").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
 
 
-def page_render(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return render_pages(_pages(spark, sf_dir, text))
+def page_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_pages(_pages(spark, sf_dir))
 
 
-def clause_breakdown(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return clauses(_document_texts(spark, sf_dir, text))
+def clause_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clauses(_document_texts(spark, sf_dir))
 
 
-def _register(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return reg.obligations(_clause_rows(spark, sf_dir, text), ["clause_id", "doc"])
+def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.obligations(_clause_rows(spark, sf_dir), ["clause_id", "doc"])
 
 
-def obligation_register(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return _register(spark, sf_dir, text).drop("doc", "language_from_directive")
+def obligation_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _register(spark, sf_dir).drop("doc", "language_from_directive")
 
 
-def category_counts(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return reg.value_counts(_register(spark, sf_dir, text), "obligation_category", "category", F.col("clause_id"))
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_register(spark, sf_dir), "obligation_category", "category", F.col("clause_id"))
 
 
-def department_counts(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return reg.value_counts(_register(spark, sf_dir, text), "primary_responsible_department", "department", F.col("clause_id"))
+def department_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_register(spark, sf_dir), "primary_responsible_department", "department", F.col("clause_id"))
 
 
-def priority_counts(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return reg.value_counts(_register(spark, sf_dir, text), "priority", "priority", F.col("clause_id"))
+def priority_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_register(spark, sf_dir), "priority", "priority", F.col("clause_id"))
 
 
-def actionable_counts(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return reg.value_counts(_register(spark, sf_dir, text), "actionable", "actionable", F.col("clause_id"))
+def actionable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.value_counts(_register(spark, sf_dir), "actionable", "actionable", F.col("clause_id"))
 
 
-def register_kpis(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return reg.register_kpis(_register(spark, sf_dir, text))
+def register_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.register_kpis(_register(spark, sf_dir))
 
 
-def register_filter(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return reg.filter_register(_register(spark, sf_dir, text), "Legal & Compliance", "Operations").select("clause_id", "priority", "actionable")
+def register_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reg.filter_register(_register(spark, sf_dir), "Governance", "Board / Senior Management").select("clause_id", "priority", "actionable")
 
 
 def register_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reg.options(table(spark, sf_dir, "gap_assessment"), "obligation_category", F.col("gap_id"))
 
 
-def ocr_candidates(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    """Which directives hold too little text over all their clauses; over ``plain`` texts clause by clause, as in the SQL."""
+def ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which directives hold too little text over all their clauses."""
     rows = table(spark, sf_dir, "directive_clauses")
-    document = F.concat_ws("/", "doc", "sequence_no") if text is plain else F.col("doc")
-    pages = rows.select(document.alias("doc"), F.col("sequence_no").alias("page"), text(F.col("language_from_directive")).alias("text"))
+    pages = rows.select("doc", F.col("sequence_no").alias("page"), whole(F.col("language_from_directive")).alias("text"))
     return needs_ocr(pages)
 
 
-def page_lookups(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    asked = table(spark, sf_dir, "gap_assessment").select(F.col("gap_id").alias("query_id"), "doc", text(F.col("obligation")).alias("query"))
-    return page_lookup(_pages(spark, sf_dir, text), asked)
+def page_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "gap_assessment").select(F.col("gap_id").alias("query_id"), "doc", whole(F.col("obligation")).alias("query"))
+    return page_lookup(_pages(spark, sf_dir), asked)
 
 
 # --- policies, matching, coverage --------------------------------------------------------------------------------------
 
 
-def _policies(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(policy, text): the passages cited for a directive as one policy, a page for each row."""
-    rows = table(spark, sf_dir, "gap_assessment").select("doc", "sequence_no", "gap_id", text(F.col("corresponding_policy_text")).alias("t"))
+    rows = table(spark, sf_dir, "gap_assessment").select("doc", "sequence_no", "gap_id", whole(F.col("corresponding_policy_text")).alias("t"))
     page = F.concat(F.lit("--- Page "), F.col("sequence_no").cast("string"), F.lit(" ---\n"), "t")
     ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "gap_id", page.alias("page"))))
     return rows.groupBy(F.col("doc").alias("policy")).agg(F.array_join(F.transform(ordered, lambda x: x["page"]), "\n").alias("text"))
 
 
-def _review_rows(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
+def _review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "gap_assessment")
     return rows.select(
-        "gap_id", F.col("doc").alias("policy"), "section", text(F.col("obligation")).alias("obligation"), text(F.col("language_from_directive")).alias("language_from_directive"), "obligation_category", "primary_responsible_department"
+        "gap_id", F.col("doc").alias("policy"), "section", whole(F.col("obligation")).alias("obligation"), whole(F.col("language_from_directive")).alias("language_from_directive"), "obligation_category", "primary_responsible_department"
     )
 
 
-def policy_chunks(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    return chunk_policies(_policies(spark, sf_dir, text))
+def policy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_policies(_policies(spark, sf_dir))
 
 
-def keyword_terms(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    rows = _clause_rows(spark, sf_dir, text)
+def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _clause_rows(spark, sf_dir)
     return rows.select("clause_id", F.array_join(F.slice(rules.keywords(F.col("wording")), 1, 35), " ").alias("terms"))
 
 
-def keyword_best_match(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    matched = keyword_match(_review_rows(spark, sf_dir, text), chunk_policies(_policies(spark, sf_dir, text)))
+def keyword_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = keyword_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
     return matched.select("gap_id", F.round("keyword_score", 9).alias("keyword_score"), "match_page", "match_text")
 
 
-def hybrid_best_match(spark: SparkSession, sf_dir: str, text: Text = whole) -> DataFrame:
-    matched = hybrid_match(_review_rows(spark, sf_dir, text), chunk_policies(_policies(spark, sf_dir, text)))
+def hybrid_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = hybrid_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
     return matched.select("gap_id", F.round("score", 9).alias("score"), F.round("keyword_score", 9).alias("keyword_score"), "match_page", "match_text")
 
 
 _ASSESSED = ("gap_id", "coverage_status", "policy_gap_and_recommendations", "policy_page", "corresponding_policy_text", "priority")
 
 
-def gap_assessment_keyword(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    matched = keyword_match(_review_rows(spark, sf_dir, text), chunk_policies(_policies(spark, sf_dir, text)))
+def gap_assessment_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = keyword_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
     return cov.assess(matched).select(*_ASSESSED)
 
 
-def gap_assessment_full(spark: SparkSession, sf_dir: str, text: Text = whole) -> DataFrame:
-    matched = hybrid_match(_review_rows(spark, sf_dir, text), chunk_policies(_policies(spark, sf_dir, text)))
+def gap_assessment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = hybrid_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
     return cov.assess(matched).select(*_ASSESSED)
 
 
@@ -228,12 +216,12 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", *cat.COLUMNS)
 
 
-def catalogue_normalise(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
+def catalogue_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue rows built again from what a list endpoint would deliver."""
     rows = table(spark, sf_dir, "directives")
     items = rows.select(
         "seq",
-        text(F.col("title")).alias("Title"),
+        whole(F.col("title")).alias("Title"),
         F.col("source_link").alias("FileRef"),
         F.col("filename").alias("FileLeafRef"),
         F.when(F.col("seq") % 3 != 0, F.col("category")).alias("Category1"),
@@ -243,14 +231,14 @@ def catalogue_normalise(spark: SparkSession, sf_dir: str, text: Text = plain) ->
     return cat.from_rest_items(items, BASE_URL).select("seq", "id", "title", "section", "category", "year", "source_link", "filename", "description")
 
 
-def _html(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "directives")
-    tag = F.concat(F.lit('<li><a class="doc" href="'), "source_link", F.lit('"><b>'), text(F.col("title")), F.lit("</b></a></li>"))
+    tag = F.concat(F.lit('<li><a class="doc" href="'), "source_link", F.lit('"><b>'), whole(F.col("title")), F.lit("</b></a></li>"))
     return rows.select(F.col("seq").alias("page_id"), tag.alias("html"))
 
 
-def anchor_extract(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
-    links = cat.anchors(_html(spark, sf_dir, text)).select(F.col("page_id").alias("seq"), "label", "href")
+def anchor_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = cat.anchors(_html(spark, sf_dir)).select(F.col("page_id").alias("seq"), "label", "href")
     return cat.from_anchors(links, BASE_URL).select("seq", "id", "title", "section", "year", "source_link", "filename")
 
 
@@ -277,7 +265,7 @@ def layered_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.filter_catalogue(_catalogue(spark, sf_dir), "Retirement Fund", "2010").select("seq", "id", "section", "category", "year")
+    return cat.filter_catalogue(_catalogue(spark, sf_dir), "Retirement Fund", "Unknown").select("seq", "id", "section", "category", "year")
 
 
 def catalogue_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,9 +324,9 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.unique_names(rows.select("seq", F.concat("source_type", F.lit("/"), "year", F.lit(".pdf")).alias("filename")))
 
 
-def safe_names(spark: SparkSession, sf_dir: str, text: Text = plain) -> DataFrame:
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "directives")
-    return rows.select("seq", safe_filename(text(F.col("title"))).alias("name"), rules.year_of(text(F.col("title"))).alias("year"), rules.directive_number(text(F.col("title"))).alias("number"))
+    return rows.select("seq", safe_filename(whole(F.col("title"))).alias("name"), rules.year_of(whole(F.col("title"))).alias("year"), rules.directive_number(whole(F.col("title"))).alias("number"))
 
 
 def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,14 +349,3 @@ QUERIES = (
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
-
-#: Queries whose SQL reads printable ASCII only. Over the stored texts they are queries of their own, ``NAME_whole``, without SQL.
-PLAIN = (
-    page_render, clause_breakdown, obligation_register, category_counts, department_counts, priority_counts, actionable_counts, register_kpis,
-    register_filter, ocr_candidates, page_lookups, policy_chunks, keyword_terms, keyword_best_match, gap_assessment_keyword,
-    catalogue_normalise, anchor_extract, safe_names,
-)
-
-
-def whole_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f"{f.__name__}_whole": partial(f, text=whole) for f in PLAIN}

@@ -4,10 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from regloom.functions import rules as r
-from regloom.operators import coverage as cov
-from regloom.operators.match import NO_MATCH
-from regloom.operators.register import NA_VALUES
+# Literals of its own, so that a slip in the code under test shows.
+
+# Rule packs of the obligation register.
+ACTION_WORDS = ("must", "shall", "required", "require", "ensure", "direct", "comply", "submit", "maintain", "establish", "monitor", "assess")
+CATEGORY_RULES = (
+    ("Risk Management", ("risk", "mitigate", "exposure", "control", "impact")),
+    ("Governance", ("board", "committee", "governance", "approval", "management")),
+    ("Reporting / Notification", ("notify", "report", "submit", "inform", "disclose")),
+    ("Outsourcing / Third Party", ("outsourc", "service provider", "third party", "agreement")),
+    ("Legal & Compliance", ("comply", "regulation", "act", "directive", "legislative")),
+)
+CATEGORY_DEFAULT = "Informational / Context"
+DEPARTMENT_RULES = (
+    ("Risk Management", "Enterprise Risk Management", ("risk", "mitigate", "exposure")),
+    ("Legal & Compliance", "Regulatory Compliance", ("comply", "regulation", "act", "directive", "legal")),
+    ("Operations", "Business Operations", ("process", "service", "outsourc", "operations")),
+    ("Board / Senior Management", "Governance Office", ("board", "senior management", "committee")),
+    ("Finance", "Finance Control", ("financial", "capital", "amount", "fee")),
+)
+DEPARTMENT_DEFAULT = ("Legal & Compliance", "Regulatory Compliance")
+HIGH_TOKENS = ("must", "shall", "prohibit", "breach", "non-compliance", "effective date")
+LOW_TOKENS = ("should", "may", "consider")
+NOT_ACTIONABLE = "This section provides contextual or background information and does not create a direct compliance obligation."
+
+# Rule packs of the gap review.
+NEGATIVE_PHRASES = ("does not currently require", "does not yet require", "not defined", "not mandatory", "not required", "no requirement", "not documented")
+STOPWORDS = (
+    "this", "that", "with", "from", "shall", "must", "have", "will", "they", "their", "there",
+    "under", "section", "directive", "institution", "regulatory", "obligation", "material", "outsourcing",
+    "outsourced", "arrangement", "arrangements", "policy", "business", "function", "functions",
+)
+INFORMATIONAL_PHRASES = ("contextual background", "background context", "does not create", "no direct implementation obligation", "not applicable", "informational")
+ESCALATION_TOKENS = ("notify", "notification", "annual independent", "tested exit", "exit plan")
+
+# Sections of the catalogue.
+KNOWN_CATEGORIES = ("Insurer / Micro Insurer", "Joint FSCA / PA Directives", "Retirement Fund")
+
+# Words that tell the section of a catalogue entry, in this order; a blank stands before and after the text.
+SECTION_RULES = (
+    ("Retirement Fund", ("retirement", "pension")),
+    ("Joint FSCA / PA Directives", ("joint", "prudential authority", " pa ")),
+    ("Insurer / Micro Insurer", ("long-term", "short-term", "insur", "ltst")),
+)
+SECTION_DEFAULT = "Directives"
+COVERED, PARTIAL, MISSING, NOT_APPLICABLE = "Completely Covered", "Partially Covered", "Completely Missing", "Not Applicable / Informational"
+# Texts of the review.
+NO_EVIDENCE_NEEDED = "No policy evidence required because the directive item is informational/background only."
+ADVICE = {
+    "covered": "No gap identified. No policy update is required based on the matched policy evidence.",
+    "partial": (
+        "Policy partially addresses the topic but does not fully evidence the regulatory requirement. "
+        "Update the policy to explicitly cover the missing obligation elements, owner, control evidence, and review frequency."
+    ),
+    "negative": (
+        "Policy evidence indicates this requirement is not currently defined or mandatory. "
+        "Add a specific policy clause to address the obligation and assign ownership for implementation and evidence retention."
+    ),
+    "missing": (
+        "No directly supporting policy text was identified. Add a new policy clause addressing this obligation, including ownership, controls, monitoring, and evidence requirements."
+    ),
+    "informational": (
+        "This directive section is background or contextual and does not create a direct policy action; "
+        "no policy amendment is required unless management wants to reference it for completeness."
+    ),
+}
+NO_MATCH = "No directly matching policy text was identified in the uploaded policy."
+
+# Tokens of an uploaded register that stand for a missing value.
+NA_VALUES = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+#: One character of white space, as Unicode and Python see it.
+_W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NO_WORD = r"[^\pL\pN_]"
 
 
 def _quoted(s: str) -> str:
@@ -24,8 +95,16 @@ def _first_best(low: str, rules: Sequence[tuple[str, Sequence[str]]], default: s
     return f"CASE WHEN list_max([{scores}]) = 0 THEN {_quoted(default)} ELSE [{names}][list_position([{scores}], list_max([{scores}]))] END"
 
 
-def _plain(c: str) -> str:
-    return rf"regexp_replace(coalesce({c}, ''), '[^\x20-\x7E\n]', '', 'g')"
+def _text(c: str) -> str:
+    return f"coalesce({c}, '')"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_W}+|{_W}+$', '', 'g')"
+
+
+def _one_line(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{_W}+', ' ', 'g'))"
 
 
 # --- parsing -----------------------------------------------------------------------------------------------------------
@@ -70,16 +149,16 @@ _NA = ", ".join(_quoted(x) for x in NA_VALUES)
 
 # --- documents ---------------------------------------------------------------------------------------------------------
 
-_WORDING = f"(SELECT clause_id, doc, section, {_plain('language_from_directive')} AS w FROM directive_clauses)"
+_WORDING = f"(SELECT clause_id, doc, section, {_text('language_from_directive')} AS w FROM directive_clauses)"
 _LOW = "lower(w)"
-_SHORT = r"trim(regexp_replace(w, '\s+', ' ', 'g'))"
-_ACTIONABLE = _any(_LOW, r.ACTION_WORDS)
-_CATEGORY = _first_best(_LOW, r.CATEGORY_RULES, r.CATEGORY_DEFAULT)
-_DEPARTMENT = _first_best(_LOW, [(d, t) for d, _, t in r.DEPARTMENT_RULES], r.DEPARTMENT_DEFAULT[0])
-_SUPPORT = _first_best(_LOW, [(s, t) for _, s, t in r.DEPARTMENT_RULES], r.DEPARTMENT_DEFAULT[1])
-_PRIORITY = f"CASE WHEN {_any(_LOW, r.HIGH_TOKENS)} THEN 'High' WHEN {_any(_LOW, r.LOW_TOKENS)} THEN 'Low' ELSE 'Medium' END"
+_SHORT = _one_line("w")
+_ACTIONABLE = _any(_LOW, ACTION_WORDS)
+_CATEGORY = _first_best(_LOW, CATEGORY_RULES, CATEGORY_DEFAULT)
+_DEPARTMENT = _first_best(_LOW, [(d, t) for d, _, t in DEPARTMENT_RULES], DEPARTMENT_DEFAULT[0])
+_SUPPORT = _first_best(_LOW, [(s, t) for _, s, t in DEPARTMENT_RULES], DEPARTMENT_DEFAULT[1])
+_PRIORITY = f"CASE WHEN {_any(_LOW, HIGH_TOKENS)} THEN 'High' WHEN {_any(_LOW, LOW_TOKENS)} THEN 'Low' ELSE 'Medium' END"
 _OBLIGATION = (
-    f"CASE WHEN NOT {_any('lower(s)', r.ACTION_WORDS)} THEN {_quoted(r.NOT_ACTIONABLE)} ELSE "
+    f"CASE WHEN NOT {_any('lower(s)', ACTION_WORDS)} THEN {_quoted(NOT_ACTIONABLE)} ELSE "
     "(CASE WHEN contains(lower(s), 'bank') THEN 'The institution' ELSE 'Insurers' END) || ' must address the requirement described in section ' || section || ': ' || "
     "(CASE WHEN length(s) > 240 THEN rtrim(substring(s, 1, 237)) || '...' ELSE s END) END"
 )
@@ -87,18 +166,18 @@ _REGISTER = f"""(SELECT clause_id, doc, section, {_OBLIGATION} AS obligation, {_
   {_SUPPORT} AS support_function, {_PRIORITY} AS priority, CASE WHEN {_ACTIONABLE} THEN 'Yes' ELSE 'No' END AS actionable
   FROM (SELECT *, {_SHORT} AS s FROM {_WORDING}))"""
 
-_PAGES = rf"""(SELECT doc, try_cast(page AS INT) AS page, string_agg({_plain('language_from_directive')}, chr(10) ORDER BY sequence_no, clause_id) AS text
-  FROM directive_clauses WHERE try_cast(page AS INT) IS NOT NULL GROUP BY ALL)"""
+_PAGES = rf"""(SELECT doc, try_cast(page AS INT) AS page, string_agg({_text('language_from_directive')}, chr(10) ORDER BY sequence_no, clause_id) AS text
+  FROM directive_clauses GROUP BY ALL)"""
 
 _BREAKDOWN = rf"""
 WITH docs AS (
-  SELECT doc, string_agg(section || ' ' || {_plain('language_from_directive')}, chr(10) ORDER BY sequence_no, clause_id) AS t FROM directive_clauses GROUP BY doc),
+  SELECT doc, replace(string_agg(section || ' ' || {_text('language_from_directive')}, chr(10) ORDER BY sequence_no, clause_id), chr(13), chr(10)) AS t FROM directive_clauses GROUP BY doc),
 lines AS (SELECT doc, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM docs),
-clean AS (SELECT doc, n, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM lines),
+clean AS (SELECT doc, n, {_one_line('line')} AS line FROM lines),
 flagged AS (
-  SELECT *, regexp_full_match(line, '((\d+\.)+\d*) .*') OR
-    (regexp_full_match(line, '(\d+\.)+\d*') AND coalesce(max(CASE WHEN line <> '' THEN 1 END) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1) AS starts,
-    list_last(regexp_extract_all(line, '--- Page (\d+) ---', 1)) AS mark
+  SELECT *, regexp_full_match(line, '((\p{{Nd}}+\.)+\p{{Nd}}*) .*') OR
+    (regexp_full_match(line, '(\p{{Nd}}+\.)+\p{{Nd}}*') AND coalesce(max(CASE WHEN line <> '' THEN 1 END) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) = 1) AS starts,
+    list_last(regexp_extract_all(line, '--- Page (\p{{Nd}}+) ---', 1)) AS mark
   FROM clean),
 islands AS (
   SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY doc ORDER BY n) AS island,
@@ -106,8 +185,8 @@ islands AS (
   FROM flagged),
 pieces AS (
   SELECT doc, island,
-    min_by(CASE WHEN island = 0 THEN 'Introduction' ELSE rtrim(regexp_extract(line, '^((\d+\.)+\d*)', 1), '.') END, n) AS section,
-    trim(string_agg(CASE WHEN starts THEN regexp_replace(line, '^((\d+\.)+\d*) ?', '') ELSE line END, chr(10) ORDER BY n), ' ' || chr(10)) AS wording,
+    min_by(CASE WHEN island = 0 THEN 'Introduction' ELSE rtrim(regexp_extract(line, '^((\p{{Nd}}+\.)+\p{{Nd}}*)', 1), '.') END, n) AS section,
+    trim(string_agg(CASE WHEN starts THEN regexp_replace(line, '^((\p{{Nd}}+\.)+\p{{Nd}}*) ?', '') ELSE line END, chr(10) ORDER BY n), ' ' || chr(10)) AS wording,
     coalesce(min_by(CASE WHEN island > 0 THEN coalesce(before, 'Unknown') END, n), 'Unknown') AS page,
     count(*) OVER (PARTITION BY doc) AS pieces
   FROM islands GROUP BY doc, island)
@@ -119,34 +198,34 @@ FROM pieces WHERE wording <> '' OR pieces = 1
 
 _CHUNKS = rf"""
 policies AS (
-  SELECT doc AS policy, string_agg('--- Page ' || sequence_no || ' ---' || chr(10) || {_plain('corresponding_policy_text')}, chr(10) ORDER BY sequence_no, gap_id) AS raw
+  SELECT doc AS policy, string_agg('--- Page ' || sequence_no || ' ---' || chr(10) || {_text('corresponding_policy_text')}, chr(10) ORDER BY sequence_no, gap_id) AS raw
   FROM gap_assessment GROUP BY doc),
-paged AS (SELECT policy, string_split(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '(?:^|\n+)--- Page (\d+) ---\n', chr(2) || '\1' || chr(3), 'g'), chr(2)) AS parts, raw FROM policies),
+paged AS (SELECT policy, string_split(regexp_replace({_strip('raw')}, '(?:^|\n+)--- Page (\p{{Nd}}+) ---\n', chr(2) || '\1' || chr(3), 'g'), chr(2)) AS parts, raw FROM policies),
 pages AS (
   SELECT policy, 0 AS k, 'Unknown' AS page, raw AS text FROM paged WHERE len(parts) = 1
   UNION ALL
   SELECT policy, k, split_part(part, chr(3), 1), split_part(part, chr(3), 2) FROM
     (SELECT policy, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM paged WHERE len(parts) > 1) WHERE k > 1),
-heads AS (SELECT policy, k, page, regexp_replace(text, '[ \t]+', ' ', 'g') AS clean FROM pages),
-cut AS (SELECT *, string_split(regexp_replace(clean, '(?m)^\s*(\d+)\.\s+', chr(1) || '\0', 'g'), chr(1)) AS parts FROM heads),
+heads AS (SELECT policy, k, page, regexp_replace(replace(text, chr(13), chr(10)), '[ \t]+', ' ', 'g') AS clean FROM pages),
+cut AS (SELECT *, string_split(regexp_replace(clean, '(?m)^{_W}*(\p{{Nd}}+)\.{_W}+', chr(1) || '\0', 'g'), chr(1)) AS parts FROM heads),
 sliced AS (
   SELECT policy, k, page, CASE
-    WHEN len(parts) = 1 THEN [regexp_replace(substring(clean, CAST(i AS INT) + 1, 1800), '^\s+|\s+$', '', 'g') FOR i IN range(0, length(clean), 1800)]
-    ELSE flatten([[p] FOR p IN [regexp_replace(parts[1], '^\s+|\s+$', '', 'g')]] || [CASE WHEN length(p) > 1800 THEN [regexp_replace(substring(p, CAST(i AS INT) + 1, 1800), '^\s+|\s+$', '', 'g') FOR i IN range(0, length(p), 1800)] ELSE [p] END
-      FOR p IN [regexp_replace(q, '^\s+|\s+$', '', 'g') FOR q IN parts[2:]]]) END AS texts
+    WHEN len(parts) = 1 THEN [{_strip('substring(clean, CAST(i AS INT) + 1, 1800)')} FOR i IN range(0, length(clean), 1800)]
+    ELSE flatten([[p] FOR p IN [{_strip('parts[1]')}]] || [CASE WHEN length(p) > 1800 THEN [{_strip('substring(p, CAST(i AS INT) + 1, 1800)')} FOR i IN range(0, length(p), 1800)] ELSE [p] END
+      FOR p IN [{_strip('q')} FOR q IN parts[2:]]]) END AS texts
   FROM cut),
 rows AS (SELECT policy, k, page, unnest(texts) AS text, generate_subscripts(texts, 1) AS j FROM sliced),
 filled AS (SELECT policy, page, text, row_number() OVER (PARTITION BY policy ORDER BY k, j) AS chunk_seq FROM rows WHERE text <> ''),
 chunks AS (
   SELECT policy, CAST(chunk_seq AS INT) AS chunk_seq, page, text FROM filled
   UNION ALL
-  SELECT policy, 1, 'Unknown', substring(regexp_replace(raw, '^\s+|\s+$', '', 'g'), 1, 1800) FROM policies
-  WHERE policy NOT IN (SELECT policy FROM filled) AND regexp_replace(raw, '^\s+|\s+$', '', 'g') <> '')
+  SELECT policy, 1, 'Unknown', substring({_strip('raw')}, 1, 1800) FROM policies
+  WHERE policy NOT IN (SELECT policy FROM filled) AND {_strip('raw')} <> '')
 """
-_STOP = "[" + ", ".join(_quoted(w) for w in r.STOPWORDS) + "]"
+_STOP = "[" + ", ".join(_quoted(w) for w in STOPWORDS) + "]"
 _TERMS = "[w FOR w IN regexp_extract_all(lower({0}), '[A-Za-z][A-Za-z-]{{3,}}') IF NOT list_contains({1}, w)][1:35]"
 _MATCHED = rf"""
-asked AS (SELECT gap_id, doc AS policy, {_plain('obligation')} AS obligation, {_plain('language_from_directive')} AS wording FROM gap_assessment),
+asked AS (SELECT gap_id, doc AS policy, {_text('obligation')} AS obligation, {_text('language_from_directive')} AS wording FROM gap_assessment),
 termed AS (SELECT *, {_TERMS.format("obligation || ' ' || wording", _STOP)} AS terms FROM asked),
 scored AS (
   SELECT t.gap_id, c.chunk_seq, c.page, c.text, len([x FOR x IN t.terms IF contains(lower(c.text), x)])::DOUBLE / greatest(len(t.terms), 1) AS score
@@ -157,20 +236,20 @@ matched AS (
   FROM asked a LEFT JOIN best b USING (gap_id))
 """
 _COMBINED = "lower(obligation || ' ' || wording)"
-_NEGATIVE = _any("lower(match_text)", r.NEGATIVE_PHRASES)
+_NEGATIVE = _any("lower(match_text)", NEGATIVE_PHRASES)
 _STATUS = (
-    f"CASE WHEN {_any(_COMBINED, r.INFORMATIONAL_PHRASES)} THEN {_quoted(cov.NOT_APPLICABLE)} "
-    f"WHEN {_NEGATIVE} THEN CASE WHEN {_any(_COMBINED, r.ESCALATION_TOKENS)} THEN {_quoted(cov.MISSING)} ELSE {_quoted(cov.PARTIAL)} END "
-    f"WHEN keyword_score >= 0.56 THEN {_quoted(cov.COVERED)} WHEN keyword_score >= 0.18 THEN {_quoted(cov.PARTIAL)} ELSE {_quoted(cov.MISSING)} END"
+    f"CASE WHEN {_any(_COMBINED, INFORMATIONAL_PHRASES)} THEN {_quoted(NOT_APPLICABLE)} "
+    f"WHEN {_NEGATIVE} THEN CASE WHEN {_any(_COMBINED, ESCALATION_TOKENS)} THEN {_quoted(MISSING)} ELSE {_quoted(PARTIAL)} END "
+    f"WHEN keyword_score >= 0.56 THEN {_quoted(COVERED)} WHEN keyword_score >= 0.18 THEN {_quoted(PARTIAL)} ELSE {_quoted(MISSING)} END"
 )
 _ASSESSED = f"""
 SELECT gap_id, status AS coverage_status,
-  CASE status WHEN {_quoted(cov.COVERED)} THEN {_quoted(cov.ADVICE['covered'])} WHEN {_quoted(cov.PARTIAL)} THEN {_quoted(cov.ADVICE['partial'])}
-    WHEN {_quoted(cov.MISSING)} THEN CASE WHEN negative THEN {_quoted(cov.ADVICE['negative'])} ELSE {_quoted(cov.ADVICE['missing'])} END
-    ELSE {_quoted(cov.ADVICE['informational'])} END AS policy_gap_and_recommendations,
-  CASE WHEN status = {_quoted(cov.MISSING)} AND NOT negative THEN 'Not located' WHEN status = {_quoted(cov.NOT_APPLICABLE)} THEN 'Not applicable' ELSE match_page END AS policy_page,
-  CASE WHEN status = {_quoted(cov.MISSING)} AND NOT negative THEN {_quoted(NO_MATCH)} WHEN status = {_quoted(cov.NOT_APPLICABLE)} THEN {_quoted(cov.NO_EVIDENCE_NEEDED)} ELSE match_text END AS corresponding_policy_text,
-  CASE status WHEN {_quoted(cov.MISSING)} THEN 'High' WHEN {_quoted(cov.PARTIAL)} THEN 'Medium' ELSE 'Low' END AS priority
+  CASE status WHEN {_quoted(COVERED)} THEN {_quoted(ADVICE['covered'])} WHEN {_quoted(PARTIAL)} THEN {_quoted(ADVICE['partial'])}
+    WHEN {_quoted(MISSING)} THEN CASE WHEN negative THEN {_quoted(ADVICE['negative'])} ELSE {_quoted(ADVICE['missing'])} END
+    ELSE {_quoted(ADVICE['informational'])} END AS policy_gap_and_recommendations,
+  CASE WHEN status = {_quoted(MISSING)} AND NOT negative THEN 'Not located' WHEN status = {_quoted(NOT_APPLICABLE)} THEN 'Not applicable' ELSE match_page END AS policy_page,
+  CASE WHEN status = {_quoted(MISSING)} AND NOT negative THEN {_quoted(NO_MATCH)} WHEN status = {_quoted(NOT_APPLICABLE)} THEN {_quoted(NO_EVIDENCE_NEEDED)} ELSE match_text END AS corresponding_policy_text,
+  CASE status WHEN {_quoted(MISSING)} THEN 'High' WHEN {_quoted(PARTIAL)} THEN 'Medium' ELSE 'Low' END AS priority
 FROM (SELECT *, {_STATUS} AS status, {_NEGATIVE} AS negative FROM matched)"""
 
 # --- catalogue ---------------------------------------------------------------------------------------------------------
@@ -190,25 +269,26 @@ def _section(c: str) -> str:
 
 
 def _year(c: str) -> str:
-    return rf"coalesce(nullif(regexp_extract({c}, '\b(20\d{{2}}|19\d{{2}})\b', 1), ''), 'Unknown')"
+    return rf"coalesce(nullif(regexp_extract({c}, '(?:^|{_NO_WORD})(20\p{{Nd}}{{2}}|19\p{{Nd}}{{2}})(?:$|{_NO_WORD})', 1), ''), 'Unknown')"
 
 
 def _number(c: str) -> str:
-    return rf"coalesce(nullif(replace(regexp_extract({c}, '(?i)Directive\s+([0-9A-Za-z.]+(?:\s*\([^)]+\))?)', 1), ' ', ''), ''), regexp_extract({c}, '\b(\d{{2,3}}\.[A-Z]\.[A-Za-z])\b', 1))"
+    named = rf"replace(regexp_extract({c}, '(?i)Directive{_W}+([0-9A-Za-z.]+(?:{_W}*\([^)]+\))?)', 1), ' ', '')"
+    return rf"coalesce(nullif({named}, ''), regexp_extract({c}, '(?:^|{_NO_WORD})(\p{{Nd}}{{2,3}}\.[A-Z]\.[A-Za-z])(?:$|{_NO_WORD})', 1))"
 
 
-_KNOWN = ", ".join(_quoted(c) for c in r.KNOWN_CATEGORIES)
+_KNOWN = ", ".join(_quoted(c) for c in KNOWN_CATEGORIES)
 _REST = f"""
-WITH items AS (SELECT seq, trim({_plain('title')}) AS t, source_link AS ref, filename AS leaf, CASE WHEN seq % 3 <> 0 THEN category END AS given,
-    nullif(year, 'Unknown') AS y, coalesce(description, '') AS no FROM directives),
-hay AS (SELECT *, t || ' ' || ref || ' ' || leaf || ' ' || coalesce(given, '') || ' ' || trim(no) || ' ' AS hay FROM items),
+WITH items AS (SELECT seq, {_strip(_text('title'))} AS t, source_link AS ref, filename AS leaf, CASE WHEN seq % 3 <> 0 THEN category END AS given,
+    nullif(year, 'Unknown') AS y, {_strip(_text('description'))} AS no FROM directives),
+hay AS (SELECT *, t || ' ' || ref || ' ' || leaf || ' ' || coalesce(given, '') || ' ' || no || ' ' AS hay FROM items),
 kept AS (SELECT *, CASE WHEN given IN ({_KNOWN}) THEN given ELSE {_section('hay')} END AS section FROM hay WHERE contains(lower(hay), 'directive') OR given IN ({_KNOWN})),
 made AS (SELECT seq, substring(sha1(ref), 1, 12) AS id, coalesce(nullif(t, ''), {_safe('leaf')}) AS title, section, coalesce(given, section) AS category,
-    coalesce(y, {_year('hay')}) AS year, ref AS source_link, {_safe('leaf')} AS filename, trim(no) AS description FROM kept),
+    coalesce(y, {_year('hay')}) AS year, ref AS source_link, {_safe('leaf')} AS filename, no AS description FROM kept),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source_link ORDER BY seq DESC) AS back, min(seq) OVER (PARTITION BY source_link) AS first FROM made)
 SELECT first AS seq, id, title, section, category, year, source_link, filename, description FROM ranked WHERE back = 1"""
 _ANCHORS = rf"""
-WITH links AS (SELECT seq, trim(regexp_replace({_plain('title')}, '\s+', ' ', 'g')) AS label, source_link AS href FROM directives),
+WITH links AS (SELECT seq, {_one_line(_text('title'))} AS label, source_link AS href FROM directives),
 kept AS (SELECT *, label || ' ' || href AS hay, {_safe("regexp_extract(href, '[^/]+$')")} AS filename FROM links WHERE regexp_matches(label || ' ' || href, '(?i)directive|\.pdf|LTST|FSCA|FSB')),
 made AS (SELECT seq, substring(sha1(href), 1, 12) AS id, CASE WHEN length(label) > 5 THEN label ELSE filename END AS title, {_section('hay')} AS section,
     {_year('hay')} AS year, href AS source_link, filename FROM kept),
@@ -248,7 +328,8 @@ def oracle_sql() -> dict[str, str]:
             )
         )
         + " FROM reasoned WHERE why IS NULL",
-        "page_render": rf"SELECT doc, regexp_replace(string_agg(chr(10) || chr(10) || '--- Page ' || page || ' ---' || chr(10) || text, '' ORDER BY page), '^\s+|\s+$', '', 'g') AS text FROM {_PAGES} GROUP BY doc",
+        "page_render": rf"""SELECT doc, {_strip("string_agg(chr(10) || chr(10) || CASE WHEN page IS NULL THEN '' ELSE '--- Page ' || page || ' ---' || chr(10) END || text, '' ORDER BY page NULLS FIRST)")} AS text
+            FROM {_PAGES} GROUP BY doc""",
         "clause_breakdown": _BREAKDOWN,
         "obligation_register": f"SELECT clause_id, section, obligation, obligation_category, primary_responsible_department, support_function, priority, actionable FROM {_REGISTER}",
         "category_counts": _counts(_REGISTER, "obligation_category", "category"),
@@ -257,12 +338,12 @@ def oracle_sql() -> dict[str, str]:
         "actionable_counts": _counts(_REGISTER, "actionable", "actionable"),
         "register_kpis": f"""WITH x AS (SELECT count(*) AS a, count(*) FILTER (actionable = 'Yes') AS b, count(DISTINCT obligation_category) AS c, count(DISTINCT primary_responsible_department) AS d FROM {_REGISTER})
             SELECT 1 AS ord, 'Total Sections' AS label, a AS value FROM x UNION ALL SELECT 2, 'Actionable Obligations', b FROM x UNION ALL SELECT 3, 'Categories', c FROM x UNION ALL SELECT 4, 'Departments', d FROM x""",
-        "register_filter": f"SELECT clause_id, priority, actionable FROM {_REGISTER} WHERE obligation_category = 'Legal & Compliance' AND primary_responsible_department = 'Operations'",
+        "register_filter": f"SELECT clause_id, priority, actionable FROM {_REGISTER} WHERE obligation_category = 'Governance' AND primary_responsible_department = 'Board / Senior Management'",
         "register_options": "SELECT 'All' AS value, CAST(-1 AS BIGINT) AS ord UNION ALL SELECT obligation_category, min(gap_id) FROM gap_assessment WHERE obligation_category <> '' GROUP BY 1",
-        "ocr_candidates": rf"SELECT doc || '/' || sequence_no AS doc, sum(length(regexp_replace({_plain('language_from_directive')}, '^\s+|\s+$', '', 'g')) + 1) - 1 < 80 AS needs_ocr FROM directive_clauses GROUP BY 1",
-        "page_lookups": rf"""WITH q AS (SELECT gap_id, doc, [lower(w) FOR w IN [w FOR w IN string_split(trim(regexp_replace({_plain('obligation')}, '\s+', ' ', 'g')), ' ') IF length(w) > 4][1:12]] AS terms FROM gap_assessment),
-            s AS (SELECT q.gap_id, p.page, len([t FOR t IN q.terms IF contains(lower(p.text), t)]) AS score FROM q LEFT JOIN {_PAGES} p USING (doc))
-            SELECT gap_id AS query_id, CASE WHEN max(score) > 0 THEN CAST(min_by(page, (-score, page)) AS VARCHAR) ELSE 'Not located' END AS page FROM s GROUP BY gap_id""",
+        "ocr_candidates": f"SELECT doc, sum(length({_strip(_text('language_from_directive'))}) + 1) - 1 < 80 AS needs_ocr FROM directive_clauses GROUP BY 1",
+        "page_lookups": rf"""WITH q AS (SELECT gap_id, doc, [lower(w) FOR w IN [w FOR w IN string_split({_one_line(_text('obligation'))}, ' ') IF length(w) > 4][1:12]] AS terms FROM gap_assessment),
+            s AS (SELECT q.gap_id, p.doc AS held, p.page, len([t FOR t IN q.terms IF contains(lower(p.text), t)]) AS score FROM q LEFT JOIN {_PAGES} p USING (doc))
+            SELECT gap_id AS query_id, CASE WHEN max(score) > 0 THEN min_by(coalesce(CAST(page AS VARCHAR), 'Unknown'), (-score, page IS NULL, page)) ELSE 'Not located' END AS page FROM s GROUP BY gap_id""",
         "policy_chunks": f"WITH {_CHUNKS} SELECT policy, chunk_seq, page, text FROM chunks",
         "keyword_terms": f"SELECT clause_id, array_to_string({_TERMS.format('w', _STOP)}, ' ') AS terms FROM {_WORDING}",
         "keyword_best_match": f"WITH {_CHUNKS}, {_MATCHED} SELECT gap_id, round(keyword_score, 9) AS keyword_score, match_page, match_text FROM matched",
@@ -272,7 +353,7 @@ def oracle_sql() -> dict[str, str]:
         "gap_category_status": "SELECT obligation_category, coverage_status, count(*) AS count FROM gap_assessment GROUP BY 1, 2",
         "gap_department_status": "SELECT primary_responsible_department, coverage_status, count(*) AS count FROM gap_assessment GROUP BY 1, 2",
         "gap_kpis": "SELECT 1 AS ord, 'Total Obligations' AS label, count(*) AS value FROM gap_assessment "
-        + " ".join(f"UNION ALL SELECT {i}, {_quoted(s)}, count(*) FROM gap_assessment WHERE coverage_status = {_quoted(s)}" for i, s in ((2, cov.COVERED), (3, cov.PARTIAL), (4, cov.MISSING))),
+        + " ".join(f"UNION ALL SELECT {i}, {_quoted(s)}, count(*) FROM gap_assessment WHERE coverage_status = {_quoted(s)}" for i, s in ((2, COVERED), (3, PARTIAL), (4, MISSING))),
         "catalogue_normalise": _REST,
         "anchor_extract": _ANCHORS,
         "category_scrape": "SELECT trim(category) AS category, CAST(max_by(seq % 1000, seq) AS INT) AS n FROM directives GROUP BY 1",
@@ -280,7 +361,7 @@ def oracle_sql() -> dict[str, str]:
         "catalogue_dedupe": """SELECT min(seq) OVER (PARTITION BY source_link) AS seq, id, title, section, category, year, source_link, filename, cached, downloaded, description, local_path, source_type
             FROM directives QUALIFY row_number() OVER (PARTITION BY source_link ORDER BY seq DESC) = 1""",
         "layered_catalogue": "SELECT seq, id, source_type FROM directives WHERE source_type = 'Public HTML'",
-        "catalogue_filter": "SELECT seq, id, section, category, year FROM directives WHERE (section = 'Retirement Fund' OR category = 'Retirement Fund') AND year = '2010'",
+        "catalogue_filter": "SELECT seq, id, section, category, year FROM directives WHERE (section = 'Retirement Fund' OR category = 'Retirement Fund') AND year = 'Unknown'",
         "catalogue_metadata": """SELECT 'section' AS kind, 0 AS ord, 'All' AS value UNION ALL SELECT 'year', 0, 'All'
             UNION ALL SELECT 'section', CAST(row_number() OVER (ORDER BY section) AS INT), section FROM (SELECT DISTINCT section FROM directives WHERE section <> '')
             UNION ALL SELECT 'year', CAST(row_number() OVER (ORDER BY year DESC) AS INT), year FROM (SELECT DISTINCT year FROM directives WHERE year <> '')""",
@@ -301,6 +382,6 @@ def oracle_sql() -> dict[str, str]:
         "unique_names": f"""WITH n AS (SELECT seq, {_safe("source_type || '/' || year || '.pdf'")} AS filename FROM directives),
             k AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY seq) AS n FROM n)
             SELECT seq, filename, CASE WHEN n = 1 THEN filename ELSE regexp_replace(filename, '\\.pdf$', '') || '_' || n || '.pdf' END AS unique_name FROM k""",
-        "safe_names": f"SELECT seq, {_safe(_plain('title'))} AS name, {_year(_plain('title'))} AS year, {_number(_plain('title'))} AS number FROM directives",
+        "safe_names": f"SELECT seq, {_safe(_text('title'))} AS name, {_year(_text('title'))} AS year, {_number(_text('title'))} AS number FROM directives",
         "document_numbers": "SELECT seq, section, CAST(row_number() OVER (PARTITION BY section ORDER BY seq) AS INT) AS doc_no, CASE WHEN downloaded AND filename <> '' THEN filename ELSE 'Not downloaded' END AS file FROM directives",
     }

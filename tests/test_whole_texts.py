@@ -40,7 +40,7 @@ def sf(spark, tmp_path_factory):
 
 
 def run(spark, sf, name):
-    return [tuple(r) for r in (q.queries() | q.whole_queries())[name](spark, sf).collect()]
+    return [tuple(r) for r in q.queries()[name](spark, sf).collect()]
 
 
 def documents():
@@ -89,23 +89,23 @@ def terms(text):
 
 
 def test_clause_breakdown(spark, sf):
-    got = sorted((r[0], r[1], r[2], r[3]) for r in run(spark, sf, "clause_breakdown_whole"))
+    got = sorted((r[0], r[1], r[2], r[3]) for r in run(spark, sf, "clause_breakdown"))
     want = sorted((d, i + 1, *row) for d, t in documents().items() for i, row in enumerate(split_clauses(t)))
     assert got == want and len(got) > 6
 
 
 def test_texts_reach_the_register(spark, sf):
-    assert dict(run(spark, sf, "keyword_terms_whole")) == {i: " ".join(terms(t or "")) for i, _, _, _, t, _ in CLAUSES}
-    got = {r[0]: r[2] for r in run(spark, sf, "obligation_register_whole")}
+    assert dict(run(spark, sf, "keyword_terms")) == {i: " ".join(terms(t or "")) for i, _, _, _, t, _ in CLAUSES}
+    got = {r[0]: r[2] for r in run(spark, sf, "obligation_register")}
     assert "Insurers must address the requirement described in section 1.: " + " ".join(TEXTS[0][3].split()) == got[0]
 
 
 def test_policy_chunks(spark, sf):
-    got = sorted(run(spark, sf, "policy_chunks_whole"))
+    got = sorted(run(spark, sf, "policy_chunks"))
     assert got == sorted((d, i + 1, *c) for d, cs in chunks().items() for i, c in enumerate(cs))
 
 
-@pytest.mark.parametrize("name", ["hybrid_best_match", "keyword_best_match_whole"])
+@pytest.mark.parametrize("name", ["hybrid_best_match", "keyword_best_match"])
 def test_matching(spark, sf, name):
     got = {r[0]: r[-3:] for r in run(spark, sf, name)}
     for gap, doc, _, obligation, language, _ in POLICIES:
@@ -121,7 +121,7 @@ def test_matching(spark, sf, name):
 
 
 def test_pages_of_unknown_number(spark, sf):
-    got = dict(run(spark, sf, "page_render_whole"))
+    got = dict(run(spark, sf, "page_render"))
     assert got["d"] == f"{TEXTS[2][3]}\n\n--- Page 1 ---\n{TEXTS[0][3]}\n\n--- Page 2 ---\n{TEXTS[1][3]}"
     assert got["e"] == f"{TEXTS[4][3]}\n\n--- Page 1 ---\n{TEXTS[3][3]}".strip() and got["f"] == ""
     pages = spark.createDataFrame([("d", None, "committee report"), ("d", 2, "report")], "doc string, page int, text string")
@@ -131,14 +131,8 @@ def test_pages_of_unknown_number(spark, sf):
 
 def test_character_recognition_is_judged_by_document(spark, sf):
     texts = {d: [(t or "").strip() for _, doc, _, _, t, _ in CLAUSES if doc == d] for d in "def"}
-    assert dict(run(spark, sf, "ocr_candidates_whole")) == {d: len(" ".join(t)) < 80 for d, t in texts.items()} == {"d": False, "e": False, "f": True}
+    assert dict(run(spark, sf, "ocr_candidates")) == {d: len(" ".join(t)) < 80 for d, t in texts.items()} == {"d": False, "e": False, "f": True}
 
 
 def test_titles(spark, sf):
-    assert sorted(run(spark, sf, "safe_names_whole"))[0][1:3] == ("Verf_gung_Nr. 5 _ Gr_e 2011", "2011")
-
-
-def test_every_plain_query_has_a_whole_one():
-    from __spark_entry__ import queries
-
-    assert {f"{f.__name__}_whole" for f in q.PLAIN} <= set(queries())
+    assert sorted(run(spark, sf, "safe_names"))[0][1:3] == ("Verf_gung_Nr. 5 _ Gr_e 2011", "2011")
