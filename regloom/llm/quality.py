@@ -29,6 +29,8 @@ TOLERANCE = 0.97
 #: A word is common if at least this share of the documents has it (and at least MIN_DOCUMENTS do).
 COMMON_SHARE, MIN_DOCUMENTS = 0.0005, 3
 
+ROW = "__row"
+
 WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]][\p{L}\p{M}'’]*+"
 _END = r"[.!?…。！？؟।][\"'”’»“)\]」』]*\s*\z"
 _MARK = r"\A\s*(?:[-*+•–·▪◦>]\s|\[[ xX]?\]\s|\(?\p{Alnum}{1,3}[.)]\s)"
@@ -101,6 +103,7 @@ def common_words(documents: DataFrame) -> list[str]:
 
 def text_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
     """Adds the columns of ``FEATURES`` to doc_id and text; other columns are dropped. Everything is computed within the row.
+    The column named by ``ROW`` numbers the rows.
 
     ``common`` are the words of ``common_words``; as literals of the plan they are one hash set in every task.
     """
@@ -157,7 +160,8 @@ def text_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
         # runs of words between function words: long ones where words are strung together
         "bare_words": n_words / (F.aggregate("lines", F.lit(0), lambda a, x: a + x["function"]) + 1),
     }
-    return staged.select("doc_id", "text", *[F.when(known, values[f].cast("double")).alias(f) for f in FEATURES])
+    # the row number keeps a filter over the kinds from being pushed below this step, which would repeat every statistic for every rule that reads it
+    return staged.select("doc_id", "text", *[F.when(known, values[f].cast("double")).alias(f) for f in FEATURES], F.monotonically_increasing_id().alias(ROW))
 
 
 Literal = tuple[str, str, float]
@@ -303,5 +307,5 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(documents.sparkSession)
     common = common_words(documents)
     rules = learn_rules(documents, labels, common)
-    judged = text_statistics(documents, common).withColumn("kind", F.expr(rules.case_sql()))
-    return judged.withColumn("is_prose", F.col("kind") == "prose").drop("text")
+    judged = text_statistics(documents, common).withColumn("kind", F.when(F.col(ROW) >= 0, F.expr(rules.case_sql())))
+    return judged.withColumn("is_prose", F.col("kind") == "prose").drop("text", ROW)
