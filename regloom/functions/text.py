@@ -19,6 +19,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
 
+def strip_left(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?U)\A{SPACE}+", "")
+
+
+def strip_right(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?U){SPACE}+\z", "")
+
+
 def collapse(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U){SPACE}+", " ")
 

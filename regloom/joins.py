@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regloom.session import materialise
+
 #: Largest lookup side, in bytes of its rows as counted, that is broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 #: Bytes a row takes besides its strings, arrays and maps.
@@ -48,3 +50,34 @@ def lookup_join(
     left = big.withColumn(salt, F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
     right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, salt], how).drop(salt)
+
+
+#: Column that names the block of pairs in ``blocked``.
+PAIR = "__pair"
+
+
+def blocked(left: DataFrame, right: DataFrame, key: str, left_by: list[str], right_by: list[str], left_rows: int = 128, right_rows: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``PAIR``, so that a join on ``key`` and it meets every pair of rows of a key exactly once.
+
+    The rows of a key are dealt out, by the hash of ``left_by`` and ``right_by``, into blocks of about ``left_rows`` and ``right_rows``;
+    a pair of blocks is a join key of its own. Rows whose key the other side lacks are left out.
+    """
+    sizes = left.groupBy(key).agg(F.ceil(F.count("*") / left_rows).cast("int").alias("__l"))
+    sizes = materialise(sizes.join(right.groupBy(key).agg(F.ceil(F.count("*") / right_rows).cast("int").alias("__r")), key), "blocks")
+    l, r = F.col("__l"), F.col("__r")
+    place = lambda columns, n: F.pmod(F.xxhash64(*columns), n).cast("int")
+    a = lookup_join(left, sizes, [key], "inner").withColumn("__at", place(left_by, l)).withColumn(PAIR, F.explode(F.sequence(F.col("__at") * r, F.col("__at") * r + r - 1)))
+    b = lookup_join(right, sizes, [key], "inner").withColumn("__at", place(right_by, r)).withColumn(PAIR, F.explode(F.transform(F.sequence(F.lit(0), l - 1), lambda i: i * r + F.col("__at"))))
+    # few bytes, much work: as many tasks as the session has, whatever the size of the rows
+    n = task_count(left.sparkSession)
+    return a.drop("__l", "__r", "__at").repartition(n, key, PAIR), b.drop("__l", "__r", "__at").repartition(n, key, PAIR)
+
+
+def task_count(spark: SparkSession) -> int:
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan that is read by fewer tasks than there are cores, dealt out to all of them; larger scans stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

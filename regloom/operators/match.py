@@ -1,24 +1,25 @@
 """Best policy chunk for each obligation: keyword share and token-set similarity.
 
-Every obligation meets the chunks of its own policy only, an equi-join on the policy. The keyword share is a column
-expression; since the similarity lies in [0, 1], only chunks whose keyword share comes within its weight of the best can win, and only
-these go through the Python similarity.
+Every distinct text that is looked for meets the chunks of its own policy, block by block, so that neither the rows nor the chunks of a
+policy have to fit one task. The keyword share alone is a column expression. With the similarity, a block of texts meets a block of chunks in
+matrices: keyword shares and lengths of shared tokens are exact, the rest of the similarity is bounded by counts of characters,
+and the subsequence is computed only for chunks whose bound reaches the best score so far.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regloom.functions.rules import keywords
-from regloom.joins import lookup_join
+from regloom.joins import PAIR, blocked, lookup_join
+from regloom.session import materialise
 
 KEYWORD_WEIGHT, FUZZY_WEIGHT = 0.68, 0.32
 MAX_TERMS, QUERY_CHARS, CHUNK_CHARS = 35, 1000, 1600
+_FOUND = pa.schema([("policy", pa.string()), ("h0", pa.int64()), ("h1", pa.int64()), ("score", pa.float64()), ("chunk_seq", pa.int32()), ("keyword_score", pa.float64())])
 NO_MATCH = "No directly matching policy text was identified in the uploaded policy."
 
 
@@ -55,70 +56,119 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _similarities(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for queries, texts in batches:
-        yield pd.Series([None if ts is None else [token_set_ratio(q, t) / 100 for t in ts] for q, ts in zip(queries, texts, strict=True)])
+def _joined_length(weights: np.ndarray) -> np.ndarray:
+    """Length of tokens joined by blanks from the sums of their lengths plus one."""
+    return np.maximum(weights - 1, 0)
+
 
+class _Texts:
+    """Token sets of clipped texts with what bounds their similarity: lengths of the joined tokens and counts of characters."""
 
-def _terms(search: Column) -> Column:
-    return F.slice(keywords(search), 1, MAX_TERMS)
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = texts
+        self.tokens = [frozenset(t.split()) for t in texts]
+        self.length = _joined_length(np.array([sum(len(w) + 1 for w in s) for s in self.tokens], dtype=np.float64))
+        self.characters = np.zeros((len(texts), 128), np.int32)
+        for row, s in zip(self.characters, self.tokens, strict=True):
+            codes = np.frombuffer(" ".join(s).encode("utf-32-le", "surrogatepass"), np.uint32)
+            np.add.at(row, codes & 127, 1)  # characters that fall together only loosen the bound
 
 
-def _keyword_share(low: Column, terms: Column) -> Column:
-    return F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.greatest(F.size(terms), F.lit(1))
+def _incidence(rows: list, index: dict[str, int], weight) -> np.ndarray:
+    m = np.zeros((len(rows), len(index)), np.float32)
+    for row, words in zip(m, rows, strict=True):
+        for w in words:
+            if (i := index.get(w)) is not None:
+                row[i] += weight(w)
+    return m
 
 
-def scored_chunks(register: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Register rows with ``scored``: the chunks of their policy in order, as (chunk_seq, page, text, keyword_score).
+def _similarity_bounds(queries: _Texts, chunks: _Texts) -> np.ndarray:
+    """(queries, chunks) upper bounds of the token-set similarity, 0 to 1.
 
-    The chunks of one policy are one array; its size is that of one document.
+    The length of the shared tokens is exact, so only the subsequence of the other tokens is estimated: texts whose characters
+    differ in number are at least that far apart.
     """
-    arrays = chunks.groupBy("policy").agg(F.array_sort(F.collect_list(F.struct("chunk_seq", "page", "text", F.lower("text").alias("low")))).alias("chunks"))
-    # few bytes, much work: spread the rows over all cores, whatever file or policy they come from
-    spark = register.sparkSession
-    spread = register.repartition(max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = lookup_join(spread.withColumn("terms", _terms(F.concat_ws(" ", "obligation", "language_from_directive"))), arrays, ["policy"])
-    empty = F.array().cast("array<struct<chunk_seq:int,page:string,text:string,low:string>>")
-    scored = F.transform(
-        F.coalesce("chunks", empty),
-        lambda c: F.struct(c["chunk_seq"].alias("chunk_seq"), c["page"].alias("page"), c["text"].alias("text"), _keyword_share(c["low"], F.col("terms")).alias("keyword_score")),
+    index = {w: i for i, w in enumerate(sorted({w for s in queries.tokens for w in s}))}
+    shared = _joined_length(_incidence(queries.tokens, index, lambda w: len(w) + 1) @ _incidence(chunks.tokens, index, lambda w: 1).T.astype(np.float32))
+    nx, ny = queries.length[:, None], chunks.length[None, :]
+    apart = np.stack([np.abs(chunks.characters - row).sum(axis=1) for row in queries.characters]) if len(queries.texts) else np.zeros(shared.shape)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        best = 1 - apart / (nx + ny)
+        for n in (nx, ny):
+            best = np.where(shared > 0, np.maximum(best, 2 * shared / (shared + n)), best)
+    contained = (shared > 0) & ((shared >= nx) | (shared >= ny))
+    return np.where((nx == 0) | (ny == 0), 0.0, np.where(contained, 1.0, best))
+
+
+def _best_chunks(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Best chunk of a block for each query of a block: by descending bound, until no other chunk can win."""
+    asked, held = left.to_pydict(), right.to_pydict()
+    order = sorted(range(len(held["chunk_seq"])), key=held["chunk_seq"].__getitem__)
+    seq = [held["chunk_seq"][i] for i in order]
+    texts = [held["text"][i] for i in order]
+    terms = sorted({t for ts in asked["terms"] for t in ts})
+    index = {t: i for i, t in enumerate(terms)}
+    lowered = [t.lower() for t in texts]
+    present = np.array([[t in low for t in terms] for low in lowered], np.float32).reshape(len(texts), len(terms))
+    counts = np.array([max(len(t), 1) for t in asked["terms"]], np.float64)[:, None]
+    keywords = np.rint(_incidence(asked["terms"], index, lambda t: 1) @ present.T).astype(np.float64) / counts
+    queries, chunks = _Texts([t[:QUERY_CHARS] for t in asked["search"]]), _Texts([t[:CHUNK_CHARS] for t in texts])
+    bound = keywords * KEYWORD_WEIGHT + _similarity_bounds(queries, chunks) * FUZZY_WEIGHT + 1e-9
+    rows = []
+    for q, text in enumerate(queries.texts):
+        best = (0.0, 0, 0.0)
+        for c in np.argsort(-bound[q], kind="stable"):
+            if bound[q, c] < best[0]:
+                break
+            score = keywords[q, c] * KEYWORD_WEIGHT + token_set_ratio(text, chunks.texts[c]) / 100 * FUZZY_WEIGHT
+            if score > best[0] or (score == best[0] > 0 and seq[c] < best[1]):
+                best = (float(score), seq[c], float(keywords[q, c]))
+        if best[0] > 0:
+            rows.append((asked["policy"][q], asked["h0"][q], asked["h1"][q], *best))
+    return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_FOUND, zip(*rows, strict=True) if rows else [[]] * 6, strict=True)}, schema=_FOUND)
+
+
+def _asked(register: DataFrame) -> DataFrame:
+    """(policy, h0, h1, search, terms): the distinct texts that are looked for in a policy."""
+    search = F.concat_ws(" ", "obligation", "language_from_directive")
+    texts = register.filter("policy is not null").select("policy", search.alias("search")).distinct()
+    return materialise(texts.select("policy", *_hashes(F.col("search")), "search", F.slice(keywords(F.col("search")), 1, MAX_TERMS).alias("terms")), "asked")
+
+
+def _hashes(search: Column) -> list[Column]:
+    return [F.xxhash64(search).alias("h0"), F.xxhash64(F.lit(1), search).alias("h1")]
+
+
+def _result(register: DataFrame, best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Register rows with the columns score, keyword_score, match_page and match_text.
+
+    The chosen chunk is looked up by its number first, so that texts travel once a row."""
+    best = materialise(best, "best")
+    columns = [c for c in register.columns if c not in ("score", "keyword_score", "match_page", "match_text")]
+    rows = register.select(*columns, *_hashes(F.concat_ws(" ", "obligation", "language_from_directive")))
+    placed = lookup_join(rows, best, ["policy", "h0", "h1"])
+    found = placed.join(chunks.select("policy", "chunk_seq", F.col("page").alias("match_page"), F.col("text").alias("match_text")), ["policy", "chunk_seq"], "left")
+    return found.select(
+        *columns,
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"),
+        F.coalesce("match_page", F.lit("Not located")).alias("match_page"),
+        F.coalesce("match_text", F.lit(NO_MATCH)).alias("match_text"),
     )
-    return rows.withColumn("scored", scored).drop("chunks", "terms")
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, even if ``body`` uses it inside another lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _ranked(score: Column, chunk: Column) -> Column:
-    """Struct that orders by score, then by earlier chunk."""
-    return F.struct(score.alias("score"), (-chunk["chunk_seq"]).alias("back"), chunk["keyword_score"].alias("keyword_score"), chunk["page"].alias("page"), chunk["text"].alias("text"))
-
-
-def _best(candidates: Column) -> Column:
-    """First candidate of the highest positive score."""
-    return let(F.array_max(candidates), lambda b: F.when(b["score"] > 0, b))
-
-
-def _result(rows: DataFrame) -> DataFrame:
-    b = F.col("best")
-    return rows.withColumns(
-        {
-            "score": F.coalesce(b["score"], F.lit(0.0)),
-            "keyword_score": F.coalesce(b["keyword_score"], F.lit(0.0)),
-            "match_page": F.coalesce(b["page"], F.lit("Not located")),
-            "match_text": F.coalesce(b["text"], F.lit(NO_MATCH)),
-        }
-    ).drop("best")
 
 
 def keyword_match(register: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Best chunk by keyword share alone; everything stays in the JVM."""
-    rows = scored_chunks(register, chunks)
-    candidates = F.transform("scored", lambda c: _ranked(c["keyword_score"], c))
-    return _result(rows.withColumn("best", _best(candidates)).drop("scored"))
+    """Best chunk by keyword share alone, the earliest of equals; everything stays in the JVM."""
+    asked, chunks = _asked(register).drop("search"), materialise(chunks, "chunks")
+    low = chunks.select("policy", "chunk_seq", F.lower("text").alias("low"))
+    left, right = blocked(asked, low, "policy", ["h0", "h1"], ["chunk_seq"])
+    hits = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
+    # a whole number that orders by hits, then by earlier chunk; computed once for a pair
+    rank = hits.cast("long") * (1 << 32) + ((1 << 31) - F.col("chunk_seq"))
+    best = left.join(right, ["policy", PAIR]).groupBy("policy", "h0", "h1").agg(F.max(rank).alias("rank"), F.max(F.size("terms")).alias("terms")).filter(F.col("rank") >= 1 << 32)
+    share = F.shiftright("rank", 32) / F.greatest("terms", F.lit(1))
+    return _result(register, best.select("policy", "h0", "h1", share.alias("score"), ((1 << 31) - F.pmod("rank", F.lit(1 << 32))).cast("int").alias("chunk_seq"), share.alias("keyword_score")), chunks)
 
 
 def hybrid_match(register: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -126,12 +176,15 @@ def hybrid_match(register: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Adds score, keyword_score, match_page and match_text; without a positive score the default text.
     """
-    rows = scored_chunks(register, chunks)
-    bound = F.struct(F.array_max(F.transform("scored", lambda c: c["keyword_score"])).alias("top"), F.col("scored").alias("chunks"))
-    can_win = let(bound, lambda x: F.filter(x["chunks"], lambda c: c["keyword_score"] * KEYWORD_WEIGHT + FUZZY_WEIGHT >= x["top"] * KEYWORD_WEIGHT - 1e-9))
-    pruned = rows.withColumn("pruned", can_win).drop("scored")
-    query = F.substring(F.concat_ws(" ", "obligation", "language_from_directive"), 1, QUERY_CHARS)
-    similar = _similarities(query, F.transform("pruned", lambda c: F.substring(c["text"], 1, CHUNK_CHARS)))
-    rated = pruned.withColumn("similar", similar)
-    candidates = F.zip_with("pruned", "similar", lambda c, f: _ranked(c["keyword_score"] * KEYWORD_WEIGHT + f * FUZZY_WEIGHT, c))
-    return _result(rated.withColumn("best", _best(candidates)).drop("pruned", "similar"))
+    chunks = materialise(chunks, "chunks")
+    left, right = blocked(_asked(register), chunks.select("policy", "chunk_seq", "text"), "policy", ["h0", "h1"], ["chunk_seq"], 512, 128)
+    schema = "policy {0}, h0 long, h1 long, score double, chunk_seq int, keyword_score double".format(dict(register.dtypes)["policy"])
+    kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[dict(register.dtypes)["policy"]]
+
+    def best_chunks(x: pa.Table, y: pa.Table) -> pa.Table:
+        return _best_chunks(x, y).cast(_FOUND.set(0, pa.field("policy", kind)))
+
+    found = left.groupBy("policy", PAIR).cogroup(right.groupBy("policy", PAIR)).applyInArrow(best_chunks, schema)
+    top = F.max(F.struct("score", (-F.col("chunk_seq")).alias("back"), "keyword_score")).alias("top")
+    best = found.groupBy("policy", "h0", "h1").agg(top).select("policy", "h0", "h1", "top.score", (-F.col("top.back")).alias("chunk_seq"), "top.keyword_score")
+    return _result(register, best, chunks)

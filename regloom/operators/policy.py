@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regloom.functions.text import SPACE, strip
+from regloom.operators.running import running
 
 MAX_CHARS = 1800
+#: Rows of a policy that one task orders.
+BLOCK_ROWS = 1024
 #: A policy with less text than this cannot be reviewed.
 READABLE_CHARS = 50
 
@@ -25,13 +30,14 @@ def _filled(parts: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def chunk_policies(policies: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(policy, chunk_seq, page, text) from (policy, text).
+def chunk_policies(policies: DataFrame, max_chars: int = MAX_CHARS, order: Sequence[str] = (), block: Column | None = None) -> DataFrame:
+    """(policy, chunk_seq, page, text) from (policy, text), or from policies that come in rows of whole pages, put in order by the columns ``order``.
 
     Text is split at page marks (what stands before the first is discarded; without marks the page is
     unknown), each page at top-level numbered headings. The text before the first heading stays whole; a section longer than
     ``max_chars`` is sliced, and so is a page without headings. If nothing comes out of a filled text, its first
-    ``max_chars`` characters are the only chunk. Null and blank policies have no chunks. Nothing is shuffled.
+    ``max_chars`` characters are the only chunk. Null and blank policies have no chunks. A row of a policy in several must start with a
+    page mark and have text; rows are chunked one by one and the numbers run on over their blocks. Without ``order`` nothing is shuffled.
     """
     raw = F.coalesce("text", F.lit(""))
     whole = strip(raw)
@@ -52,8 +58,14 @@ def chunk_policies(policies: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame
     found = F.flatten(F.transform(pages, chunks))
     fallback = F.array(F.struct(F.lit("Unknown").alias("page"), F.substring(whole, 1, max_chars).alias("text")))
     rows = F.when(F.size(found) > 0, found).when(whole != "", fallback).otherwise(found)
-    exploded = policies.select("policy", F.posexplode(rows).alias("at", "chunk"))
-    return exploded.select("policy", (F.col("at") + 1).alias("chunk_seq"), F.col("chunk.page").alias("page"), F.col("chunk.text").alias("text"))
+    cut = policies.select("policy", *order, rows.alias("rows"))
+    if order:
+        block = F.floor(F.col(order[0]) / BLOCK_ROWS) if block is None else block
+        cut = running(cut, "policy", order, block, total={"before": F.size("rows")})
+    else:
+        cut = cut.withColumn("before", F.lit(0))
+    exploded = cut.select("policy", "before", F.posexplode("rows").alias("at", "chunk"))
+    return exploded.select("policy", (F.col("before") + F.col("at") + 1).cast("int").alias("chunk_seq"), F.col("chunk.page").alias("page"), F.col("chunk.text").alias("text"))
 
 
 def readable(policies: DataFrame) -> DataFrame:

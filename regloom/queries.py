@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regloom.functions import rules
-from regloom.functions.text import first_filled, safe_filename
+from regloom.functions.text import first_filled, safe_filename, strip
+from regloom.joins import spread
 from regloom.operators import catalogue as cat
 from regloom.operators import coverage as cov
 from regloom.operators import register as reg
@@ -63,27 +64,35 @@ def _clause_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "directive_clauses").select("clause_id", "doc", "section", whole(F.col("language_from_directive")).alias("wording"))
 
 
-def _document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, text): the clauses of a directive put together again, one document each."""
-    rows = table(spark, sf_dir, "directive_clauses")
-    line = F.concat("section", F.lit(" "), whole(F.col("language_from_directive")))
-    ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "clause_id", line.alias("line"))))
-    return rows.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+#: Order of the clauses of a directive, and the block of a clause.
+_ORDER = ["sequence_no", "clause_id"]
+
+
+def _block() -> Column:
+    return F.floor(F.col("sequence_no") / 256)
+
+
+def _document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, sequence_no, clause_id, text): the clauses of a directive as the lines of one document."""
+    return spread(table(spark, sf_dir, "directive_clauses")).select("doc", *_ORDER, F.concat("section", F.lit(" "), whole(F.col("language_from_directive"))).alias("text"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, page, text): clause texts by their numeric page; those without one are a page of unknown number (null)."""
-    rows = table(spark, sf_dir, "directive_clauses").select("doc", F.expr("try_cast(page as int)").alias("page"), "sequence_no", "clause_id", whole(F.col("language_from_directive")).alias("t"))
-    ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "clause_id", "t")))
-    return rows.groupBy("doc", "page").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
+    """(doc, page, sequence_no, clause_id, text): clause texts by their numeric page; each clause without one is a page of unknown number (null)."""
+    rows = table(spark, sf_dir, "directive_clauses").select("doc", F.expr("try_cast(page as int)").alias("page"), *_ORDER, whole(F.col("language_from_directive")).alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct(*_ORDER, "text")))  # one page of a document
+    first = F.min(F.struct(*_ORDER))
+    numbered = rows.filter("page is not null").groupBy("doc", "page").agg(first.alias("first"), F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    return rows.filter("page is null").unionByName(numbered.select("doc", "page", "first.*", "text"))
 
 
 def page_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render_pages(_pages(spark, sf_dir))
+    """Page by page; pages of unknown number come first."""
+    return render_pages(_pages(spark, sf_dir), _ORDER)
 
 
 def clause_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clauses(_document_texts(spark, sf_dir))
+    return clauses(_document_pieces(spark, sf_dir), _ORDER, _block(), "\n")
 
 
 def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,18 +140,21 @@ def ocr_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "gap_assessment").select(F.col("gap_id").alias("query_id"), "doc", whole(F.col("obligation")).alias("query"))
-    return page_lookup(_pages(spark, sf_dir), asked)
+    return page_lookup(_pages(spark, sf_dir).select("doc", "page", "text"), asked)
 
 
 # --- policies, matching, coverage --------------------------------------------------------------------------------------
 
 
 def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(policy, text): the passages cited for a directive as one policy, a page for each row."""
-    rows = table(spark, sf_dir, "gap_assessment").select("doc", "sequence_no", "gap_id", whole(F.col("corresponding_policy_text")).alias("t"))
+    """(policy, sequence_no, gap_id, text): the passages cited for a directive as one policy, a page for each that has text."""
+    rows = spread(table(spark, sf_dir, "gap_assessment")).select(F.col("doc").alias("policy"), "sequence_no", "gap_id", whole(F.col("corresponding_policy_text")).alias("t"))
     page = F.concat(F.lit("--- Page "), F.col("sequence_no").cast("string"), F.lit(" ---\n"), "t")
-    ordered = F.array_sort(F.collect_list(F.struct("sequence_no", "gap_id", page.alias("page"))))
-    return rows.groupBy(F.col("doc").alias("policy")).agg(F.array_join(F.transform(ordered, lambda x: x["page"]), "\n").alias("text"))
+    return rows.filter(strip(F.col("t")) != "").select("policy", "sequence_no", "gap_id", page.alias("text"))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_policies(_policies(spark, sf_dir), order=["sequence_no", "gap_id"], block=_block())
 
 
 def _review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +165,7 @@ def _review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_policies(_policies(spark, sf_dir))
+    return _chunks(spark, sf_dir)
 
 
 def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,12 +174,12 @@ def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = keyword_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
+    matched = keyword_match(_review_rows(spark, sf_dir), _chunks(spark, sf_dir))
     return matched.select("gap_id", F.round("keyword_score", 9).alias("keyword_score"), "match_page", "match_text")
 
 
 def hybrid_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = hybrid_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
+    matched = hybrid_match(_review_rows(spark, sf_dir), _chunks(spark, sf_dir))
     return matched.select("gap_id", F.round("score", 9).alias("score"), F.round("keyword_score", 9).alias("keyword_score"), "match_page", "match_text")
 
 
@@ -175,12 +187,12 @@ _ASSESSED = ("gap_id", "coverage_status", "policy_gap_and_recommendations", "pol
 
 
 def gap_assessment_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = keyword_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
+    matched = keyword_match(_review_rows(spark, sf_dir), _chunks(spark, sf_dir))
     return cov.assess(matched).select(*_ASSESSED)
 
 
 def gap_assessment_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = hybrid_match(_review_rows(spark, sf_dir), chunk_policies(_policies(spark, sf_dir)))
+    matched = hybrid_match(_review_rows(spark, sf_dir), _chunks(spark, sf_dir))
     return cov.assess(matched).select(*_ASSESSED)
 
 

@@ -166,8 +166,9 @@ _REGISTER = f"""(SELECT clause_id, doc, section, {_OBLIGATION} AS obligation, {_
   {_SUPPORT} AS support_function, {_PRIORITY} AS priority, CASE WHEN {_ACTIONABLE} THEN 'Yes' ELSE 'No' END AS actionable
   FROM (SELECT *, {_SHORT} AS s FROM {_WORDING}))"""
 
-_PAGES = rf"""(SELECT doc, try_cast(page AS INT) AS page, string_agg({_text('language_from_directive')}, chr(10) ORDER BY sequence_no, clause_id) AS text
-  FROM directive_clauses GROUP BY ALL)"""
+_PAGES = rf"""(SELECT doc, try_cast(page AS INT) AS page, min(sequence_no) AS s, arg_min(clause_id, (sequence_no, clause_id)) AS c,
+    string_agg({_text('language_from_directive')}, chr(10) ORDER BY sequence_no, clause_id) AS text
+  FROM directive_clauses GROUP BY doc, try_cast(page AS INT), CASE WHEN try_cast(page AS INT) IS NULL THEN clause_id END)"""
 
 _BREAKDOWN = rf"""
 WITH docs AS (
@@ -199,7 +200,7 @@ FROM pieces WHERE wording <> '' OR pieces = 1
 _CHUNKS = rf"""
 policies AS (
   SELECT doc AS policy, string_agg('--- Page ' || sequence_no || ' ---' || chr(10) || {_text('corresponding_policy_text')}, chr(10) ORDER BY sequence_no, gap_id) AS raw
-  FROM gap_assessment GROUP BY doc),
+  FROM gap_assessment WHERE {_strip(_text('corresponding_policy_text'))} <> '' GROUP BY doc),
 paged AS (SELECT policy, string_split(regexp_replace({_strip('raw')}, '(?:^|\n+)--- Page (\p{{Nd}}+) ---\n', chr(2) || '\1' || chr(3), 'g'), chr(2)) AS parts, raw FROM policies),
 pages AS (
   SELECT policy, 0 AS k, 'Unknown' AS page, raw AS text FROM paged WHERE len(parts) = 1
@@ -328,8 +329,11 @@ def oracle_sql() -> dict[str, str]:
             )
         )
         + " FROM reasoned WHERE why IS NULL",
-        "page_render": rf"""SELECT doc, {_strip("string_agg(chr(10) || chr(10) || CASE WHEN page IS NULL THEN '' ELSE '--- Page ' || page || ' ---' || chr(10) END || text, '' ORDER BY page NULLS FIRST)")} AS text
-            FROM {_PAGES} GROUP BY doc""",
+        "page_render": rf"""WITH p AS (SELECT *, row_number() OVER w - 1 AS "at", count(*) OVER (PARTITION BY doc) AS n, page IS NOT NULL OR {_strip('text')} <> '' AS filled FROM {_PAGES} WINDOW w AS (PARTITION BY doc ORDER BY page NULLS FIRST, s, c)),
+            e AS (SELECT *, min(CASE WHEN filled THEN "at" END) OVER (PARTITION BY doc) AS lo, max(CASE WHEN filled THEN "at" END) OVER (PARTITION BY doc) AS hi,
+              CASE WHEN page IS NULL THEN '' ELSE '--- Page ' || page || ' ---' || chr(10) END || text AS body FROM p)
+            SELECT doc, "at", CASE WHEN lo IS NULL OR "at" < lo OR "at" > hi THEN '' WHEN "at" = lo AND "at" = hi THEN {_strip('body')} WHEN "at" = lo THEN regexp_replace(body, '^{_W}+', '')
+              WHEN "at" = hi THEN regexp_replace(chr(10) || chr(10) || body, '{_W}+$', '') ELSE chr(10) || chr(10) || body END AS text FROM e""",
         "clause_breakdown": _BREAKDOWN,
         "obligation_register": f"SELECT clause_id, section, obligation, obligation_category, primary_responsible_department, support_function, priority, actionable FROM {_REGISTER}",
         "category_counts": _counts(_REGISTER, "obligation_category", "category"),

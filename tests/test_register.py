@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regloom.operators import register as reg
-from regloom.operators.clauses import clauses, needs_ocr, page_lookup, render_pages
+from regloom.operators.clauses import clauses, needs_ocr, page_lookup, render_pages, whole_documents
 from regloom.sources.registers import load_register
 
 # Paths of a register made by extraction and of one as uploaded; without them the two tests are skipped.
@@ -56,7 +56,7 @@ def test_clauses(spark):
 
 def test_pages_and_ocr(spark):
     pages = spark.createDataFrame([("a", 2, "two"), ("a", 1, "one"), ("b", 1, None), ("c", 1, "x" * 40), ("c", 2, "y" * 39)], "doc string, page int, text string")
-    assert {r["doc"]: r["text"] for r in render_pages(pages).collect()} == {
+    assert {r["doc"]: r["text"] for r in whole_documents(render_pages(pages)).collect()} == {
         "a": "--- Page 1 ---\none\n\n--- Page 2 ---\ntwo", "b": "--- Page 1 ---", "c": "--- Page 1 ---\n" + "x" * 40 + "\n\n--- Page 2 ---\n" + "y" * 39,
     }
     assert {r["doc"]: r["needs_ocr"] for r in needs_ocr(pages).collect()} == {"a": True, "b": True, "c": False}
