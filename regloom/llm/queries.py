@@ -69,17 +69,23 @@ def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause and policy texts with their document and page; the policy reviewed for a directive is a document of its own."""
     clauses = table(spark, sf_dir, "directive_clauses").select(
-        F.lit("directive_clauses").alias("item_table"), F.col("clause_id").alias("item_id"), "doc", F.col("language_from_directive").alias("text")
+        F.lit("directive_clauses").alias("item_table"), F.col("clause_id").alias("item_id"), "doc", F.expr("try_cast(page as int)").alias("page"), F.col("language_from_directive").alias("text")
     )
     policies = table(spark, sf_dir, "gap_assessment").select(
-        F.lit("gap_assessment").alias("item_table"), F.col("gap_id").alias("item_id"), F.lit(None).cast("string").alias("doc"), F.col("corresponding_policy_text").alias("text")
+        F.lit("gap_assessment").alias("item_table"),
+        F.col("gap_id").alias("item_id"),
+        F.concat(F.lit("policy of "), "doc").alias("doc"),
+        F.expr("try_cast(policy_page as int)").alias("page"),
+        F.col("corresponding_policy_text").alias("text"),
     )
     return clauses.unionByName(policies)
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = table(spark, sf_dir, "directives").select(F.col("id").alias("doc"), "title")
+    scanned = F.coalesce(F.col("source_type") == "Scanned archive", F.lit(False))
+    titles = table(spark, sf_dir, "directives").select(F.col("id").alias("doc"), "title", scanned.alias("scanned"))
     return repair_scans(scan_items(spark, sf_dir), titles)
 
 

@@ -1,15 +1,19 @@
 """Noise in text from scanned pages: furniture of the page, broken words, misread characters.
 
-Pass one counts the words of all texts and the running heads that carry a page number. A word of the vocabulary occurs
-at least ``MIN_COUNT`` times, a head ``MIN_HEADS`` times. Those with at least ``MIN_SHARE`` of all tokens are shared with all tasks, at most
+Pass one counts the words of all texts, the running heads that carry a page number, and by document the lines at page edges (next to a page
+number or a page mark). A word of the vocabulary occurs at least ``MIN_COUNT`` times, a head ``MIN_HEADS`` times; a line that stands at page edges of
+``EDGE_REPEATS`` texts of a document is one of its heads, beside its titles. Words and heads with at least ``MIN_SHARE`` of all tokens are shared with all tasks, at most
 1/MIN_SHARE whatever the size of the corpus; the others stay in a written table, where each text's odd words are looked up. From the shared words come, on the driver, the words that are misreadings of far more frequent ones
-(by the usual confusions of character recognition) and the fragments of words torn apart by a stray space.
+(by the usual confusions of character recognition) and the fragments of words torn apart by a stray space. Frequencies are only compared with each other.
 
-Pass two repairs each text: lines that hold a page number or that fuzzily repeat a running head (a title of their
-document, or a head seen with page numbers) go; a word broken at the end of a line is joined if the vocabulary
+Pass two repairs each text: lines that fuzzily repeat a head of their document, or a head seen with page numbers, go; so do page numbers. A line that says "page" is one by its form. A bare number has to continue
+the sequence of pages: it is the number of the text's page or of a neighbour, or, where the page is unknown, stands at a page edge. A roman number stands
+at a page edge or interrupts a sentence of a scanned document. A word broken at the end of a line is joined if the vocabulary
 prefers the joined form to the hyphenated one; misread words and stray characters are put right; lines are joined into
 paragraphs, keeping list items and in-band page marks on lines of their own.
 
+A text whose document is known not to be a scan is repaired only if it shows two faults or more: a single odd word is a slip of another kind.
+
 Defined results: null stays null without faults; empty text stays empty; plain line wrapping and ``--- Page n ---`` lines are no
 faults; texts that repeat get the same result each time; extra columns pass through.
 """
@@ -30,7 +34,7 @@ from regloom.joins import lookup_join
 from regloom.llm.lookalikes import plain_rewriter
 from regloom.session import materialise, prepare
 
-MIN_COUNT, MIN_HEADS, MIN_SHARE = 8, 3, 2e-7
+MIN_COUNT, MIN_HEADS, EDGE_REPEATS, MIN_SHARE = 8, 3, 3, 2e-7
 #: A misreading or torn word is at most 1/RATIO as frequent as the word it stands for.
 RATIO = 8
 
@@ -40,11 +44,15 @@ CONFUSIONS = (
     ("h", "b"), ("g", "q"), ("in", "m"), ("ri", "n"), ("w", "vv"), ("S", "5"), ("B", "8"), ("O", "0"), ("I", "1"), ("cl", "d"), ("rn", "m"),
 )
 
+# Letters that differ from a plain one by an accent.
+_ACCENTED = {"a": "äáàâãå", "c": "çč", "e": "éèêë", "i": "íìîï", "o": "öóòôõø", "u": "üúùû", "n": "ñ"}
+
 _TOKEN = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"--- Page \d+ ---\Z")
 _NUMBER_LINE = re.compile(
-    r"(?i)(?:(?:page|bladsy|seite|página|стр\.?) \d{1,4}(?: (?:of|van|von|de|из) \d{1,4})?|p a g e +\d{1,4}|p\. ?\d{1,4}|\d{1,4} ?/ ?\d{1,4}|[-–] \d{1,4} [-–]|\[\d{1,4}\]|\([ivxlc]{1,7}\)|\d{1,4})\Z"
+    r"(?i)(?:(?:page|bladsy|seite|página|стр\.?) \d{1,4}(?: (?:of|van|von|de|из) \d{1,4})?|p a g e +\d{1,4}|p\. ?\d{1,4}|[-–] \d{1,4} [-–])\Z"
 )
+_BARE_NUMBER = re.compile(r"(?i)(?:(?P<n>\d{1,4})(?: ?/ ?\d{1,4})?|\[(?P<b>\d{1,4})\]|\([ivxlc]{1,7}\))\Z")
 _HEAD_AFTER = re.compile(r"(?P<head>\S.*\S) \| \d{1,4}\Z")
 _HEAD_BEFORE = re.compile(r"\d{1,4}[ \t]{2,}(?P<head>\S.*)\Z")
 _BROKEN = re.compile(r"(?P<a>[^\W\d_]+)(?P<h>[-‐¬\xad])[^\S\n]*\Z")
@@ -136,10 +144,14 @@ class Vocabulary:
             return low not in self.counts and low not in self.lower
         return low not in known
 
+    def _lost_accent(self, word: str, i: int, bad: str, n: int, known: dict[str, int] | _Lookup) -> bool:
+        """Whether the letter that could be a misreading is rather one that lost its accent."""
+        return any(known.get(word[:i] + c + word[i + 1 :], 0) >= RATIO * n for c in _ACCENTED.get(bad, ""))
+
     def correction(self, word: str, n: int = 1, known: dict[str, int] | _Lookup | None = None) -> str | None:
         """The word that ``word``, seen ``n`` times, is a misreading of."""
         known = self.known if known is None else known
-        if not 3 <= len(word) <= 30 or word.isupper() or word.isdigit():
+        if len(word) < 3 or word.isupper() or word.isdigit():
             return None
         figures = sum(c.isdigit() for c in word)
         if 2 * figures > len(word):
@@ -151,8 +163,8 @@ class Vocabulary:
                 x = word[:i] + good + word[i + len(bad) :]
                 k = known.get(x, 0)
                 if k > best and k >= RATIO * n and (len(word) > 3 or k >= 300 * n) and not self.is_misread(x):
-                    doubtful = good == "a" and word[0].isupper() and k < min(2000, 50 * n)
-                    if not (doubtful and self._is_name(x, known)):
+                    doubtful = good == "a" and word[0].isupper() and k < 50 * n
+                    if not (doubtful and self._is_name(x, known)) and not self._lost_accent(word, i, bad, n, known):
                         best, found = k, x
                 i = word.find(bad, i + 1)
         if found is None and figures and not word.isdigit():
@@ -184,7 +196,8 @@ class Vocabulary:
         return self.seen[word]
 
 
-_FIGURED = re.compile(r"(?=[^\W\d_]*\d)(?=.*[a-z].*[a-z])[^\W_]{3,30}\Z")
+_FIGURED = re.compile(r"(?=[^\W\d_]*\d)(?=.*[a-z].*[a-z])[^\W_]{3,}\Z")
+_LETTERS = str.maketrans("5081", "soBl")
 
 
 def _figures_inside(word: str) -> bool:
@@ -198,12 +211,12 @@ def _figures_inside(word: str) -> bool:
 _CAPITAL = str.maketrans("5081", "SOBI")
 
 
-def _capital_figure(word: str, counts: dict[str, int]) -> bool:
-    """A figure that stands for a letter of a word in capitals."""
+def _capital_figure(word: str, counts: dict[str, int]) -> str | None:
+    """A word in capitals with the letter that a figure in it stands for."""
     if len(word) < 5 or not word.isupper() or sum(c.isdigit() for c in word) != 1:
-        return False
-    w = word.translate(_CAPITAL).lower()
-    return w in counts or w.replace("i", "l") in counts
+        return None
+    w = word.translate(_CAPITAL)
+    return w if w.lower() in counts else w.replace("I", "L") if w.lower().replace("i", "l") in counts else None
 
 
 def head_key(line: str) -> str:
@@ -245,43 +258,74 @@ def _head_words(titles: tuple[str, ...]) -> list[list[str]]:
 
 
 def _is_head(line: str, vocabulary: Vocabulary, known: list[list[str]]) -> bool:
-    if not 8 <= len(line) <= 110 or line[-1] in ".;:,!?\"”)" or not line[0].isupper():
+    if len(line) < 8 or line[-1] in ".;:,!?\"”)" or line[0].islower():
         return False
     key = head_key(line).split()
-    if len(key) < 2 or len(key) > 12:
+    if len(key) < 2:
         return False
     if known and len(key) >= 3 and _repeats(key, known):
         return True
     return vocabulary.is_known_head(line)
 
 
-def repair(text: str, vocabulary: Vocabulary, titles: tuple[str, ...] | list[str] = ()) -> tuple[str, list[str]]:
-    """(continuous paragraphs, sorted kinds of fault found)."""
-    faults: set[str] = set()
+def _is_edge(line: str) -> bool:
+    return not line or bool(_MARK.match(line) or _NUMBER_LINE.match(line))
+
+
+def _is_page_number(lines: list[str], i: int, page: int | None, scanned: bool | None) -> bool:
+    line = lines[i]
+    if _NUMBER_LINE.match(line):
+        return True
+    m = _BARE_NUMBER.match(line) if len(line) < 12 else None
+    if not m or scanned is False:
+        return False
+    before, after = (lines[i - 1] if i else ""), (lines[i + 1] if i + 1 < len(lines) else "")
+    edge = _is_edge(before) or _is_edge(after)
+    number = m.group("n") or m.group("b")
+    if number is None:
+        return edge or bool(scanned) and before[-1] not in ".:;!?"
+    return abs(int(number) - page) <= 1 if page is not None else edge
+
+
+def edge_lines(text: str) -> set[str]:
+    """Lines next to a page number or a page mark, as they may head or foot a page."""
+    lines = [x.strip() for x in text.split("\n")]
+    filled = [i for i, x in enumerate(lines) if x]
+    signs = [bool(_MARK.match(lines[i]) or _NUMBER_LINE.match(lines[i])) for i in filled]
+    if not any(signs):
+        return set()
+    near = [i for k, i in enumerate(filled) if not signs[k] and (k and signs[k - 1] or k + 1 < len(filled) and signs[k + 1])]
+    return {lines[i] for i in near if len(head_key(lines[i]).split()) >= 2 and lines[i][-1] not in ".;:,!?\"”)" and not lines[i][0].islower()}
+
+
+def repair(text: str, vocabulary: Vocabulary, titles: tuple[str, ...] | list[str] = (), page: int | None = None, scanned: bool | None = None) -> tuple[str, list[str]]:
+    """(continuous paragraphs, sorted kinds of fault found); ``page`` and ``scanned`` say what is known of the text's origin."""
+    faults: Counter = Counter()
     t = plain_rewriter()(text) if not text.isascii() else text
     if "\xad" in text:  # a soft hyphen at a line end is a break, elsewhere it is invisible
         t = plain_rewriter()(re.sub("\xad[^\\S\\n]*\\n", "¬\n", text))
     known = _head_words(tuple(titles))
     lines: list[str] = []
-    for raw in t.split("\n"):
-        line = raw.strip()
+    raws = t.split("\n")
+    bare = [x.strip() for x in raws]
+    for i, (raw, line) in enumerate(zip(raws, bare, strict=True)):
         if line and not _MARK.match(line):
-            if _NUMBER_LINE.match(line):
-                faults.add("page number")
+            if _is_page_number(bare, i, page, scanned):
+                faults["page number"] += 1
                 lines.append("\0")
                 continue
-            head = _numbered_head(line)
-            if head or _is_head(line, vocabulary, known):
-                faults.add("running header")
+            if _numbered_head(line) or _is_head(line, vocabulary, known):
+                faults["running header"] += 1
                 lines.append("\0")
                 continue
         lines.append(raw.rstrip())
-    joined = _join_breaks(lines, vocabulary, faults)
-    joined = _words(joined, vocabulary, faults)
+    joined = _words(_join_breaks(lines, vocabulary, faults), vocabulary, faults)
+    if scanned is False and faults.total() == 1:
+        return _paragraphs(raws), []
     return _paragraphs(joined), sorted(faults)
 
 
-def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: set[str]) -> list[str]:
+def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: Counter) -> list[str]:
     """Lines without furniture (marked by a NUL), broken words put together."""
     kept = []
     furniture = False
@@ -315,7 +359,7 @@ def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: set[str]) ->
             both = vocabulary.known.get(a, 0) and vocabulary.known.get(b, 0)
             real = m.group("h") in "-‐" and hyphened > whole
             if not real:
-                faults.add("broken word")
+                faults["broken word"] += 1
             glue = "-" if real or (m.group("h") in "-‐" and not whole and both and hyphened) else ""
             out[prior] = out[prior][: m.start("h")] + glue + line.lstrip()
             del out[prior + 1 :]
@@ -326,7 +370,7 @@ def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: set[str]) ->
             if not (a in vocabulary.solid and b in vocabulary.solid):
                 whole = vocabulary.known.get(a + b, 0)
                 if whole >= max(MIN_COUNT, RATIO * min(vocabulary.known.get(a, 0), vocabulary.known.get(b, 0))) and not vocabulary.is_misread(a + b):
-                    faults.add("broken word")
+                    faults["broken word"] += 1
                     out[prior] = out[prior].rstrip() + line.lstrip()
                     del out[prior + 1 :]
                     continue
@@ -342,34 +386,33 @@ def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: set[str]) ->
     return out
 
 
-def _words(lines: list[str], vocabulary: Vocabulary, faults: set[str]) -> list[str]:
+def _words(lines: list[str], vocabulary: Vocabulary, faults: Counter) -> list[str]:
     """Stray characters out, torn words joined, misread words put right; only words that are not solid are looked at."""
     solid, counts = vocabulary.solid, vocabulary.known
     for i, line in enumerate(lines):
         if any(c in line for c in _STRAYS) and _STRAY.search(line):
-            faults.add("misread characters")
+            faults["misread characters"] += 1
             line = lines[i] = _STRAY.sub("", line)
         odd = set(_TOKEN.findall(line)) - solid
         edits: list[tuple[int, int, str]] = []
         for w in odd:
-            if w.isupper() and not _capital_figure(w, counts):
+            corrected = _capital_figure(w, counts) if w.isupper() else vocabulary.corrected(w)
+            if w.isupper() and not corrected:
                 continue  # codes in capitals are no words, unless a figure stands for a letter
-            corrected = None if w.isupper() else vocabulary.corrected(w)
+            if not corrected and _figures_inside(w):
+                corrected = w.translate(_LETTERS)
             at = line.find(w)
             while at >= 0:
                 end = at + len(w)
                 if (at == 0 or not _alnum(line[at - 1])) and (end == len(line) or not _alnum(line[end])):
                     gap = _torn_at(line, at, end, vocabulary) if w.isalpha() else None
                     if gap is not None:
-                        faults.add("misread characters")
                         edits.append((gap, gap + 1, ""))
                     elif corrected:
-                        faults.add("misread characters")
                         edits.append((at, end, corrected))
-                    elif _capital_figure(w, counts) or _figures_inside(w):
-                        faults.add("misread characters")
                 at = line.find(w, end)
         if edits:
+            faults["misread characters"] += len(set(edits))
             parts, at = [], 0
             for start, end, new in sorted(set(edits)):
                 if start >= at:
@@ -431,39 +474,45 @@ def _hyphened(text: str) -> list[str]:
 
 
 def word_statistics(items: DataFrame) -> DataFrame:
-    """(kind, word, n): words, hyphenated words and numbered running heads; counted per partition, then summed."""
+    """(kind, word, n): words and hyphenated words (w), numbered running heads (h), lines at page edges with their document before a NUL (e), all tokens (t).
+
+    Counted per partition, then summed; a line at a page edge counts once a text.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = plain_rewriter()
-        total: Counter = Counter()
-        heads: Counter = Counter()
+        found: dict[str, Counter] = {"w": Counter(), "h": Counter(), "e": Counter()}
         tokens = 0
 
         def flush() -> pa.RecordBatch:
-            kinds = ["w"] * len(total) + ["h"] * len(heads)
-            words, n = [*total.keys(), *heads.keys()], [*total.values(), *heads.values()]
-            total.clear()
-            heads.clear()
+            kinds = [k for k, c in found.items() for _ in c]
+            words, n = [w for c in found.values() for w in c], [x for c in found.values() for x in c.values()]
+            for c in found.values():
+                c.clear()
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["kind", "word", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text, doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = rewrite(text)
                 # codes of figures and capitals are no words; leaving them out keeps the table small
-                found = [w for w in _TOKEN.findall(t) if len(w) <= 30 and not w.isupper() and not w.isdigit()]
-                total.update(found)
-                total.update(_hyphened(t))
-                tokens += len(found)
+                words = [w for w in _TOKEN.findall(t) if not w.isupper() and not w.isdigit()]
+                found["w"].update(words)
+                found["w"].update(_hyphened(t))
+                tokens += len(words)
+                if "\n" in t:
+                    if doc is not None:
+                        found["e"].update(f"{doc}\0{line}" for line in edge_lines(t))
                 if " | " in t or "   " in t or "\t" in t:
                     for line in t.split("\n"):
                         if head := _numbered_head(line.strip()):
-                            heads[head] += 1
-            if len(total) > 400_000:
+                            found["h"][head] += 1
+            if sum(map(len, found.values())) > 400_000:
                 yield flush()
         yield flush()
         yield pa.RecordBatch.from_arrays([pa.array(["t"]), pa.array([""]), pa.array([tokens], pa.int64())], names=["kind", "word", "n"])
 
-    counted = items.select("text").filter(F.col("text").isNotNull()).mapInArrow(count, "kind string, word string, n long")
+    rows = items.select("text", F.col("doc").cast("string") if "doc" in items.columns else F.lit(None).cast("string").alias("doc")).filter(F.col("text").isNotNull())
+    counted = rows.mapInArrow(count, "kind string, word string, n long")
     return counted.groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
@@ -490,8 +539,8 @@ def _templates(heads: DataFrame, words: DataFrame, counts: dict[str, int], compl
     return rows.mapInArrow(templates, "template string, n long").groupBy("template").agg(F.sum("n").alias("n"))
 
 
-def build_vocabulary(items: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """(vocabulary of all texts, table of counts by key for all other words and heads).
+def build_vocabulary(items: DataFrame) -> tuple[Vocabulary, DataFrame, DataFrame]:
+    """(vocabulary of all texts, table of counts by key for all other words and heads, heads by document as (doc, title)).
 
     What reaches the driver is bounded by 1/MIN_SHARE words and as many head templates, for any corpus; whatever
     the bound leaves out is looked up in the table, so thresholds are the same at all sizes.
@@ -513,40 +562,49 @@ def build_vocabulary(items: DataFrame) -> tuple[Vocabulary, DataFrame]:
         asked = spark.createDataFrame([(w,) for w in v.names], "key string")
         lower = {r["key"]: r["n"] for r in lookup_join(words.filter(F.col("n") >= MIN_COUNT), asked, ["key"], "inner").toLocalIterator()}
         v = Vocabulary(counts, kept, True, complete, least_heads == MIN_HEADS, lower)
-    return v, words.unionByName(heads.select(F.concat(F.lit("\0"), "template").alias("key"), "n"))
+    parts = F.split("word", "\0", 2)
+    repeated = stats.filter((F.col("kind") == "e") & (F.col("n") >= EDGE_REPEATS)).select(parts[0].alias("doc"), parts[1].alias("title"))
+    return v, words.unionByName(heads.select(F.concat(F.lit("\0"), "template").alias("key"), "n")), repeated
 
 
 def repair_scans(items: DataFrame, titles: DataFrame | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:
     """(item_table, item_id, repaired, faults): every item repaired, with the kinds of fault it had.
 
-    ``items`` has item_table, item_id, text and, for running heads of its document, doc; ``titles`` has doc and title.
-    Texts whose repair needs counts of rare words are repaired again with them, until none is missing.
+    ``items`` has item_table, item_id, text and, if known, doc and page (a number); ``titles`` has doc, title and, if known, scanned (whether the document
+    was read from a scan). Texts whose repair needs counts of rare words are repaired again with them, until none is missing.
     """
     spark = items.sparkSession
     prepare(spark)
-    v, table = build_vocabulary(items) if vocabulary is None else (vocabulary, None)
+    v, table, heads = build_vocabulary(items) if vocabulary is None else (vocabulary, None, None)
     shared = spark.sparkContext.broadcast(v)
     if titles is not None:
-        heads = titles.filter("doc is not null and title is not null").groupBy("doc").agg(F.collect_set("title").alias("titles"))
-        rows = lookup_join(items.select("item_table", "item_id", "doc", "text"), heads, ["doc"])
+        origin = titles.select("doc", "title", F.col("scanned") if "scanned" in titles.columns else F.lit(None).cast("boolean").alias("scanned"))
+        heads = origin if heads is None else origin.unionByName(heads.withColumn("scanned", F.lit(None).cast("boolean")))
+    rows = items.select("item_table", F.col("item_id").cast("long").alias("item_id"), "text", *[F.col(c).cast(t) if c in items.columns else F.lit(None).cast(t).alias(c) for c, t in (("doc", "string"), ("page", "int"))])
+    if heads is not None:
+        if "scanned" not in heads.columns:
+            heads = heads.withColumn("scanned", F.lit(None).cast("boolean"))
+        known = heads.filter("doc is not null").groupBy("doc").agg(F.collect_set("title").alias("titles"), F.max("scanned").alias("scanned"))
+        rows = lookup_join(rows, materialise(known, "heads"), ["doc"])
     else:
-        rows = items.withColumn("titles", F.lit(None).cast("array<string>"))
-    rows = rows.select("item_table", F.col("item_id").cast("long").alias("item_id"), "text", "titles", F.lit(None).cast("array<struct<key:string,n:bigint>>").alias("counts"))
-    schema = "item_table string, item_id long, repaired string, faults array<string>, text string, titles array<string>, counts array<struct<key:string,n:bigint>>, asked array<string>"
+        rows = rows.withColumns({"titles": F.lit(None).cast("array<string>"), "scanned": F.lit(None).cast("boolean")})
+    kept = ["item_table", "item_id", "text", "page", "titles", "scanned"]
+    rows = rows.select(*kept, F.lit(None).cast("array<struct<key:string,n:bigint>>").alias("counts"))
+    schema = "item_table string, item_id long, repaired string, faults array<string>, text string, page int, titles array<string>, scanned boolean, counts array<struct<key:string,n:bigint>>, asked array<string>"
     names = [f.split()[0] for f in schema.replace("<key:string,n:bigint>", "").split(", ")]
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         for b in batches:
             done, asked = [], []
-            for t, k, c in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for t, page, heads, scan, c in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
                 if vocab.lookup:
                     vocab.lookup.found = {x["key"]: x["n"] for x in c or ()}
                     vocab.lookup.asked = set()
-                done.append((None, []) if t is None else repair(t, vocab, k or ()))
+                done.append((None, []) if t is None else repair(t, vocab, heads or (), page, scan))
                 asked.append(sorted(vocab.lookup.asked) if vocab.lookup else [])
             ready = pa.array([not a for a in asked], pa.bool_())
-            later = [pa.compute.if_else(ready, pa.scalar(None, b.column(i).type), b.column(i)) if i == 2 else b.column(i) for i in (2, 3, 4)]
+            later = [pa.compute.if_else(ready, pa.scalar(None, b.column(i).type), b.column(i)) if i == 2 else b.column(i) for i in range(2, 7)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string())), *later, pa.array(asked, pa.list_(pa.string()))],
                 names=names,
@@ -560,11 +618,11 @@ def repair_scans(items: DataFrame, titles: DataFrame | None = None, vocabulary:
         passed = materialise(passed, "mended")
         ready = passed.filter(F.size("asked") == 0).select("item_table", "item_id", "repaired", "faults")
         result = ready if result is None else result.unionByName(ready)
-        open_ = passed.filter(F.size("asked") > 0).select("item_table", "item_id", "text", "titles", "counts", "asked", F.xxhash64("text", "asked").alias("h"))
+        open_ = passed.filter(F.size("asked") > 0).select(*kept, "counts", "asked", F.xxhash64("text", "asked").alias("h"))
         if open_.isEmpty():
             return result
         wanted = open_.select("h", F.explode("asked").alias("key")).distinct()
         known = materialise(table.join(wanted.select("key").distinct(), "key"), "counts")
         answers = lookup_join(wanted, known, ["key"]).groupBy("h").agg(F.collect_list(F.struct("key", F.coalesce("n", F.lit(0)).alias("n"))).alias("more"))
         more = lookup_join(open_, materialise(answers, "answers"), ["h"])
-        rows = more.select("item_table", "item_id", "text", "titles", F.concat(F.coalesce("counts", F.array().cast("array<struct<key:string,n:bigint>>")), "more").alias("counts"))
+        rows = more.select(*kept, F.concat(F.coalesce("counts", F.array().cast("array<struct<key:string,n:bigint>>")), "more").alias("counts"))
