@@ -1,19 +1,22 @@
 """Sentence boundaries across languages and scripts.
 
-A pushdown automaton reads the terminators, quotation marks and brackets of each paragraph. The stack holds open
+A pushdown automaton reads the terminators, quotation marks, brackets and item marks of each paragraph. The stack holds open
 quotations and brackets, so a full stop inside either ends nothing; what follows the closing mark decides
-whether the quotation ended the sentence or stands within it. A full stop at level zero is checked against a trie of
+whether the quotation ended the sentence or stands within it. It also holds the levels of lists: an item mark at the start of a line opens one where the text before
+it ended with a colon, or in a list with a semicolon, a comma or a conjunction; the full stop of such a mark ends nothing, and the end of the sentence closes its lists. A full stop at level zero is checked against a trie of
 abbreviations (walked backwards, look-alike letters folded), decimals, ordinals and list numbers. Scripts with their own
 terminators need no following space; Thai paragraphs break at spaces that are not next to a figure.
 
 Defined results: offsets are code points of the stored text; an empty line ends a sentence, a single line break
 does not; page marker lines belong to no sentence; null, empty and blank texts have no sentences. An unclosed
-quotation or bracket is given up at the end of its paragraph. Time is linear in the length of the text.
+quotation or bracket is given up at the end of its paragraph, which is then read again without it. Time is linear in the length of the text. Where capitals give no hint (a sentence in
+capitals throughout, or with a capital in every word), an abbreviation that may end a sentence, an ellipsis or a closed quotation ends it only if other writing follows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,25 +33,26 @@ ALWAYS = (
     "e.g|i.e|cf|viz|vs|approx|ca|dr|prof|mr|mrs|ms|mx|messrs|hon|adv|rev|st|udkt|nkk|mnu|mnr|mev|bv|d.w.s|d.i|o.a|m.b.t|t.o.v|"
     "p. ex|p.ex|mme|mlle|me|env|c.-à-d|z. b|z.b|d. h|d.h|u. a|bzw|vgl|inkl|hr|fr|i. v|т. е|т.е|т. п|т. д|др|проф|гг|डॉ|रु|श्री|कु"
 ).split("|")
-FIGURE = "no|nos|nr|nrs|art|arts|s|ss|para|paras|reg|regs|sec|ch|cl|fig|vol|p|pp|par|item|abs|ziff|kap|s.|n|ст|п|пп|стр|№|क्र".split("|")
+FIGURE = "no|nos|nr|nrs|art|arts|s|ss|para|paras|reg|regs|sec|ch|cl|fig|vol|p|pp|par|item|abs|abb|tab|ziff|kap|s.|n|ст|п|пп|стр|№|क्र".split("|")
 OPEN = "etc|ltd|inc|co|corp|plc|p.m|a.m|p.a|jr|sr|ens|bpk|edms|usw|gmbh|г|руб|млн|тыс".split("|")
 # German month names, after which an ordinal does not end a sentence.
 MONTHS = ("Januar", "Jänner", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
-# Words that carry a sentence on where capitals give no hint.
-GOING_ON = frozenset("on beside wrote said and or must shall may should can will if en und et и kusho sê".split())
-
 TERMINATORS = ".!?…؟।॥。！？．"
 _WIDE = "。！？।॥"
-_EVENT = re.compile(rf"[{TERMINATORS}]+|[\"“”„‟«»「」『』]|[()\[\]（）【】]")
+_EVENT = re.compile(rf"[{TERMINATORS}]+|[\"＂“”„‟«»「」『』]|(?P<item>(?<=\n)[^\S\n]*(?:[(\[][a-z\d]{{1,4}}[)\]]|\d{{1,3}}[.)]|[a-z][.)]|[-•*–])(?=\s))|[()\[\]（）［］【】]")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _PAGE = re.compile(r"(?m)(?:^|\n)[^\S\n]*--- Page \d+ ---[^\S\n]*$")
 _AHEAD = re.compile(r"[\s​‌‍⁠﻿­]*")
 _WORD = re.compile(r"\w+")
 _INVISIBLE = "​‌‍⁠﻿­"
-_CLOSES = {"”": "“", "»": "«", "」": "「", "』": "『", ")": "(", "]": "[", "）": "（", "】": "【"}
-_OPENS = set("„‟«「『([（【")
-_QUOTES = set("\"“”„‟«»「」『』")
+# marks that look alike or differ in width count as one
+_MARKS = str.maketrans("＂（）［］", "\"()[]")
+_CLOSES = {"”": "“", "»": "«", "」": "「", "』": "『", ")": "(", "]": "[", "】": "【"}
+_QUOTES = set("\"＂“”„‟«»「」『』")
+_LIST = "•"
+_LEADS = re.compile(r"(?:[;,]|\b(?:and|or|en|of|und|oder|et|ou|и|или))\s*\Z")
 _SMALL = re.compile(r"(?<![\w.])[a-zß-ÿа-яё]\w")
+_SEVERAL = re.compile(r"(?:[A-ZÀ-ÞА-Я]\w*\W+){2}[A-ZÀ-ÞА-Я]")
 _THAI = re.compile("[฀-๿]")
 _THAI_SPACE = re.compile(r"(?<![\d\s])[^\S\n]+(?![\d\s])")
 
@@ -109,14 +113,12 @@ def _cased_next(text: str, at: int, end: int) -> tuple[str, bool, int]:
     return (text[j] if j < end else ""), gap, j
 
 
-def _goes_on(text: str, j: int, caps: bool) -> bool:
-    if not caps:
-        return False
-    m = _WORD.match(text, j)
-    return bool(m) and m.group().lower() in GOING_ON
+def _no_hint(text: str, start: int, stop: int, at: int, end: int) -> bool:
+    """Whether the sentence from ``start`` to ``stop``, of three words or more, and what follows at ``at`` are both without small initial letters."""
+    return bool(_SEVERAL.search(text, start, stop)) and not _SMALL.search(text, start, stop) and not _SMALL.search(text, at, min(at + 30, end))
 
 
-def _ends_at_stop(text: str, i: int, j: int, start: int, end: int, caps: bool) -> bool:
+def _ends_at_stop(text: str, i: int, j: int, start: int, end: int) -> bool:
     """Whether the run of terminators text[i:j], at level zero, ends the sentence that began at ``start``."""
     run = text[i:j]
     nxt, gap, at = _cased_next(text, j, end)
@@ -127,7 +129,7 @@ def _ends_at_stop(text: str, i: int, j: int, start: int, end: int, caps: bool) -
     if run != "." and run != "．":
         if run[-1] in "!?؟":
             return not (nxt.islower() or nxt in ",;")
-        return gap and not nxt.islower() and not _goes_on(text, at, caps) and (nxt.isalnum() and not nxt.isnumeric() or nxt.isdigit() or nxt in _QUOTES)
+        return gap and not nxt.islower() and not _no_hint(text, start, i, at, end) and (nxt.isalnum() and not nxt.isnumeric() or nxt.isdigit() or nxt in _QUOTES)
     before = text[i - 1] if i > start else ""
     k = i - 1
     while before and before in _INVISIBLE and k > start:
@@ -156,7 +158,7 @@ def _ends_at_stop(text: str, i: int, j: int, start: int, end: int, caps: bool) -
             one -= 1
         if (one < start or not (text[one].isalnum() or text[one] == ".")) and (before.isupper() or before.islower()) and (gap or not nxt.isdigit()):
             return False  # an initial
-    if _goes_on(text, at, caps):
+    if kind == "open" and nxt.isupper() and _no_hint(text, start, i, at, end):
         return False
     if gap:
         return not (nxt in ",;:)" or nxt in TERMINATORS)
@@ -165,8 +167,8 @@ def _ends_at_stop(text: str, i: int, j: int, start: int, end: int, caps: bool) -
     return nxt.isupper() and (before.islower() or before.isdigit() or before in "%)٪") or (nxt.isalpha() and not nxt.isupper() and not nxt.islower() and before in "%٪")
 
 
-def _ends_at_close(text: str, j: int, end: int, mark: str, caps: bool) -> bool:
-    """Whether a quotation closed at ``j`` (position after the mark), whose text ended with a terminator, ends the sentence."""
+def _ends_at_close(text: str, j: int, start: int, end: int, mark: str) -> bool:
+    """Whether a quotation closed at ``j`` (position after the mark), whose text ended with a terminator, ends the sentence that began at ``start``."""
     nxt, gap, at = _cased_next(text, j, end)
     if not nxt:
         return True
@@ -177,7 +179,7 @@ def _ends_at_close(text: str, j: int, end: int, mark: str, caps: bool) -> bool:
         return False  # scripts without capitals: the quotation stands within its sentence
     if mark in "」』" or (mark == "”" and code >= 0x3000):
         return not 0x3041 <= code <= 0x3096
-    return not _goes_on(text, at, caps)
+    return not (nxt.isupper() and _no_hint(text, start, j, at, end))
 
 
 def sentence_ends(stored: str) -> list[int]:
@@ -204,50 +206,79 @@ def _paragraph(text: str, start: int, end: int, out: list[int]) -> None:
         out.extend(m.start() for m in _THAI_SPACE.finditer(text, start, end))
         out.append(end)
         return
-    caps = body.isupper() or not _SMALL.search(body)
-    stack: list[str] = []
+    given_up: set[int] = set()
+    ends, open_marks = _read(text, start, end, given_up)
+    if open_marks:  # without these the others match
+        ends, _ = _read(text, start, end, open_marks)
+    out.extend(ends)
+
+
+def _read(text: str, start: int, end: int, ignored: set[int]) -> tuple[list[int], set[int]]:
+    """(ends of the sentences of a paragraph, positions of marks that were never closed)."""
+    out: list[int] = []
+    stack: list[tuple[str, int]] = []
+    held: Counter = Counter()  # open marks by kind, so that the stack is never searched
     begun = start
     last_stop = -1  # end of the last run of terminators inside a quotation or bracket
+
+    def ended(j: int) -> int:
+        out.append(j)
+        stack.clear()  # only lists are open
+        held.clear()
+        while j < end and text[j].isspace():
+            j += 1
+        return j
+
     for ev in _EVENT.finditer(text, start, end):
         i, j = ev.span()
-        c = text[i]
+        c = text[i].translate(_MARKS)
+        if ev.lastgroup == "item":
+            before = text[begun:i].rstrip()
+            if before.endswith((":", "：")) or held[_LIST] and _LEADS.search(before[-12:]):
+                stack.append((_LIST, i))
+                held[_LIST] += 1
+                continue
+            if i <= begun:
+                continue
+            # no item: a full stop at its end is one of the sentence
+            if not text[j - 1] == "." or len(stack) > held[_LIST]:
+                continue
+            i, c = j - 1, "."
         if c in TERMINATORS:
-            if stack:
+            if len(stack) > held[_LIST]:
                 last_stop = j
-                continue
-            if _ends_at_stop(text, i, j, begun, end, caps):
-                out.append(j)
-                begun = j
-                while begun < end and text[begun].isspace():
-                    begun += 1
+            elif _ends_at_stop(text, i, j, begun, end):
+                begun = ended(j)
+            continue
+        if i in ignored:
             continue
-        closing = False
-        if c == '"':
-            closing = '"' in stack
-        elif c == "“":
-            closing = bool(stack) and stack[-1] in "„‟"
-        elif c in _CLOSES:
-            closing = True
+        mate = c
+        closing = c in _CLOSES or c == '"' and held[c] > 0 or c == "“" and bool(stack) and stack[-1][0] in "„‟"
         if not closing:
-            stack.append(c)
+            if c != '"' or j < end and not text[j].isspace():  # what is followed by a space opens nothing
+                stack.append((c, i))
+                held[c] += 1
             continue
-        mate = '"' if c == '"' else (stack[-1] if c == "“" else _CLOSES[c])
-        if mate not in stack and c == "”" and any(x in stack for x in "„‟"):
-            mate = "„" if "„" in stack else "‟"
-        if mate not in stack:
+        if c == "“":
+            mate = stack[-1][0]
+        elif c != '"':
+            mate = _CLOSES[c]
+            if c == "”" and not held[mate]:
+                mate = "„" if held["„"] else "‟"
+        if not held[mate]:
             continue
-        while stack.pop() != mate:
-            pass
-        if not stack and last_stop > 0 and not text[last_stop:i].strip(_INVISIBLE + " \n\t   ") and _ends_at_close(text, j, end, c, caps):
-            if c in _QUOTES or text[begun] == mate:
-                out.append(j)
-                begun = j
-                while begun < end and text[begun].isspace():
-                    begun += 1
+        while True:
+            mark, _ = stack.pop()
+            held[mark] -= 1
+            if mark == mate:
+                break
+        if len(stack) == held[_LIST] and last_stop > 0 and not text[last_stop:i].strip(_INVISIBLE + " \n\t   ") and _ends_at_close(text, j, begun, end, c):
+            if c in _QUOTES or text[begun].translate(_MARKS) == mate:
+                begun = ended(j)
         last_stop = -1
-    if not out or out[-1] < end:
-        if begun < end:
-            out.append(end)
+    if begun < end and (not out or out[-1] < end):
+        out.append(end)
+    return out, {i for mark, i in stack if mark != _LIST}
 
 
 def sentences(items: DataFrame) -> DataFrame:
