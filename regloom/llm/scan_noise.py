@@ -2,13 +2,12 @@
 
 Pass one counts the words of all texts, the running heads that carry a page number, and by document the lines at page edges (next to a page
 number or a page mark). A word of the vocabulary occurs at least ``MIN_COUNT`` times, a head ``MIN_HEADS`` times; a line that stands at page edges of
-``EDGE_REPEATS`` texts of a document is one of its heads, beside its titles. Words and heads with at least ``MIN_SHARE`` of all tokens are shared with all tasks, at most
-1/MIN_SHARE whatever the size of the corpus; the others stay in a written table, where each text's odd words are looked up. From the shared words come, on the driver, the words that are misreadings of far more frequent ones
+``EDGE_REPEATS`` texts of a document is one of its heads, beside its titles. Up to ``SHARED`` words and as many heads are shared with all tasks. If there are more, the
+most frequent are, and the others stay in a written table, where each text's odd words are looked up; the results are the same. From the shared words come, on the driver, the words that are misreadings of far more frequent ones
 (by the usual confusions of character recognition) and the fragments of words torn apart by a stray space. Frequencies are only compared with each other.
 
 Pass two repairs each text: lines that fuzzily repeat a head of their document, or a head seen with page numbers, go; so do page numbers. A line that says "page" is one by its form. A bare number has to continue
-the sequence of pages: it is the number of the text's page or of a neighbour, or, where the page is unknown, stands at a page edge. A roman number stands
-at a page edge or interrupts a sentence of a scanned document. A word broken at the end of a line is joined if the vocabulary
+the sequence of pages: it is the number of the text's page or of a neighbour, or, where the page is unknown, stands at a page edge or interrupts a sentence of a scanned document; so does a roman number. A word broken at the end of a line is joined if the vocabulary
 prefers the joined form to the hyphenated one; misread words and stray characters are put right; lines are joined into
 paragraphs, keeping list items and in-band page marks on lines of their own.
 
@@ -34,7 +33,7 @@ from regloom.joins import lookup_join
 from regloom.llm.lookalikes import plain_rewriter
 from regloom.session import materialise, prepare
 
-MIN_COUNT, MIN_HEADS, EDGE_REPEATS, MIN_SHARE = 8, 3, 3, 2e-7
+MIN_COUNT, MIN_HEADS, EDGE_REPEATS, SHARED = 8, 3, 3, 500_000
 #: A misreading or torn word is at most 1/RATIO as frequent as the word it stands for.
 RATIO = 8
 
@@ -52,6 +51,7 @@ _MARK = re.compile(r"--- Page \d+ ---\Z")
 _NUMBER_LINE = re.compile(
     r"(?i)(?:(?:page|bladsy|seite|página|стр\.?) \d{1,4}(?: (?:of|van|von|de|из) \d{1,4})?|p a g e +\d{1,4}|p\. ?\d{1,4}|[-–] \d{1,4} [-–])\Z"
 )
+_SIGN = re.compile(r"(?im)^[^\S\n]*(?:--- page|(?:page|bladsy|seite|página|стр\.?) \d|p a g e |p\. ?\d|[-–] \d)")
 _BARE_NUMBER = re.compile(r"(?i)(?:(?P<n>\d{1,4})(?: ?/ ?\d{1,4})?|\[(?P<b>\d{1,4})\]|\([ivxlc]{1,7}\))\Z")
 _HEAD_AFTER = re.compile(r"(?P<head>\S.*\S) \| \d{1,4}\Z")
 _HEAD_BEFORE = re.compile(r"\d{1,4}[ \t]{2,}(?P<head>\S.*)\Z")
@@ -64,14 +64,17 @@ _ITEM = re.compile(r"[(\[]?(?:[a-z]|[ivx]{1,4}|\d{1,2})[)\]]\s|[-*•–]\s")
 
 
 class _Lookup:
-    """Counts of the shared words and of those looked up for the text in hand; what is missing is noted in ``asked``."""
+    """Counts of the shared words and of those looked up for the text in hand; what is missing is noted in ``asked``, unless the rare words are all known."""
 
-    def __init__(self, shared: dict[str, int]) -> None:
+    def __init__(self, shared: dict[str, int], rare: dict[str, int] | None = None) -> None:
         self.shared = shared
+        self.rare = rare
         self.found: dict[str, int] = {}
         self.asked: set[str] = set()
 
     def times(self, key: str) -> int | None:
+        if self.rare is not None:
+            return self.rare.get(key, 0)
         n = self.found.get(key)
         if n is None:
             self.asked.add(key)
@@ -91,17 +94,27 @@ class _Lookup:
 class Vocabulary:
     """Words with their counts, and what follows from them; small enough to be broadcast.
 
-    With ``looked`` the counts of rare words are looked up (see ``_Lookup``): always where a misreading depends on how often the
-    word itself occurs, and for all other words and for heads if ``counts`` or ``heads`` had to leave frequent ones out.
+    With ``looked`` the counts of rare words are taken from ``rare`` or looked up (see ``_Lookup``): always where a misreading depends on how often the
+    word itself occurs, and for all other words and for heads if ``counts`` or ``heads`` had to leave frequent ones out. ``longest_head`` is the number of
+    words of the longest head of all.
     """
 
     def __init__(
-        self, counts: dict[str, int], heads: frozenset[str] = frozenset(), looked: bool = False, complete: bool = True, all_heads: bool = True, lower: dict[str, int] | None = None
+        self,
+        counts: dict[str, int],
+        heads: frozenset[str] = frozenset(),
+        looked: bool = False,
+        complete: bool = True,
+        all_heads: bool = True,
+        lower: dict[str, int] | None = None,
+        rare: dict[str, int] | None = None,
+        longest_head: int | None = None,
     ) -> None:
         self.counts = counts
         self.heads = heads
         self.all_heads = all_heads
-        self.lookup = _Lookup(counts) if looked else None
+        self.longest_head = max((len(h.split()) for h in heads), default=0) if longest_head is None else longest_head
+        self.lookup = _Lookup(counts, rare) if looked else None
         self.known = counts if complete else self.lookup
         self.lower = lower or {}
         self.seen: dict[str, str | None] = {}
@@ -131,9 +144,9 @@ class Vocabulary:
         return self.corrected(word) is not None
 
     def is_known_head(self, line: str) -> bool:
-        if not self.heads and self.all_heads:
+        if not self.longest_head or line.count(" ") >= 2 * self.longest_head or len(tokens := _TOKEN.findall(line.lower())) > self.longest_head:
             return False
-        template = head_template(line, self.known)
+        template = head_template(tokens, self.known)
         return template in self.heads or not self.all_heads and bool(self.lookup.times("\0" + template))
 
     def _is_name(self, word: str, known: dict[str, int] | _Lookup) -> bool:
@@ -219,17 +232,22 @@ def _capital_figure(word: str, counts: dict[str, int]) -> str | None:
     return w if w.lower() in counts else w.replace("I", "L") if w.lower().replace("i", "l") in counts else None
 
 
+_ENDS = frozenset(".;:,!?\"”)。！？；：，、।؟؛»」』")
+
+
 def head_key(line: str) -> str:
     """A line as a running head: lower case, letters only, single spaces."""
     return " ".join(re.findall(r"[^\W\d_]+", line.lower()))
 
 
-def head_template(line: str, counts: dict[str, int]) -> str:
-    """The same with words outside the vocabulary starred, so heads that differ in a name coincide."""
-    return " ".join("#" if t.isdigit() else t if t in counts else "*" for t in _TOKEN.findall(line.lower()))
+def head_template(tokens: list[str], counts: dict[str, int]) -> str:
+    """The words of a line with those outside the vocabulary starred, so heads that differ in a name coincide."""
+    return " ".join("#" if t.isdigit() else t if t in counts else "*" for t in tokens)
 
 
 def _numbered_head(line: str) -> str | None:
+    if "|" not in line and not line[:1].isdigit():
+        return None
     m = _HEAD_AFTER.match(line) or _HEAD_BEFORE.match(line)
     return m.group("head") if m and len(head_key(m.group("head")).split()) >= 2 else None
 
@@ -258,7 +276,7 @@ def _head_words(titles: tuple[str, ...]) -> list[list[str]]:
 
 
 def _is_head(line: str, vocabulary: Vocabulary, known: list[list[str]]) -> bool:
-    if len(line) < 8 or line[-1] in ".;:,!?\"”)" or line[0].islower():
+    if line[0].islower() or line[-1] in _ENDS or len(line) < 8:
         return False
     key = head_key(line).split()
     if len(key) < 2:
@@ -274,6 +292,8 @@ def _is_edge(line: str) -> bool:
 
 def _is_page_number(lines: list[str], i: int, page: int | None, scanned: bool | None) -> bool:
     line = lines[i]
+    if len(line) > 40:
+        return False
     if _NUMBER_LINE.match(line):
         return True
     m = _BARE_NUMBER.match(line) if len(line) < 12 else None
@@ -282,13 +302,16 @@ def _is_page_number(lines: list[str], i: int, page: int | None, scanned: bool |
     before, after = (lines[i - 1] if i else ""), (lines[i + 1] if i + 1 < len(lines) else "")
     edge = _is_edge(before) or _is_edge(after)
     number = m.group("n") or m.group("b")
+    broken = bool(scanned and before) and before[-1] not in ".:;!?"  # it interrupts a sentence
     if number is None:
-        return edge or bool(scanned) and before[-1] not in ".:;!?"
-    return abs(int(number) - page) <= 1 if page is not None else edge
+        return edge or broken
+    return abs(int(number) - page) <= 1 if page is not None else edge or broken and len(number) < 4
 
 
 def edge_lines(text: str) -> set[str]:
     """Lines next to a page number or a page mark, as they may head or foot a page."""
+    if not _SIGN.search(text):
+        return set()
     lines = [x.strip() for x in text.split("\n")]
     filled = [i for i, x in enumerate(lines) if x]
     signs = [bool(_MARK.match(lines[i]) or _NUMBER_LINE.match(lines[i])) for i in filled]
@@ -389,11 +412,15 @@ def _join_breaks(lines: list[str], vocabulary: Vocabulary, faults: Counter) -> l
 def _words(lines: list[str], vocabulary: Vocabulary, faults: Counter) -> list[str]:
     """Stray characters out, torn words joined, misread words put right; only words that are not solid are looked at."""
     solid, counts = vocabulary.solid, vocabulary.known
+    whole = "\n".join(lines)
+    any_odd = {w for w in set(_TOKEN.findall(whole)) - solid if not w.isdigit()}
+    if not any_odd and not any(c in whole for c in _STRAYS):
+        return lines
     for i, line in enumerate(lines):
         if any(c in line for c in _STRAYS) and _STRAY.search(line):
             faults["misread characters"] += 1
             line = lines[i] = _STRAY.sub("", line)
-        odd = set(_TOKEN.findall(line)) - solid
+        odd = [w for w in any_odd if w in line]
         edits: list[tuple[int, int, str]] = []
         for w in odd:
             corrected = _capital_figure(w, counts) if w.isupper() else vocabulary.corrected(w)
@@ -527,7 +554,7 @@ def _templates(heads: DataFrame, words: DataFrame, counts: dict[str, int], compl
 
     def templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = [head_template(w, ChainMap(dict.fromkeys(more or ()), broadcast.value)) for w, more in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            t = [head_template(_TOKEN.findall(w.lower()), ChainMap(dict.fromkeys(more or ()), broadcast.value)) for w, more in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), b.column(1)], names=["template", "n"])
 
     if complete:
@@ -542,26 +569,32 @@ def _templates(heads: DataFrame, words: DataFrame, counts: dict[str, int], compl
 def build_vocabulary(items: DataFrame) -> tuple[Vocabulary, DataFrame, DataFrame]:
     """(vocabulary of all texts, table of counts by key for all other words and heads, heads by document as (doc, title)).
 
-    What reaches the driver is bounded by 1/MIN_SHARE words and as many head templates, for any corpus; whatever
+    What reaches the driver is bounded by ``SHARED`` words and as many head templates, for any corpus; whatever
     the bound leaves out is looked up in the table, so thresholds are the same at all sizes.
     """
     spark = items.sparkSession
     stats = materialise(word_statistics(items), "words")
     total = stats.filter("kind = 't'").agg(F.sum("n")).first()[0] or 0
-    bound = int(total * MIN_SHARE) + 1
-    least, least_heads = max(MIN_COUNT, bound), max(MIN_HEADS, bound)
+    bound = total // SHARED + 1  # at most SHARED words are as frequent as this
     words = stats.filter("kind = 'w'").select(F.col("word").alias("key"), "n")
-    counts = {r["key"]: r["n"] for r in words.filter(F.col("n") >= least).toLocalIterator()}
+    every, frequent = words.agg(F.count("*"), F.count_if(F.col("n") >= MIN_COUNT)).first()
+    least = MIN_COUNT if frequent <= SHARED else max(MIN_COUNT, bound)
+    kept = {r["key"]: r["n"] for r in words.filter(F.col("n") >= (1 if every <= SHARED else least)).toLocalIterator()}
+    counts = {w: n for w, n in kept.items() if n >= least}
+    rare = {w: n for w, n in kept.items() if n < least} if every <= SHARED else None
     complete = least == MIN_COUNT
     heads = materialise(
         _templates(stats.filter("kind = 'h'").select("word", "n"), words, counts, complete).filter((F.col("n") >= MIN_HEADS) & F.col("template").rlike(r"\p{L}{3}")), "heads"
     )
-    kept = frozenset(r["template"] for r in heads.filter(F.col("n") >= least_heads).toLocalIterator())
-    v = Vocabulary(counts, kept, True, complete, least_heads == MIN_HEADS)
-    if v.names:
+    some, longest = heads.agg(F.count("*"), F.max(F.size(F.split("template", " ")))).first()
+    least_heads = MIN_HEADS if some <= SHARED else max(MIN_HEADS, bound)
+    shared = frozenset(r["template"] for r in heads.filter(F.col("n") >= least_heads).toLocalIterator())
+    known = {"heads": shared, "looked": True, "complete": complete, "all_heads": least_heads == MIN_HEADS, "rare": rare, "longest_head": longest or 0}
+    v = Vocabulary(counts, **known)
+    if v.names and rare is None:
         asked = spark.createDataFrame([(w,) for w in v.names], "key string")
         lower = {r["key"]: r["n"] for r in lookup_join(words.filter(F.col("n") >= MIN_COUNT), asked, ["key"], "inner").toLocalIterator()}
-        v = Vocabulary(counts, kept, True, complete, least_heads == MIN_HEADS, lower)
+        v = Vocabulary(counts, **known, lower=lower)
     parts = F.split("word", "\0", 2)
     repeated = stats.filter((F.col("kind") == "e") & (F.col("n") >= EDGE_REPEATS)).select(parts[0].alias("doc"), parts[1].alias("title"))
     return v, words.unionByName(heads.select(F.concat(F.lit("\0"), "template").alias("key"), "n")), repeated
@@ -576,6 +609,8 @@ def repair_scans(items: DataFrame, titles: DataFrame | None = None, vocabulary:
     spark = items.sparkSession
     prepare(spark)
     v, table, heads = build_vocabulary(items) if vocabulary is None else (vocabulary, None, None)
+    if v.lookup and v.lookup.rare is not None and v.all_heads:
+        table = None  # nothing is left to look up
     shared = spark.sparkContext.broadcast(v)
     if titles is not None:
         origin = titles.select("doc", "title", F.col("scanned") if "scanned" in titles.columns else F.lit(None).cast("boolean").alias("scanned"))

@@ -32,7 +32,9 @@ def test_numbers_that_are_no_page_numbers_stay():
     assert repair("kept in\n\n2012\n\nthe board", V, page=3)[0] == "kept in\n\n2012\n\nthe board"
     assert repair("keep\n3\nthe record", V, page=3) == repair("keep\n[2]\nthe record", V, page=3) == ("keep the record", ["page number"])
     assert repair("keep\n(iv)\nthe record", V, scanned=True) == ("keep the record", ["page number"])
-    assert repair("keep:\n(iv)\nthe record", V, scanned=True)[1] == []
+    assert repair("keep:\n(iv)\nthe record", V, scanned=True)[1] == [] == repair("kept in\n2012\nthe board", V, scanned=True)[1]
+    assert repair("[2]\n7", V, scanned=True)[0] == ""
+    assert repair("keep\n[2]\nthe record", V, scanned=True)[0] == "keep the record"
 
 
 def test_a_single_slip_is_no_scan():
@@ -101,7 +103,9 @@ def test_rare_words_do_not_depend_on_the_size(spark, monkeypatch):
         return {rows[r["item_id"]]: (r["repaired"], r["faults"]) for r in repair_scans(df).collect()}
 
     small = run()
-    monkeypatch.setattr(scan_noise, "MIN_SHARE", 0.05)  # the bound of a corpus many times as large
+    monkeypatch.setattr(scan_noise, "SHARED", 12)  # the frequent words fit, the rare ones do not
+    assert small == run()
+    monkeypatch.setattr(scan_noise, "SHARED", 5)  # as in a corpus many times as large
     large = run()
     assert small == large
     assert large["the settlernent Wenmorfund and Benmorfund stand"][0] == "the settlement Wenmorfund and Benmorfund stand"
