@@ -34,13 +34,16 @@ from regloom.joins import lookup_join
 from regloom.session import materialise, prepare
 
 # Letters with coinciding glyphs, Cyrillic and Greek against Latin.
-CYRILLIC = "АВЕКМНОРСТУХаеорсухѕіјһԁԛԝЅІЈԌԚԜ"
-CYRILLIC_LATIN = "ABEKMHOPCTYXaeopcyxsijhdqwSIJGQW"
+CYRILLIC = "АВЕКМНОРСТУХаеорсухѕіјһԁԛԝЅІЈԌԚԜӏ"
+CYRILLIC_LATIN = "ABEKMHOPCTYXaeopcyxsijhdqwSIJGQWl"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳν"
 GREEK_LATIN = "ABEZHIKMNOPTYXocjv"
-# Invisible characters (soft hyphen, combining grapheme joiner, zero-width space, word joiner,
-# invisible operators, byte order mark), and the two joiners that matter to some scripts.
-INVISIBLE = "­͏​⁠⁡⁢⁣⁤﻿"
+# An Armenian letter and the small Roman numerals of one letter.
+OTHERS = "օⅰⅴⅹⅼⅽⅾⅿ"
+OTHERS_LATIN = "oivxlcdm"
+# Invisible characters (soft hyphen, combining grapheme joiner, vowel separator, zero-width space, marks, embeddings and isolates of
+# direction, word joiner, invisible operators, variation selectors, byte order mark), and the two joiners that matter to some scripts.
+INVISIBLE = "\u00ad\u034f\u180e\u200b\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f\ufeff"
 JOINERS = "‌‍"
 LIGATURES = range(0xFB00, 0xFB05)
 
@@ -79,7 +82,7 @@ class UnionFind:
 def lookalike_classes() -> tuple[tuple[str, ...], ...]:
     """All classes with two or more members; the universe is fixed by Unicode, not by the data."""
     uf = UnionFind()
-    letters = [*zip(CYRILLIC, CYRILLIC_LATIN, strict=True), *zip(GREEK, GREEK_LATIN, strict=True)]
+    letters = [*zip(CYRILLIC, CYRILLIC_LATIN, strict=True), *zip(GREEK, GREEK_LATIN, strict=True), *zip(OTHERS, OTHERS_LATIN, strict=True)]
     for a, b in letters:
         uf.union(a, b)
     uf.union("‐", "-")
@@ -258,31 +261,48 @@ def look_hashes(items: DataFrame, counts: dict[str, int]) -> DataFrame:
     )
 
 
-#: Rows of one look that one task pairs at most with the rows of that look; larger groups are split.
+#: Forms of a look, or rows of a form, that one task pairs at most with those of another; larger groups are split.
 SPLIT_ROWS = 4096
 
 
-def lookalike_pairs(items: DataFrame) -> DataFrame:
-    """Pairs of items of one table that look the same but are stored with different characters.
+def stored_forms(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, forms) of the looks that are stored in two forms or more.
 
-    Only looks with two or more stored forms are joined; a look with many rows is split into blocks of its
-    left side, so no task meets all pairs of a hot group.
+    rows: item_table, item_id, look, raw; forms: item_table, look, raw, n (rows of the form), first (smallest item id), forms (forms of the look).
     """
     prepare(items.sparkSession)
     hashed = materialise(look_hashes(items, member_counts(items, "text")), "looks")
-    looks = (
-        hashed.groupBy("item_table", "look")
-        .agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.count("*").alias("n"))
-        .filter("low <> high")
-        .select("item_table", "look", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("blocks"))
-    )
-    members = lookup_join(hashed, looks, ["item_table", "look"], "inner")
-    left = members.withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"))
-    right = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a, b = left.alias("a"), right.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("item_table", "look", "block")]
-    return (
-        a.join(b, [*same, F.col("a.item_id") < F.col("b.item_id"), F.col("a.raw") != F.col("b.raw")])
-        .select(F.col("a.item_table").alias("item_table"), F.col("a.item_id").alias("id_a"), F.col("b.item_id").alias("id_b"))
-        .distinct()
-    )
+    forms = hashed.groupBy("item_table", "look", "raw").agg(F.count("*").alias("n"), F.min("item_id").alias("first"))
+    several = forms.groupBy("item_table", "look").agg(F.count("*").alias("forms")).filter("forms > 1")
+    several = materialise(several, "several")
+    forms = materialise(lookup_join(forms, several, ["item_table", "look"], "inner", salts=1), "forms")
+    rows = lookup_join(hashed, several.drop("forms"), ["item_table", "look"], "inner").distinct()
+    return rows, forms
+
+
+def lookalike_pairs(items: DataFrame) -> DataFrame:
+    """Pairs of items of one table that look the same but are stored with different characters.
+
+    The distinct forms of a look are joined first, so rows that are equal never meet; then each form gives place to its rows.
+    Looks of many forms and forms of many rows are split into blocks, so no task meets all pairs of a hot group.
+    """
+    rows, forms = stored_forms(items)
+    key = ["item_table", "look"]
+    blocks = lambda n: F.ceil(F.col(n) / SPLIT_ROWS).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = lambda n, by: F.pmod(F.xxhash64(by), n).cast("int")
+    left = forms.select(*key, F.col("raw").alias("raw_a"), blocks("n").alias("blocks_a"), dealt(blocks("forms"), "raw").alias("block"))
+    right = forms.select(*key, F.col("raw").alias("raw_b"), blocks("n").alias("blocks_b"), numbers(blocks("forms")).alias("block"))
+    pairs = left.join(right, [*key, "block"]).filter("raw_a < raw_b").drop("block")
+    pairs = pairs.withColumn("block_a", numbers(F.col("blocks_a"))).withColumn("block_b", numbers(F.col("blocks_b")))
+    placed = lookup_join(rows, forms.select(*key, "raw", blocks("n").alias("blocks")), [*key, "raw"]).withColumn("block", dealt(F.col("blocks"), "item_id"))
+    side = lambda s: placed.select(*key, F.col("raw").alias(f"raw_{s}"), F.col("block").alias(f"block_{s}"), F.col("item_id").alias(f"item_{s}"))
+    both = pairs.join(side("a"), [*key, "raw_a", "block_a"]).join(side("b"), [*key, "raw_b", "block_b"]).filter("item_a <> item_b")
+    return both.select("item_table", F.least("item_a", "item_b").alias("id_a"), F.greatest("item_a", "item_b").alias("id_b"))
+
+
+def lookalike_groups(items: DataFrame) -> DataFrame:
+    """(item_table, group_id, forms, items): the looks that are stored in two forms or more; group_id is the smallest item id. Its size does not grow with the number of pairs."""
+    _, forms = stored_forms(items)
+    grouped = forms.groupBy("item_table", "look").agg(F.min("first").alias("group_id"), F.count("*").alias("forms"), F.sum("n").alias("items"))
+    return grouped.select("item_table", "group_id", "forms", "items")

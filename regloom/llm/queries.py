@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regloom.joins import lookup_join
 from regloom.llm.leakage import leaked_passages
-from regloom.llm.lookalikes import canonical_forms, lookalike_pairs
+from regloom.llm.lookalikes import canonical_forms, lookalike_groups, lookalike_pairs
 from regloom.llm.mixing import mix
 from regloom.llm.neardup import NearDuplicates
 from regloom.llm.quality import judge
@@ -32,6 +32,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(regulation_items(spark, sf_dir))
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_groups(regulation_items(spark, sf_dir))
+
+
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_forms(regulation_items(spark, sf_dir), "text").select("item_table", "item_id", "canonical")
 
@@ -126,7 +130,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p2_found, p2_pieces, p3_found, p3_canonical, p4_found, p4_groups, p5_found, p5_sentences,
+        p2_found, p2_pieces, p3_found, p3_groups, p3_canonical, p4_found, p4_groups, p5_found, p5_sentences,
         p6_found, p6_repaired, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_statistics,
     )
     return {f.__name__: f for f in every}

@@ -2,9 +2,10 @@
 
 Every boundary of a text (paragraph, sentence, line, clause, word) has a position and a strength. A sparse
 table over the strengths answers "where is the strongest boundary in this window, the rightmost of
-equals" in constant time. A piece may be ``min_chars`` to ``max_chars`` long; it ends at the strongest boundary of that window,
+equals" in constant time. Sentences end where the operator for sentence boundaries says. A piece may be ``min_chars`` to ``max_chars`` long; it ends at the strongest boundary of that window,
 and the next piece starts at the strongest boundary around ``overlap`` characters before that end.
-Where a window holds no boundary the cut falls at its far end, but never inside a character cluster.
+Where a window holds no boundary, the piece ends at the last boundary before it that is new text, and the next one starts at the nearest boundary further back. Only where
+there is none either does the cut fall at the far end, but never inside a character cluster.
 
 Defined results: pieces are slices of the stored text in order, the first starts at 0, the last ends at the
 text's length and each starts before the end of its predecessor (at ``overlap`` > 0); a text within the limit
@@ -23,30 +24,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regloom.llm.sentences import sentence_ends
+
 MAX_CHARS = 1800
 OVERLAP = 200
 
-# Strength by kind of boundary; a cut lies after the match.
+# Strength by kind of boundary; a cut lies after the match. A full stop after a long word that ends no sentence counts as a clause.
 PARAGRAPH, SENTENCE, LINE, CLAUSE, WORD = 5, 4, 3, 2, 1
 _BOUNDARY = re.compile(
     r"(?P<p>\n[^\S\n]*\n\s*)"
-    r"|(?P<s>[.!?؟।॥…][\"'”’»“)\]]*(?=\s)[^\S\n]*\n?|[。！？．][”’」』）\"]*\s*)"
     r"|(?P<l>[^\S\n]*\n)"
+    r"|(?P<t>(?<=\w{4})[.!?؟।॥…][\"'”’»“)\]]*(?=\s)[^\S\n]*)"
     r"|(?P<c>[;:,،؛](?=\s)[^\S\n]*|[；：，、])"
     r"|(?P<w>[^\S\n]+)"
 )
-_STRENGTH = {"p": PARAGRAPH, "s": SENTENCE, "l": LINE, "c": CLAUSE, "w": WORD}
+_AFTER = re.compile(r"[^\S\n]*\n?")
+_STRENGTH = {"p": PARAGRAPH, "l": LINE, "t": CLAUSE, "c": CLAUSE, "w": WORD}
 
 
 class SparseTable:
-    """Range-maximum over ``values``; the rightmost of equal maxima."""
+    """Range-maximum over ``values`` for ranges of up to ``longest``; the rightmost of equal maxima."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, longest: int | None = None) -> None:
+        longest = len(values) if longest is None else min(longest, len(values))
         self.values = values
         level = np.arange(len(values))
         self.levels = [level]
         width = 1
-        while 2 * width <= len(values):
+        while 2 * width <= longest:
             left, right = level[:-width], level[width:]
             level = np.where(values[right] >= values[left], right, left)
             self.levels.append(level)
@@ -61,12 +66,12 @@ class SparseTable:
 
 def boundaries(text: str) -> tuple[list[int], np.ndarray]:
     """Positions (ascending) and strengths of the cuts inside ``text``."""
-    at, strength = [], []
-    for m in _BOUNDARY.finditer(text):
-        if 0 < m.end() < len(text):
-            at.append(m.end())
-            strength.append(_STRENGTH[m.lastgroup])
-    return at, np.array(strength, dtype=np.int8)
+    found = {m.end(): _STRENGTH[m.lastgroup] for m in _BOUNDARY.finditer(text)}
+    for e in sentence_ends(text):
+        at = _AFTER.match(text, e).end()
+        found[at] = max(found.get(at, 0), SENTENCE)
+    at = sorted(k for k in found if 0 < k < len(text))
+    return at, np.array([found[k] for k in at], dtype=np.int8)
 
 
 def _safe(text: str, at: int, floor: int) -> int:
@@ -90,23 +95,32 @@ def pieces(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, min_ch
     if not 0 <= overlap + overlap // 2 < least <= max_chars:
         raise ValueError("needs 1.5 * overlap < min_chars <= max_chars")
     at, strength = boundaries(text)
-    table = SparseTable(strength)
+    table = SparseTable(strength, max_chars)
 
     def strongest(lo: int, hi: int) -> int | None:
         i, j = bisect_left(at, lo), bisect_right(at, hi)
         return at[table.argmax(i, j)] if j > i else None
 
-    out, start = [], 0
+    def last(lo: int, hi: int) -> int | None:
+        """The last boundary in lo..hi."""
+        i, j = bisect_left(at, lo), bisect_right(at, hi)
+        return at[j - 1] if j > i else None
+
+    out, start, end = [], 0, 0
     while n - start > max_chars:
-        end = strongest(start + least, start + max_chars)
-        if end is None:
-            end = _safe(text, start + max_chars, start + least)
-        out.append((start, end))
-        start = end
+        cut = strongest(start + least, start + max_chars)
+        if cut is None:
+            cut = last(end + 1, start + least - 1)
+        if cut is None:
+            cut = _safe(text, start + max_chars, start + least)
+        out.append((start, cut))
+        begun, start, end = start, cut, cut
         if overlap:
             half = overlap // 2
-            back = strongest(end - overlap - half, end - overlap + half)
-            start = _safe(text, end - overlap, end - overlap - half) if back is None else back
+            back = strongest(max(end - overlap - half, begun + 1), end - overlap + half)
+            if back is None:
+                back = last(max(end - least, begun) + 1, end - overlap - half)
+            start = max(_safe(text, end - overlap, end - overlap - half), begun + 1) if back is None else back
     out.append((start, n))
     return out
 

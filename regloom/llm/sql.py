@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from regloom.llm.lookalikes import CYRILLIC, CYRILLIC_LATIN, GREEK, GREEK_LATIN
-
+# Literals of its own, so that a slip in the code under test shows.
+_CYRILLIC, _CYRILLIC_LATIN = "АВЕКМНОРСТУХаеорсухѕіјһԁԛԝЅІЈԌԚԜӏ", "ABEKMHOPCTYXaeopcyxsijhdqwSIJGQWl"
+_GREEK, _GREEK_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳν", "ABEZHIKMNOPTYXocjv"
+_OTHERS, _OTHERS_LATIN = "օⅰⅴⅹⅼⅽⅾⅿ", "oivxlcdm"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-_FROM = CYRILLIC + GREEK + _WIDE + "   　‐‑"
-_TO = CYRILLIC_LATIN + GREEK_LATIN + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "    --"
+_SPACES = "\u00a0\u2007\u202f\u3000"
+_FROM = _CYRILLIC + _GREEK + _OTHERS + _WIDE + _SPACES + "‐‑"
+_TO = _CYRILLIC_LATIN + _GREEK_LATIN + _OTHERS_LATIN + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "    --"
 
 
 def _looks(c: str) -> str:
     """Canonical look of a text by plain replacement."""
-    bare = rf"regexp_replace({c}, '[\x{{ad}}\x{{34f}}\x{{200b}}-\x{{200d}}\x{{2060}}-\x{{2064}}\x{{feff}}]', '', 'g')"
+    bare = rf"regexp_replace({c}, '[\x{{ad}}\x{{34f}}\x{{180e}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{2066}}-\x{{2069}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g')"
     to = _TO.replace("'", "''")
     single = f"translate(nfc_normalize({bare}), '{_FROM}', '{to}')"
     for lig, plain in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
@@ -30,6 +33,10 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""WITH looks AS (SELECT item_table, item_id, text, {_looks('text')} AS look FROM {_ITEMS} WHERE text IS NOT NULL)
             SELECT a.item_table, a.item_id AS id_a, b.item_id AS id_b FROM looks a JOIN looks b
             ON a.item_table = b.item_table AND a.look = b.look AND a.item_id < b.item_id AND a.text <> b.text""",
+        "p3_groups": f"""SELECT item_table, min(item_id) AS group_id, count(DISTINCT text) AS forms, count(*) AS items FROM (SELECT item_table, item_id, text, {_looks('text')} AS look FROM {_ITEMS} WHERE text IS NOT NULL)
+            GROUP BY item_table, look HAVING count(DISTINCT text) > 1""",
+        # in these tables the Latin, plain and composed members of a class are its most frequent ones
+        "p3_canonical": f"SELECT item_table, item_id, {_looks('text')} AS canonical FROM {_ITEMS}",
         "p7_found": f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_no, {words} AS w FROM eval_items WHERE text IS NOT NULL),
             dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM d),
             eg AS (SELECT item_no, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM e)
