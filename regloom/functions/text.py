@@ -55,6 +55,21 @@ def stem(c: Column) -> Column:
     return F.replace(F.regexp_replace(c, r"(?<=.)\.[^.]*\z", ""), F.lit(" "), F.lit("_"))
 
 
+def export_name(upload: Column, suffix: str) -> Column:
+    """Name of the file that results from an upload."""
+    return F.concat(stem(upload), F.lit(suffix))
+
+
+def header_label(c: Column) -> Column:
+    """A field name as it is shown: underscores as spaces."""
+    return F.replace(c, F.lit("_"), F.lit(" "))
+
+
+def shown(c: Column) -> Column:
+    """A value as it is shown: text, nothing for null."""
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def short_id(c: Column) -> Column:
     return F.substring(F.sha1(c.cast("binary")), 1, 12)
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regloom.functions.rules import KNOWN_CATEGORIES, directive_number, section_of, year_of
 from regloom.functions.text import base_name, blank_to_null, collapse, first_filled, html_text, joined_url, resolved_url, safe_filename, short_id, strip, url_file
 from regloom.joins import lookup_join
+from regloom.operators.running import running
+from regloom.session import materialise
 
 COLUMNS = ("id", "title", "section", "category", "year", "source_link", "filename", "cached", "downloaded", "description", "local_path", "source_type")
 
@@ -180,8 +185,20 @@ def filter_catalogue(catalogue: DataFrame, section: str | None = None, year: str
     return catalogue
 
 
-def metadata(catalogue: DataFrame) -> DataFrame:
-    """(kind, ord, value): ``All`` and the sections ascending, ``All`` and the years descending as text."""
+def category_total(counts: DataFrame) -> DataFrame:
+    """(total): documents of all scraped categories."""
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"))
+
+
+def selected(ids: DataFrame) -> DataFrame:
+    """The requested ids; an empty request is refused."""
+    if ids.isEmpty():
+        raise ValueError("Select at least one directive to download.")
+    return ids
+
+
+def metadata(catalogue: DataFrame, source_url: str | None = None) -> DataFrame:
+    """(kind, ord, value): ``All`` and the sections ascending, ``All`` and the years descending as text, and the address of the source if it is given."""
     def listed(kind: str, column: str, descending: bool) -> DataFrame:
         values = catalogue.filter(F.col(column) != "").select(F.col(column).alias("value")).distinct()
         order = F.desc("value") if descending else F.asc("value")
@@ -189,7 +206,11 @@ def metadata(catalogue: DataFrame) -> DataFrame:
         every = catalogue.sparkSession.range(1).select(F.lit("All").alias("value"), F.lit(0).alias("ord"))
         return every.unionByName(ranked).select(F.lit(kind).alias("kind"), "ord", "value")
 
-    return listed("section", "section", False).unionByName(listed("year", "year", True))
+    rows = listed("section", "section", False).unionByName(listed("year", "year", True))
+    if source_url is None:
+        return rows
+    url = catalogue.sparkSession.range(1).select(F.lit("source_url").alias("kind"), F.lit(0).alias("ord"), F.lit(source_url).alias("value"))
+    return rows.unionByName(url)
 
 
 def catalogue_kpis(catalogue: DataFrame) -> DataFrame:
@@ -253,13 +274,47 @@ def mark_downloaded(catalogue: DataFrame, downloaded: DataFrame) -> DataFrame:
 
 
 def unique_names(names: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """(seq, filename, unique_name): repeated safe names get ``_2``, ``_3`` ... by seq; names in ``taken`` count first."""
+    """(seq, filename, unique_name): a safe name that exists gets ``_2``, ``_3`` ... before its suffix, the first that does not exist.
+
+    ``names`` (seq, filename) are named in order of seq; names in ``taken`` (name) exist from the start. Names can only meet if they are equal up to
+    trailing numbers. Where such a family holds one name alone, its rows are counted over blocks; a family of several names
+    is read in order as a stream that remembers the names given by themselves and a counter for each.
+    """
     safe = names.select("seq", safe_filename(F.col("filename")).alias("filename"))
     if taken is not None:
         safe = safe.unionByName(taken.select(F.lit(-1).cast("long").alias("seq"), safe_filename(F.col("name")).alias("filename")).distinct())
-    n = F.row_number().over(Window.partitionBy("filename").orderBy("seq"))
     suffix = F.regexp_extract("filename", r"(?<=.)(\.[^.]*)\z", 1)
-    root = F.expr("substring(filename, 1, length(filename) - length(suffix))")
-    numbered = safe.withColumn("n", n).withColumn("suffix", suffix)
-    made = F.when(F.col("n") == 1, F.col("filename")).otherwise(F.concat(root, F.lit("_"), F.col("n").cast("string"), F.col("suffix")))
-    return numbered.withColumn("unique_name", made).filter("seq >= 0").select("seq", "filename", "unique_name")
+    rows = safe.withColumn("suffix", suffix).withColumn("root", F.expr("substring(filename, 1, length(filename) - length(suffix))"))
+    rows = rows.withColumn("family", F.concat(F.regexp_replace("root", r"(?:_\d+)+\z", ""), "suffix"))
+    mixed = rows.groupBy("family").agg((F.min("filename") != F.max("filename")).alias("mixed"))
+    marked = lookup_join(rows, materialise(mixed.filter("mixed"), "families"), ["family"])
+    alone = running(marked.filter("mixed is null"), "filename", ["seq"], F.floor(F.col("seq") / 4096), total={"before": F.lit(1)})
+    numbered = F.when(F.col("before") == 0, F.col("filename")).otherwise(F.concat("root", F.lit("_"), (F.col("before") + 1).cast("string"), "suffix"))
+    simple = alone.filter("seq >= 0").select("seq", "filename", numbered.alias("unique_name"))
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, given, following = None, set(), {}
+        for b in batches:
+            out = []
+            for key, seq, name, root, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != family:
+                    family, given, following = key, set(), {}
+
+                def exists(x: str) -> bool:
+                    stem, _, number = x[: len(x) - len(end)].rpartition("_")  # noqa: B023
+                    return x in given or number.isdecimal() and number[0] != "0" and 2 <= int(number) < following.get(stem, 2)  # noqa: B023
+
+                pick = name
+                if exists(name) and seq >= 0:
+                    n = following.get(root, 2)
+                    while f"{root}_{n}{end}" in given:
+                        n += 1
+                    pick, following[root] = f"{root}_{n}{end}", n + 1
+                else:
+                    given.add(name)
+                out.append(pick)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.string())], names=["seq", "filename", "unique_name"])
+
+    several = marked.filter("mixed").select("family", F.col("seq").cast("long"), "filename", "root", "suffix")
+    ordered = several.repartition("family").sortWithinPartitions("family", "seq").mapInArrow(in_order, "seq long, filename string, unique_name string")
+    return simple.withColumn("seq", F.col("seq").cast("long")).unionByName(ordered.filter("seq >= 0"))

@@ -91,3 +91,8 @@ def gap_kpis(assessed: DataFrame) -> DataFrame:
         F.count("*").alias("a"), *[F.count_if(F.col("coverage_status") == s).alias(k) for k, s in (("b", COVERED), ("c", PARTIAL), ("d", MISSING))]
     )
     return unpivot_kpis(one, (("a", "Total Obligations"), ("b", COVERED), ("c", PARTIAL), ("d", MISSING)))
+
+
+def filter_status(assessed: DataFrame, status: str | None = None) -> DataFrame:
+    """Rows of one coverage status; ``All`` or nothing means any."""
+    return assessed if not status or status == "All" else assessed.filter(F.col("coverage_status") == status)

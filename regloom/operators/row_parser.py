@@ -55,7 +55,7 @@ def _tokens(record: Column, delimiter: Column) -> Column:
 
 
 def _unquoted(token: Column) -> Column:
-    inner = F.replace(F.expr("substring({t}, 2, length({t}) - 2)", t=token) if False else F.substring(token, F.lit(2), F.length(token) - 2), F.lit('""'), F.lit('"'))
+    inner = F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit('""'), F.lit('"'))
     return F.when(F.startswith(token, F.lit('"')), inner).otherwise(token)
 
 
@@ -110,9 +110,17 @@ def schema_patterns(uploads: DataFrame) -> DataFrame:
     )
 
 
+_MARK = "\u0001"
+
+
 def _matches(text: Column, pattern: Column) -> Column:
-    # regexp_instr would compile per row as well; regexp_extract keeps the last compiled pattern between rows
-    return F.regexp_extract(F.concat(text, F.lit("")), F.concat(F.lit("(?s)("), F.regexp_replace(pattern, r"\A\\A", ""), F.lit(")")), 0) != ""
+    """Whether an anchored pattern matches.
+
+    Unlike ``rlike``, ``regexp_extract`` keeps the compiled pattern from one row to the next. A mark before text and pattern keeps the match
+    of an empty record from being empty itself.
+    """
+    marked = F.concat(F.lit(rf"\A{_MARK}"), F.substring(pattern, F.lit(3), F.length(pattern)))
+    return F.call_function("regexp_extract", F.concat(F.lit(_MARK), text), marked, F.lit(0)) != ""
 
 
 def parse_rows(raw: DataFrame, uploads: DataFrame) -> DataFrame:
@@ -125,13 +133,14 @@ def parse_rows(raw: DataFrame, uploads: DataFrame) -> DataFrame:
     keys = ["upload_id"]
     meta = schema_patterns(uploads.select("upload_id", "delimiter", "header_line").dropDuplicates(keys))
     meta = meta.select("upload_id", F.struct("delimiter", "header_names", "row_pattern", "shape_pattern", "prefix_patterns").alias("__schema"))
-    joined = lookup_join(raw.drop("reason", "broken_field", "fields"), meta, keys)
+    # rows of one schema together, so that its patterns are compiled once
+    joined = lookup_join(raw.drop("reason", "broken_field", "fields"), meta, keys).sortWithinPartitions(*keys)
     s = F.col("__schema")
     n = F.size(s["header_names"])
-    valid = F.rlike(text, s["row_pattern"])
+    valid = _matches(text, s["row_pattern"])
     judged = joined.withColumn("__valid", F.when(s.isNull() | text.isNull(), F.lit(None).cast("boolean")).otherwise(valid))
     # everything below is evaluated for failures only
-    shaped = F.rlike(text, s["shape_pattern"])
+    shaped = _matches(text, s["shape_pattern"])
     width = F.size(_tokens(text, s["delimiter"]))
     first_broken = F.array_position(F.transform(s["prefix_patterns"], lambda p: F.rlike(text, p)), F.lit(False)).cast("int")
     bad_name = F.element_at(s["header_names"], first_broken)

@@ -19,18 +19,20 @@ from regloom.operators.register import obligations, pair_counts, register_kpis,
 NOTHING_FOUND = "No directives were found in any source."
 
 
-def crawl(sources: list[DataFrame], section: str | None = None, year: str | None = None, errors: Sequence[tuple[str, str]] = ()) -> dict[str, DataFrame]:
+def crawl(sources: list[DataFrame], section: str | None = None, year: str | None = None, errors: Sequence[tuple[str, str]] = (), pages: DataFrame | None = None, source_url: str | None = None) -> dict[str, DataFrame]:
     """Catalogue of the first source with rows, filtered; ``sources`` are catalogue frames in order of preference.
 
-    ``errors`` are the list endpoints that failed (``sources.remote.list_errors``), a log row each.
+    ``errors`` are the list endpoints that failed (``sources.remote.list_errors``), a log row each. ``pages`` (page_id, text) are public pages whose
+    category counts are scraped.
     """
     found = cat.layered(*sources)
     shown = cat.filter_catalogue(found, section, year)
     message = f"Applied filters: section={section or 'All'}, year={year or 'All'}"
-    return {
+    scraped = {} if pages is None else {"category_counts": cat.category_counts(pages)}
+    return scraped | {
         "catalogue": found,
         "records": shown,
-        "metadata": cat.metadata(found),
+        "metadata": cat.metadata(found, source_url),
         "kpis": cat.catalogue_kpis(shown),
         "logs": append(
             failed_endpoints(found.sparkSession, errors),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regloom.functions import rules
-from regloom.functions.text import first_filled, safe_filename, strip
+from regloom.functions.text import export_name, first_filled, header_label, safe_filename, shown, strip
 from regloom.joins import spread
 from regloom.operators import catalogue as cat
 from regloom.operators import coverage as cov
@@ -332,8 +332,48 @@ def process_log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that repeat, some of which end in a number themselves; the downloaded directives of even number are there already."""
     rows = table(spark, sf_dir, "directives")
-    return cat.unique_names(rows.select("seq", F.concat("source_type", F.lit("/"), "year", F.lit(".pdf")).alias("filename")))
+    number = F.when(F.col("seq") % 7 == 0, "_2").when(F.col("seq") % 11 == 0, "_3").otherwise("")
+    name = F.concat("section", number, F.when(F.col("year") == "Unknown", "").otherwise(".pdf"))
+    held = rows.filter("downloaded and seq % 2 = 0").select(F.concat("category", F.lit("_4.pdf")).alias("name"))
+    return cat.unique_names(rows.select("seq", name.alias("filename")), held)
+
+
+def category_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.category_total(category_scrape(spark, sf_dir))
+
+
+def library_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference files against a library that holds those already downloaded."""
+    rows = table(spark, sf_dir, "directives")
+    files = rows.filter(F.col("local_path").isNotNull()).select("seq", F.col("filename").alias("name"), F.col("local_path").alias("path"))
+    return cat.from_files(files, BASE_URL, rows.filter("downloaded").select(F.col("filename").alias("name"))).select("seq", "filename", "cached", "downloaded")
+
+
+def relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List items whose links are absolute, rooted or relative."""
+    rows = table(spark, sf_dir, "directives")
+    path = F.concat("id", F.lit("_"), F.col("seq").cast("string"), F.lit(".pdf"))
+    ref = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("/files/"), path)).when(F.col("seq") % 3 == 1, path).otherwise(F.concat(F.lit("https://other.example/"), path))
+    items = rows.select("seq", F.lit("Directive").alias("Title"), ref.alias("FileRef"))
+    return cat.from_rest_items(items, BASE_URL + "/lists/all").select("seq", "source_link", "filename")
+
+
+def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name of the register extracted from each directive's file."""
+    return table(spark, sf_dir, "directives").select("seq", export_name(F.col("filename"), "_obligation_extraction.csv").alias("name"))
+
+
+def gap_status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.filter_status(_assessed(spark, sf_dir), cov.PARTIAL).select("gap_id", "coverage_status", "priority")
+
+
+def gap_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the review as a page shows them: label of the column, text of the value."""
+    names = ("support_function", "policy_page", "corresponding_policy_text", "priority")
+    cells = F.array(*[F.struct(header_label(F.lit(n)).alias("label"), shown(F.col(n)).alias("value")) for n in names])
+    return _assessed(spark, sf_dir).select("gap_id", F.explode(cells).alias("cell")).select("gap_id", "cell.*")
 
 
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,6 +395,7 @@ QUERIES = (
     gap_category_status, gap_department_status, gap_kpis, catalogue_normalise, anchor_extract, category_scrape, reference_files,
     catalogue_dedupe, layered_catalogue, catalogue_filter, catalogue_metadata, catalogue_kpis, catalogue_table, download_plan,
     download_messages, download_accept, mark_downloaded, process_log_union, unique_names, safe_names, document_numbers,
+    category_total, library_flags, relative_links, export_names, gap_status_filter, gap_display,
 )
 
 

@@ -383,9 +383,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT seq, id, cached OR id IN (SELECT id FROM done) AS cached, downloaded OR id IN (SELECT id FROM done) AS downloaded FROM directives""",
         "process_log_union": """SELECT 1 AS seq, 'Results' AS stage, 'Completed' AS status, 'Catalogue rows' AS message, count(*) AS row_count FROM directives
             UNION ALL SELECT 2, 'Filter', 'Completed', 'Applied filters: section=Retirement Fund, year=All', count(*) FROM directives WHERE section = 'Retirement Fund' OR category = 'Retirement Fund'""",
-        "unique_names": f"""WITH n AS (SELECT seq, {_safe("source_type || '/' || year || '.pdf'")} AS filename FROM directives),
-            k AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY seq) AS n FROM n)
-            SELECT seq, filename, CASE WHEN n = 1 THEN filename ELSE regexp_replace(filename, '\\.pdf$', '') || '_' || n || '.pdf' END AS unique_name FROM k""",
+        "unique_names": f"""WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY seq) AS k, seq, {_safe("section || CASE WHEN seq % 7 = 0 THEN '_2' WHEN seq % 11 = 0 THEN '_3' ELSE '' END || CASE WHEN year = 'Unknown' THEN '' ELSE '.pdf' END")} AS filename FROM directives),
+            split AS (SELECT *, CASE WHEN filename LIKE '%.pdf' THEN '.pdf' ELSE '' END AS suffix, regexp_replace(filename, '\\.pdf$', '') AS stem FROM n),
+            steps AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT coalesce(list(DISTINCT {_safe("category || '_4.pdf'")}), []) FROM directives WHERE downloaded AND seq % 2 = 0) AS taken, CAST(NULL AS VARCHAR) AS pick
+              UNION ALL SELECT k, list_append(taken, pick), pick FROM (SELECT s.k, t.taken,
+                CASE WHEN NOT list_contains(t.taken, s.filename) THEN s.filename ELSE [x FOR x IN [s.stem || '_' || i || s.suffix FOR i IN range(2, len(t.taken) + 3)] IF NOT list_contains(t.taken, x)][1] END AS pick
+              FROM steps t JOIN split s ON s.k = t.k + 1))
+            SELECT CAST(seq AS BIGINT) AS seq, filename, pick AS unique_name FROM steps JOIN split USING (k)""",
+        "category_total": "SELECT CAST(sum(n) AS BIGINT) AS total FROM (SELECT max_by(seq % 1000, seq) AS n FROM directives GROUP BY trim(category))",
+        "library_flags": f"""WITH held AS (SELECT DISTINCT filename FROM directives WHERE downloaded)
+            SELECT seq, {_safe('filename')} AS filename, {_safe('filename')} IN (SELECT filename FROM held) AS cached, {_safe('filename')} IN (SELECT filename FROM held) AS downloaded FROM directives WHERE local_path IS NOT NULL""",
+        "relative_links": """SELECT seq, CASE seq % 3 WHEN 0 THEN 'https://notices.regulator.example/files/' WHEN 1 THEN 'https://notices.regulator.example/lists/' ELSE 'https://other.example/' END || id || '_' || seq || '.pdf' AS source_link,
+            id || '_' || seq || '.pdf' AS filename FROM directives""",
+        "export_names": "SELECT seq, replace(regexp_replace(filename, '(.)\\.[^.]*$', '\\1'), ' ', '_') || '_obligation_extraction.csv' AS name FROM directives",
+        "gap_status_filter": "SELECT gap_id, coverage_status, priority FROM gap_assessment WHERE coverage_status = 'Partially Covered'",
+        "gap_display": " UNION ALL ".join(f"SELECT gap_id, '{n.replace('_', ' ')}' AS label, coalesce({n}, '') AS value FROM gap_assessment" for n in ("support_function", "policy_page", "corresponding_policy_text", "priority")),
         "safe_names": f"SELECT seq, {_safe(_text('title'))} AS name, {_year(_text('title'))} AS year, {_number(_text('title'))} AS number FROM directives",
         "document_numbers": "SELECT seq, section, CAST(row_number() OVER (PARTITION BY section ORDER BY seq) AS INT) AS doc_no, CASE WHEN downloaded AND filename <> '' THEN filename ELSE 'Not downloaded' END AS file FROM directives",
     }

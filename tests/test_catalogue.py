@@ -1,7 +1,11 @@
 import hashlib
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from regloom.functions.text import export_name, header_label, shown
 from regloom.operators import catalogue as cat
 from regloom.plans.pipelines import crawl, download_log
 from regloom.sources.remote import items_of
@@ -82,3 +86,34 @@ def test_unique_names(spark):
     df = spark.createDataFrame([(1, "a b.pdf"), (2, "a  b.pdf"), (3, "x"), (4, "x"), (5, ""), (6, "a/b?.pdf")], "seq long, filename string")
     got = [r["unique_name"] for r in cat.unique_names(df, spark.createDataFrame([("x",)], "name string")).orderBy("seq").collect()]
     assert got == ["a b.pdf", "a b_2.pdf", "x_2", "x_3", "file", "a_b_.pdf"]
+
+
+def test_unique_names_equal_the_loop(spark):
+    rng = random.Random(11)
+    pool = ["a.pdf", "a.pdf", "a_2.pdf", "a_3.pdf", "a_2_2.pdf", "b", "b_2", "c.txt", "a b.pdf", "a?b.pdf", "d_02.pdf", "d.pdf", "_2", ".x"]
+    rows = [(i, rng.choice(pool)) for i in range(400)] + [(500 + i, "hot.pdf") for i in range(300)]
+    held = ["a_4.pdf", "c.txt", "c_2.txt", "z.pdf"]
+    taken, want = set(held), {}
+    for seq, name in rows:
+        clean = re.sub(r"\s+", " ", re.sub(r"[^A-Za-z0-9._() -]+", "_", name).strip()) or "file"
+        root, end = re.fullmatch(r"(?s)(.+?)(\.[^.]*)?", clean).groups() if not clean.startswith(".") else (clean, "")
+        pick, n = clean, 2
+        while pick in taken:
+            pick, n = f"{root}_{n}{end or ''}", n + 1
+        taken.add(pick)
+        want[seq] = pick
+    names = spark.createDataFrame(rows, "seq long, filename string")
+    got = cat.unique_names(names, spark.createDataFrame([(x,) for x in held], "name string")).collect()
+    assert {r["seq"]: r["unique_name"] for r in got} == want
+    assert cat.unique_names(names.limit(0)).count() == 0
+
+
+def test_display_and_selection(spark):
+    df = spark.createDataFrame([("a_b_c", None, 3), ("x", "y", None)], "label string, text string, n int")
+    assert [tuple(r) for r in df.select(header_label(F.col("label")), shown(F.col("text")), shown(F.col("n")), export_name(F.col("label"), ".csv")).collect()] == [("a b c", "", "3", "a_b_c.csv"), ("x", "y", "", "x.csv")]
+    with pytest.raises(ValueError):
+        cat.selected(df.limit(0))
+    assert cat.selected(df).count() == 2
+    assert cat.category_total(spark.createDataFrame([("a", 3), ("b", 4)], "category string, n int")).first()[0] == 7
+    rows = cat.metadata(spark.createDataFrame([("s", "2010")], "section string, year string"), "https://x.example").collect()
+    assert ("source_url", 0, "https://x.example") in [tuple(r) for r in rows]
