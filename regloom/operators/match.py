@@ -8,10 +8,14 @@ and the subsequence is computed only for chunks whose bound reaches the best sco
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regloom.functions.rules import keywords
 from regloom.joins import PAIR, blocked, lookup_join
@@ -129,6 +133,23 @@ def _best_chunks(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({f.name: pa.array(c, f.type) for f, c in zip(_FOUND, zip(*rows, strict=True) if rows else [[]] * 6, strict=True)}, schema=_FOUND)
 
 
+@F.pandas_udf(T.DoubleType())
+def _token_set_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in parts:
+        yield pd.Series([None if x is None or y is None else token_set_ratio(x, y) / 100 for x, y in zip(a, b, strict=True)])
+
+
+def similarity(search: Column, text: Column) -> Column:
+    """Token-set similarity of two columns, 0 to 1, over the clipped texts."""
+    return _token_set_similarity(F.substring(search, 1, QUERY_CHARS), F.substring(text, 1, CHUNK_CHARS))
+
+
+def keyword_score(search: Column, text: Column) -> Column:
+    """Share of the terms of ``search`` that ``text`` contains."""
+    terms = F.slice(keywords(search), 1, MAX_TERMS)
+    return F.size(F.filter(terms, lambda t: F.contains(F.lower(text), t))) / F.greatest(F.size(terms), F.lit(1))
+
+
 def _asked(register: DataFrame) -> DataFrame:
     """(policy, h0, h1, search, terms): the distinct texts that are looked for in a policy."""
     search = F.concat_ws(" ", "obligation", "language_from_directive")

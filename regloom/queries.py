@@ -14,7 +14,7 @@ from regloom.operators import catalogue as cat
 from regloom.operators import coverage as cov
 from regloom.operators import register as reg
 from regloom.operators.clauses import clauses, needs_ocr, page_lookup, render_pages
-from regloom.operators.match import hybrid_match, keyword_match
+from regloom.operators.match import FUZZY_WEIGHT, KEYWORD_WEIGHT, hybrid_match, keyword_match, keyword_score, similarity
 from regloom.operators.policy import chunk_policies
 from regloom.operators.process_log import append, counted
 from regloom.operators.row_parser import parse_rows
@@ -183,6 +183,14 @@ def hybrid_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.select("gap_id", F.round("score", 9).alias("score"), F.round("keyword_score", 9).alias("keyword_score"), "match_page", "match_text")
 
 
+def title_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scores of a match, between each title and the next one of its section."""
+    rows = table(spark, sf_dir, "directives").select("seq", "section", whole(F.col("title")).alias("a"))
+    pairs = rows.withColumn("b", F.lead("a").over(Window.partitionBy("section").orderBy("seq"))).filter("b is not null")
+    scored = pairs.select("seq", similarity(F.col("a"), F.col("b")).alias("s"), keyword_score(F.col("a"), F.col("b")).alias("k"))
+    return scored.select("seq", F.round("s", 9).alias("similarity"), F.round("k", 9).alias("keyword_score"), F.round(F.col("k") * KEYWORD_WEIGHT + F.col("s") * FUZZY_WEIGHT, 9).alias("score"))
+
+
 _ASSESSED = ("gap_id", "coverage_status", "policy_gap_and_recommendations", "policy_page", "corresponding_policy_text", "priority")
 
 
@@ -395,7 +403,7 @@ QUERIES = (
     gap_category_status, gap_department_status, gap_kpis, catalogue_normalise, anchor_extract, category_scrape, reference_files,
     catalogue_dedupe, layered_catalogue, catalogue_filter, catalogue_metadata, catalogue_kpis, catalogue_table, download_plan,
     download_messages, download_accept, mark_downloaded, process_log_union, unique_names, safe_names, document_numbers,
-    category_total, library_flags, relative_links, export_names, gap_status_filter, gap_display,
+    title_match_score, category_total, library_flags, relative_links, export_names, gap_status_filter, gap_display,
 )
 
 

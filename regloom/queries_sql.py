@@ -236,6 +236,20 @@ matched AS (
   SELECT a.*, coalesce(b.score, 0.0) AS keyword_score, coalesce(b.page, 'Not located') AS match_page, coalesce(b.text, {_quoted(NO_MATCH)}) AS match_text
   FROM asked a LEFT JOIN best b USING (gap_id))
 """
+# Token-set similarity with the longest common subsequence as a table filled row by row.
+_TITLES = rf"""titles AS (SELECT seq, coalesce(title, '') AS a, lead(coalesce(title, '')) OVER (PARTITION BY section ORDER BY seq) AS b FROM directives),
+sets AS (SELECT seq, a, b, list_filter(list_distinct(string_split_regex(a, '{_W}+')), lambda w: w <> '') AS x, list_filter(list_distinct(string_split_regex(b, '{_W}+')), lambda w: w <> '') AS y
+  FROM titles WHERE b IS NOT NULL),
+parts AS (SELECT *, array_to_string(list_sort(list_filter(x, lambda w: list_contains(y, w))), ' ') AS s, array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS ox,
+  array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS oy FROM sets),
+coded AS (SELECT *, [[unicode(c)] FOR c IN string_split(ox, '')] AS cx, [unicode(c) FOR c IN string_split(oy, '')] AS cy, CASE WHEN s <> '' THEN 1 ELSE 0 END AS gap FROM parts),
+common AS (SELECT *, length(s) + gap + length(ox) AS nx, length(s) + gap + length(oy) AS ny, CASE WHEN ox = '' OR oy = '' THEN 0 ELSE list_last(list_reduce(cx,
+    lambda above, c: list_reduce([[j] FOR j IN range(1, length(oy) + 1)], lambda acc, j: list_append(acc, CASE WHEN c[1] = cy[j[1]] THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], acc[j[1]]) END), [0]),
+    [0 FOR j IN range(0, length(oy) + 1)])) END AS lcs FROM coded),
+rated AS (SELECT seq, {_TERMS.format("a", _STOP)} AS terms, lower(b) AS low, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN gap = 1 AND (ox = '' OR oy = '') THEN 1.0
+    ELSE greatest(1 - (length(ox) + length(oy) - 2 * lcs) / (nx + ny), CASE WHEN gap = 1 THEN greatest(1 - (gap + length(ox)) / (length(s) + nx), 1 - (gap + length(oy)) / (length(s) + ny)) ELSE 0 END) END AS similarity
+  FROM common),
+scores AS (SELECT seq, similarity, len([t FOR t IN terms IF contains(low, t)])::DOUBLE / greatest(len(terms), 1) AS share FROM rated)"""
 _COMBINED = "lower(obligation || ' ' || wording)"
 _NEGATIVE = _any("lower(match_text)", NEGATIVE_PHRASES)
 _STATUS = (
@@ -390,6 +404,7 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN NOT list_contains(t.taken, s.filename) THEN s.filename ELSE [x FOR x IN [s.stem || '_' || i || s.suffix FOR i IN range(2, len(t.taken) + 3)] IF NOT list_contains(t.taken, x)][1] END AS pick
               FROM steps t JOIN split s ON s.k = t.k + 1))
             SELECT CAST(seq AS BIGINT) AS seq, filename, pick AS unique_name FROM steps JOIN split USING (k)""",
+        "title_match_score": f"WITH {_TITLES} SELECT seq, round(similarity, 9) AS similarity, round(share, 9) AS keyword_score, round(share * 0.68 + similarity * 0.32, 9) AS score FROM scores",
         "category_total": "SELECT CAST(sum(n) AS BIGINT) AS total FROM (SELECT max_by(seq % 1000, seq) AS n FROM directives GROUP BY trim(category))",
         "library_flags": f"""WITH held AS (SELECT DISTINCT filename FROM directives WHERE downloaded)
             SELECT seq, {_safe('filename')} AS filename, {_safe('filename')} IN (SELECT filename FROM held) AS cached, {_safe('filename')} IN (SELECT filename FROM held) AS downloaded FROM directives WHERE local_path IS NOT NULL""",
