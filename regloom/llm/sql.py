@@ -26,6 +26,17 @@ _ITEMS = """(SELECT 'directive_clauses' AS item_table, clause_id AS item_id, lan
   UNION ALL SELECT 'gap_assessment', gap_id, corresponding_policy_text FROM gap_assessment)"""
 
 
+# All pairs by the words they share; the window of sizes leaves out only what cannot be similar.
+_SIMILAR = rf"""items AS (SELECT 'directives' AS item_table, seq AS id, title AS x FROM directives
+    UNION ALL SELECT 'directive_clauses', clause_id, language_from_directive FROM directive_clauses WHERE lang = 'en'),
+  words AS (SELECT item_table, id, unnest(regexp_extract_all(lower({_looks('x')}), '[\pL\pN]+')) AS w FROM items WHERE x IS NOT NULL),
+  counts AS (SELECT *, sum(n) OVER (PARTITION BY item_table, id) AS total FROM (SELECT item_table, id, w, count(*) AS n FROM words GROUP BY ALL)),
+  pairs AS (SELECT a.item_table, a.id AS id_a, b.id AS id_b, sum(least(a.n, b.n)) = a.total AND a.total = b.total AS equal
+    FROM counts a JOIN counts b ON a.item_table = b.item_table AND a.w = b.w AND a.id < b.id AND 2 * least(a.total, b.total) >= 0.8 * (a.total + b.total)
+    GROUP BY a.item_table, a.id, b.id, a.total, b.total HAVING 2 * sum(least(a.n, b.n)) >= 0.8 * (a.total + b.total) - 1e-9),
+  edges AS (SELECT item_table, id_a AS u, id_b AS v, equal FROM pairs UNION ALL SELECT item_table, id_b, id_a, equal FROM pairs)"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = rf"regexp_extract_all(lower({_looks('text')}), '[\pL\pN]+')"
     return {
@@ -37,6 +48,12 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY item_table, look HAVING count(DISTINCT text) > 1""",
         # in these tables the Latin, plain and composed members of a class are its most frequent ones
         "p3_canonical": f"SELECT item_table, item_id, {_looks('text')} AS canonical FROM {_ITEMS}",
+        "p4_found": f"WITH {_SIMILAR} SELECT item_table, id_a, id_b FROM pairs",
+        "p4_groups": f"""WITH RECURSIVE {_SIMILAR}, nodes AS (SELECT DISTINCT item_table, id FROM counts),
+            reach AS (SELECT item_table, id, id AS low FROM nodes UNION SELECT r.item_table, e.v, r.low FROM reach r JOIN edges e ON e.item_table = r.item_table AND e.u = r.id),
+            groups AS (SELECT item_table, id, min(low) AS group_id FROM reach GROUP BY ALL),
+            same AS (SELECT item_table, u AS id, min(v) AS low FROM edges WHERE equal GROUP BY ALL)
+            SELECT g.item_table, g.id AS item_id, least(g.id, coalesce(s.low, g.id)) AS class_id, g.group_id FROM groups g LEFT JOIN same s USING (item_table, id)""",
         "p7_found": f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_no, {words} AS w FROM eval_items WHERE text IS NOT NULL),
             dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM d),
             eg AS (SELECT item_no, unnest([array_to_string(w[i:i + 11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM e)
