@@ -89,12 +89,10 @@ def schema_patterns(uploads: DataFrame) -> DataFrame:
     """Adds to each upload its header names and patterns.
 
     ``row_pattern``: the anchored pattern of a valid row; ``shape_pattern``: the same without value
-    constraints for any number of fields; ``prefix_patterns``: entry k matches a row whose first k fields are sound.
+    constraints for any number of fields; ``field_patterns``: the patterns of the fields, from which ``prefix_patterns`` are made.
     """
     d = _escaped(F.col("delimiter"))
-    end = F.concat(F.lit("(?:"), d, F.lit("|\\z)"))
     names = F.col("header_names")
-    joined = lambda fields: F.call_function("array_join", fields, d)
     fields = F.transform(names, lambda n: _field_pattern(n, d, True))
     loose = _field_pattern(F.lit(""), d, False)
     out = uploads.withColumn("header_names", header_fields(F.col("header_line"), F.col("delimiter"))).withColumn("field_patterns", fields)
@@ -102,14 +100,20 @@ def schema_patterns(uploads: DataFrame) -> DataFrame:
     return out.select(
         *uploads.columns,
         "header_names",
-        F.concat(F.lit(r"\A"), joined(fp), F.lit(r"\z")).alias("row_pattern"),
+        F.concat(F.lit(r"\A"), F.call_function("array_join", fp, d), F.lit(r"\z")).alias("row_pattern"),
         F.concat(F.lit(r"\A"), loose, F.lit("(?:"), d, loose, F.lit(r")*+\z")).alias("shape_pattern"),
-        F.transform(
-            F.sequence(F.lit(1), F.size(names)), lambda k: F.concat(F.lit(r"\A"), joined(F.slice(fp, F.lit(1), k)), end)
-        ).alias("prefix_patterns"),
+        "field_patterns",
     )
 
 
+def prefix_patterns(field_patterns: Column, delimiter: Column) -> Column:
+    """Entry k matches a row whose first k fields are sound."""
+    d = _escaped(delimiter)
+    end = F.concat(F.lit("(?:"), d, F.lit("|\\z)"))
+    prefix = lambda k: F.concat(F.lit(r"\A"), F.call_function("array_join", F.slice(field_patterns, F.lit(1), k), d), end)
+    return F.transform(F.sequence(F.lit(1), F.size(field_patterns)), prefix)
+
+
 _MARK = "\u0001"
 
 
@@ -132,20 +136,21 @@ def parse_rows(raw: DataFrame, uploads: DataFrame) -> DataFrame:
     text = F.col("raw_text")
     keys = ["upload_id"]
     meta = schema_patterns(uploads.select("upload_id", "delimiter", "header_line").dropDuplicates(keys))
-    meta = meta.select("upload_id", F.struct("delimiter", "header_names", "row_pattern", "shape_pattern", "prefix_patterns").alias("__schema"))
+    meta = meta.select("upload_id", F.struct("delimiter", "header_names", "row_pattern", "shape_pattern", "field_patterns").alias("__schema"))
     # rows of one schema together, so that its patterns are compiled once
-    joined = lookup_join(raw.drop("reason", "broken_field", "fields"), meta, keys).sortWithinPartitions(*keys)
+    joined = lookup_join(raw.drop("reason", "broken_field", "fields").sortWithinPartitions(*keys), meta, keys)
     s = F.col("__schema")
     n = F.size(s["header_names"])
     valid = _matches(text, s["row_pattern"])
-    judged = joined.withColumn("__valid", F.when(s.isNull() | text.isNull(), F.lit(None).cast("boolean")).otherwise(valid))
+    # the row number keeps a filter over the reasons from being pushed below this step, which would match every row once for each reason
+    judged = joined.select("*", F.when(s.isNull() | text.isNull(), F.lit(None).cast("boolean")).otherwise(valid).alias("__valid"), F.monotonically_increasing_id().alias("__row"))
     # everything below is evaluated for failures only
     shaped = _matches(text, s["shape_pattern"])
     width = F.size(_tokens(text, s["delimiter"]))
-    first_broken = F.array_position(F.transform(s["prefix_patterns"], lambda p: F.rlike(text, p)), F.lit(False)).cast("int")
+    first_broken = F.array_position(F.transform(prefix_patterns(s["field_patterns"], s["delimiter"]), lambda p: F.rlike(text, p)), F.lit(False)).cast("int")
     bad_name = F.element_at(s["header_names"], first_broken)
     value_reason = F.concat(F.lit("invalid "), bad_name)
-    failed = F.col("__valid") == F.lit(False)
+    failed = (F.col("__valid") == F.lit(False)) & (F.col("__row") >= 0)
     reason = (
         F.when(F.col("__schema").isNull(), "no header")
         .when(text.isNull(), "no record")
