@@ -224,12 +224,11 @@ def catalogue_kpis(catalogue: DataFrame) -> DataFrame:
 
 
 def display_table(catalogue: DataFrame, rows: int | None = 25) -> DataFrame:
-    """The first ``rows`` rows by seq as shown to a reader: numbered, with defaults."""
-    shown = catalogue.orderBy("seq")
-    if rows is not None:
-        shown = shown.limit(rows)
-    return shown.select(
-        F.row_number().over(Window.orderBy("seq")).alias("doc_no"),
+    """The first ``rows`` rows by seq, or all, as shown to a reader: numbered, with defaults."""
+    shown = catalogue if rows is None else catalogue.orderBy("seq").limit(rows)
+    numbered = running(shown.withColumn("all", F.lit(1)), "all", ["seq"], F.floor(F.col("seq") / 4096), total={"before": F.lit(1)})
+    return numbered.select(
+        (F.col("before") + 1).cast("int").alias("doc_no"),
         "title",
         "section",
         "year",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -44,10 +46,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local["):
+        if not _is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="regloom-checkpoint-"))
-    if not sc.master.startswith("local["):
+        own = tempfile.mkdtemp(prefix="regloom-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
+    if not _is_local(spark):
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="regloom-package-")) / "regloom.zip"
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
@@ -58,15 +62,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def _run_folder(spark: SparkSession) -> str:
+    """Folder of this application under the shared checkpoint folder."""
+    prepare(spark)
+    sc = spark.sparkContext
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/regloom-{sc.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
-    prepare(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors. ``release`` deletes what was written."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables this application has written by ``materialise``; results that were not yet computed from them are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

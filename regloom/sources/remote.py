@@ -28,7 +28,7 @@ def items_of(payloads: DataFrame) -> DataFrame:
     parsed = payloads.select("seq", F.from_json("json", PAYLOAD).alias("p"))
     rows = F.when(F.size("p.value") > 0, F.col("p.value")).otherwise(F.col("p.d.results"))
     exploded = parsed.select("seq", F.posexplode(rows).alias("at", "item"))
-    return exploded.select((F.col("seq") * TOP + F.col("at")).alias("seq"), "item.*")
+    return exploded.select((F.col("seq") * (1 << 32) + F.col("at")).alias("seq"), "item.*")  # no payload has as many items
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from regloom.operators.register import public_names
 
 
-def write_csv(df: DataFrame, path: str, order: str | None = "seq", single_file: bool = True) -> None:
-    """Header, doubled quotes, white space and empty strings kept. The order column is not written."""
+def write_csv(df: DataFrame, path: str, order: str | None = "seq", single_file: bool = False) -> None:
+    """A file a partition, in order, or a single one. Header, doubled quotes, white space and empty strings kept. The order column is not written."""
     rows = df.orderBy(order) if order in df.columns else df
     rows = public_names(rows.drop(*([order] if order in df.columns else [])))
     if single_file:

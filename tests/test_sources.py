@@ -1,12 +1,15 @@
 import csv
 import json
+from pathlib import Path
 
 import pytest
 
 from regloom.operators import catalogue as cat
 from regloom.operators import register as reg
 from regloom.plans.pipelines import crawl
+from regloom.session import materialise, release
 from regloom.sources import documents, registers, remote, sinks
+from regloom.sources.remote import items_of
 from regloom.streaming.ingest import start_register_stream
 
 
@@ -17,7 +20,7 @@ def register(spark):
 
 
 def test_csv_round_trip(spark, register, tmp_path):
-    sinks.write_csv(register, str(tmp_path / "out"))
+    sinks.write_csv(register, str(tmp_path / "out"), single_file=True)
     part = next((tmp_path / "out").glob("*.csv"))
     rows = list(csv.reader(part.open(newline="")))
     assert rows[0] == list(reg.REGISTER) and rows[1][1] == ' padded "text",\nline ' and rows[2][1] == ""
@@ -70,7 +73,7 @@ def test_payload_files_and_list_source(spark, tmp_path):
     (tmp_path / "1.json").write_text('{"value": [{"Title": "a"}, {"Title": "b"}]}')
     (tmp_path / "2.json").write_text('{"value": [{"Title": "c"}]}')
     got = [(r["seq"], r["Title"]) for r in remote.read_payloads(spark, str(tmp_path)).orderBy("seq").collect()]
-    assert got == [(0, "a"), (1, "b"), (5000, "c")]
+    assert got == [(0, "a"), (1, "b"), (1 << 32, "c")]
     spark.dataSource.register(remote.ListItems)
     assert spark.read.format("list_items").option("endpoints", "http://127.0.0.1:9/x").option("timeout", "1").load().count() == 0
 
@@ -97,3 +100,17 @@ def test_stream(spark, tmp_path):
     got = sorted((r["doc"], r["section"], r["actionable"]) for r in rows)
     # the page mark before the first clause is the introduction
     assert got == [("d", "1", "Yes"), ("d", "Introduction", "No"), ("e", "Introduction", "No"), ("f", "1", "No"), ("f", "2", "No"), ("f", "Introduction", "No")]
+
+
+def test_items_of_large_payloads_keep_their_own_keys(spark):
+    payload = json.dumps({"value": [{"Title": f"t{i}"} for i in range(6000)]})
+    items = items_of(spark.createDataFrame([(0, payload), (1, payload)], "seq long, json string"))
+    assert items.select("seq").distinct().count() == 12_000
+
+
+def test_written_tables_are_released(spark):
+    table = materialise(spark.range(5), "five")
+    path = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert table.count() == 5 and path.exists()
+    release(spark)
+    assert not path.exists()
