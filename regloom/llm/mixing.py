@@ -17,11 +17,13 @@ one record per pattern.
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,15 +137,15 @@ def plan_mix(patterns: dict[tuple[str, ...], int], weights: dict[str, tuple[floa
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, text_hash, tokens); the tokenizer's file is read on the executors from ``tokenizer``."""
+    """(doc_id, source, text_hash, tokens); the file ``tokenizer`` of the driver is sent along, so executors need not have it."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_file(SparkFiles.get(name))
         t.encode_special_tokens = True
         for b in batches:
             texts = b.column(2).to_pylist()
@@ -159,7 +161,8 @@ def mix(documents: DataFrame, weights: DataFrame, size: int | None = None, seed:
     """(mix, report).
 
     mix: doc_id, source, uses, tokens (of one use) - a record may appear once for each source it counts for;
-    report: source, target_share, tokens, actual_share, records, most_uses. ``weights`` is the list of sources, a few rows.
+    report: source, target_share, tokens, actual_share, records, most_uses, copied_tokens (tokens of further copies of a text within the source, which
+    count once). ``weights`` is the list of sources, a few rows.
     """
     spark = documents.sparkSession
     prepare(spark)
@@ -167,8 +170,10 @@ def mix(documents: DataFrame, weights: DataFrame, size: int | None = None, seed:
     names = [s for s, w in listed.items() if w[0] > 0 and w[1] > 0]
     counted = token_counts(documents, tokenizer).filter(F.col("source").isin(names) & (F.col("tokens") > 0))
     # one record per text; the set of its sources has at most as many members as there are listed sources
+    held = materialise(counted.groupBy("text_hash", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.count("*").alias("copies")), "texts")
+    copied = held.groupBy("source").agg(F.sum((F.col("copies") - 1) * F.col("tokens")).alias("copied_tokens"))
     records = materialise(
-        counted.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("pattern")), "records"
+        held.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("pattern")), "records"
     )
     bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int")
     records = records.withColumn("bucket", bucket).withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id"))
@@ -196,6 +201,7 @@ def mix(documents: DataFrame, weights: DataFrame, size: int | None = None, seed:
     target = spark.createDataFrame([(s, w[0], w[1]) for s, w in listed.items()], "source string, target_share double, max_repeats int")
     report = (
         target.join(got, "source", "left")
+        .join(copied, "source", "left")
         .withColumn("one", F.lit(1))
         .join(total.withColumn("one", F.lit(1)), "one")
         .select(
@@ -206,6 +212,7 @@ def mix(documents: DataFrame, weights: DataFrame, size: int | None = None, seed:
             F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"),
             F.coalesce("records", F.lit(0)).alias("records"),
             F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
+            F.coalesce("copied_tokens", F.lit(0)).alias("copied_tokens"),
         )
     )
     return mixed, report
