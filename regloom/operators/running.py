@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regloom.joins import task_count
+
 
 def running(
     rows: DataFrame,
@@ -43,7 +45,9 @@ def running(
     )
     inside = Window.partitionBy(key, "__block").orderBy(*at)
     before, after = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
-    return own.join(edge, [key, "__block"]).select(
+    # what follows may be much work on few bytes: as many tasks as the session has
+    dealt = own.repartition(task_count(rows.sparkSession), key, "__block")
+    return dealt.join(edge, [key, "__block"]).select(
         *rows.columns,
         *[(F.col(f"__edge_{n}") + F.coalesce(F.sum(f"__{n}").over(before), F.lit(0))).alias(n) for n in total],
         *[F.coalesce(F.last(f"__{n}", ignorenulls=True).over(before), F.col(f"__edge_{n}")).alias(n) for n in last],

@@ -61,7 +61,7 @@ def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clause_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause rows as (clause_id, doc, section, wording)."""
-    return table(spark, sf_dir, "directive_clauses").select("clause_id", "doc", "section", whole(F.col("language_from_directive")).alias("wording"))
+    return spread(table(spark, sf_dir, "directive_clauses")).select("clause_id", "doc", "section", whole(F.col("language_from_directive")).alias("wording"))
 
 
 #: Order of the clauses of a directive, and the block of a clause.
