@@ -85,25 +85,25 @@ def _field_pattern(name: Column, d: Column, typed: bool) -> Column:
     return F.when(name == SECTION, section).when(name.isin(*TEXT_FIELDS), text).otherwise(any_field)
 
 
-def schema_patterns(uploads: DataFrame) -> DataFrame:
-    """Adds to each upload its header names and patterns.
+def with_schema(rows: DataFrame) -> DataFrame:
+    """Replaces the column ``__upload`` (delimiter, header_line) by ``__schema``: delimiter, header names and patterns; null without an upload.
 
     ``row_pattern``: the anchored pattern of a valid row; ``shape_pattern``: the same without value
     constraints for any number of fields; ``field_patterns``: the patterns of the fields, from which ``prefix_patterns`` are made.
     """
-    d = _escaped(F.col("delimiter"))
-    names = F.col("header_names")
-    fields = F.transform(names, lambda n: _field_pattern(n, d, True))
+    delimiter = F.col("__upload.delimiter")
+    d = _escaped(delimiter)
     loose = _field_pattern(F.lit(""), d, False)
-    out = uploads.withColumn("header_names", header_fields(F.col("header_line"), F.col("delimiter"))).withColumn("field_patterns", fields)
-    fp = F.col("field_patterns")
-    return out.select(
-        *uploads.columns,
-        "header_names",
-        F.concat(F.lit(r"\A"), F.call_function("array_join", fp, d), F.lit(r"\z")).alias("row_pattern"),
+    named = rows.withColumn("__names", header_fields(F.col("__upload.header_line"), delimiter))
+    patterned = named.withColumn("__fields", F.transform("__names", lambda n: _field_pattern(n, d, True)))
+    schema = F.struct(
+        delimiter.alias("delimiter"),
+        F.col("__names").alias("header_names"),
+        F.concat(F.lit(r"\A"), F.call_function("array_join", F.col("__fields"), d), F.lit(r"\z")).alias("row_pattern"),
         F.concat(F.lit(r"\A"), loose, F.lit("(?:"), d, loose, F.lit(r")*+\z")).alias("shape_pattern"),
-        "field_patterns",
+        F.col("__fields").alias("field_patterns"),
     )
+    return patterned.withColumn("__schema", F.when(F.col("__upload").isNotNull(), schema)).drop("__upload", "__names", "__fields")
 
 
 def prefix_patterns(field_patterns: Column, delimiter: Column) -> Column:
@@ -135,10 +135,10 @@ def parse_rows(raw: DataFrame, uploads: DataFrame) -> DataFrame:
     """
     text = F.col("raw_text")
     keys = ["upload_id"]
-    meta = schema_patterns(uploads.select("upload_id", "delimiter", "header_line").dropDuplicates(keys))
-    meta = meta.select("upload_id", F.struct("delimiter", "header_names", "row_pattern", "shape_pattern", "field_patterns").alias("__schema"))
-    # rows of one schema together, so that its patterns are compiled once
-    joined = lookup_join(raw.drop("reason", "broken_field", "fields").sortWithinPartitions(*keys), meta, keys)
+    meta = uploads.select("upload_id", F.struct("delimiter", "header_line").alias("__upload")).dropDuplicates(keys)
+    # rows of one schema together, so that its patterns are compiled once; patterns are many times as long as the header
+    # they come from, so they are made beside the rows and never shipped
+    joined = with_schema(lookup_join(raw.drop("reason", "broken_field", "fields").sortWithinPartitions(*keys), meta, keys))
     s = F.col("__schema")
     n = F.size(s["header_names"])
     valid = _matches(text, s["row_pattern"])

@@ -5,6 +5,7 @@ import re
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from regloom.joins import measured_bytes
 from regloom.operators.row_parser import parse_rows, split_rows
 
 HEADER = "Section,Language from Directive,Obligation,Priority"
@@ -104,3 +105,16 @@ def test_nulls_unknown_uploads_and_empty_tables(spark):
     assert (good.count(), bad.count()) == (2, 3)
     assert parse_rows(raw.limit(0), uploads).count() == 0
     assert parse_rows(raw, uploads.limit(0)).filter("reason = 'no header'").count() == 5
+
+
+def test_patterns_are_not_part_of_the_lookup(spark, monkeypatch):
+    """What is joined to the records is the header; its patterns are thirty times as long."""
+    from regloom.operators import row_parser
+
+    widths, join = [], row_parser.lookup_join
+    monkeypatch.setattr(row_parser, "lookup_join", lambda big, small, on: (widths.append(measured_bytes(small)), join(big, small, on))[1])
+    raw = spark.createDataFrame([(1, "u", "1,a b,c d,High", None), (2, "none", "1,a,b,c", None)], RAW)
+    uploads = spark.createDataFrame([("u", ",", HEADER, None)], UPLOADS)
+    rows = {r["raw_id"]: r for r in parse_rows(raw, uploads).collect()}
+    assert rows[1]["reason"] is None and rows[1]["fields"]["Obligation"] == "c d" and rows[2]["reason"] == "no header"
+    assert widths[0] < 5 * len(HEADER)
