@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from regloom.joins import lookup_join
 from regloom.llm.lookalikes import plain_rewriter
-from regloom.session import materialise, prepare
+from regloom.session import discard, materialise, prepare
 
 FUNCTIONS, TREES, DEPTH, MIN_DEPTH = 128, 48, 8, 1
 SIMILARITY, TARGET_RECALL = 0.80, 0.9995
@@ -410,16 +410,22 @@ class NearDuplicates:
             F.min("item_id").alias("rep"), F.count("*").alias("copies"), *[F.first(k).alias(k) for k in ("n", "sig", "b0", "b1")]
         )
         self.classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-        self.members = _members(features.select("item_table", "item_id", "h0", "h1"), self.classes.select("item_table", "h0", "h1", "cid", "copies"))
+        # signatures stay with the classes only; every table goes as soon as the next one is written
+        slim = materialise(features.select("item_table", "item_id", "h0", "h1"), "rows")
+        discard(features)
+        self.members = _members(slim, self.classes.select("item_table", "h0", "h1", "cid", "copies"))
         parts = max(1, math.ceil(self.classes.count() * TREES / KEYS_PER_PART))
         parts = max(parts, min(2 * TREES, 2 * items.sparkSession.sparkContext.defaultParallelism))
         above, pairs = None, None
         while True:
             candidates = materialise(_candidates(self.classes, depth, parts, above), "candidates")
             plausible = materialise(_plausible(candidates, self.classes, similarity), "plausible")
+            discard(candidates)
             alike = materialise(_alike(plausible, self.classes, similarity), "alike")
+            discard(plausible)
             found = _verified(alike, self.classes, items, similarity)
             self.pairs = pairs = materialise(found if pairs is None else pairs.unionByName(found).distinct(), "pairs")
+            discard(alike)
             overlaps = _overlaps(pairs, self.classes)
             self.depth, self.recall = depth, _estimated_recall(overlaps, depth)
             if self.recall >= target_recall:
