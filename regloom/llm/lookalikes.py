@@ -293,7 +293,8 @@ def lookalike_pairs(items: DataFrame) -> DataFrame:
     dealt = lambda n, by: F.pmod(F.xxhash64(by), n).cast("int")
     left = forms.select(*key, F.col("raw").alias("raw_a"), blocks("n").alias("blocks_a"), dealt(blocks("forms"), "raw").alias("block"))
     right = forms.select(*key, F.col("raw").alias("raw_b"), blocks("n").alias("blocks_b"), numbers(blocks("forms")).alias("block"))
-    pairs = left.join(right, [*key, "block"]).filter("raw_a < raw_b").drop("block")
+    # the planner does not see that blocks multiply the forms of a hot look, and would send all of them to the driver
+    pairs = left.join(right.hint("merge"), [*key, "block"]).filter("raw_a < raw_b").drop("block")
     pairs = pairs.withColumn("block_a", numbers(F.col("blocks_a"))).withColumn("block_b", numbers(F.col("blocks_b")))
     placed = lookup_join(rows, forms.select(*key, "raw", blocks("n").alias("blocks")), [*key, "raw"]).withColumn("block", dealt(F.col("blocks"), "item_id"))
     side = lambda s: placed.select(*key, F.col("raw").alias(f"raw_{s}"), F.col("block").alias(f"block_{s}"), F.col("item_id").alias(f"item_{s}"))

@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 from collections import defaultdict
 
@@ -78,6 +79,20 @@ def test_hot_look_is_split(spark, monkeypatch):
     assert lookalike_pairs(items(spark, rows)).count() == 900
 
 
+def test_forms_beyond_the_limit_do_not_reach_the_driver(spark, monkeypatch):
+    """The planner goes by file sizes, which do not grow with the blocks of a hot look."""
+    from regloom import joins
+    from regloom.llm import lookalikes
+
+    monkeypatch.setattr(lookalikes, "SPLIT_ROWS", 4)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    rows = [("s", i, "a" + "\u200b" * i, "c") for i in range(30)]
+    pairs = lookalike_pairs(items(spark, rows))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[item_table#\d+, look#\d+, block#", plan)
+    assert pairs.count() == 30 * 29 // 2
+
+
 def test_canonical_passes_columns_and_nulls(spark):
     rows = [("s", 1, "аbc abc abc", "r"), ("s", 2, None, "r"), ("s", 3, "abc", None)]
     out = canonical_forms(items(spark, rows), "text", output="raw").collect()
