@@ -124,6 +124,33 @@ def test_signatures_do_not_depend_on_the_batch():
         assert (neardup.signatures([texts[i]])["sig"][0] == together[i]).all()
 
 
+def test_long_bitmaps_are_an_exact_bound():
+    """Pairs well under the limit go by their parities, whatever their lengths; no pair at the limit does."""
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 20, 300, 5000):
+        for share in (0.0, 0.4, 0.7, 0.75, 0.8, 0.9, 1.0):
+            for m in (n, n + n // 3):
+                common = min(int(share * (n + m) / 2), n)
+                pool = np.unique(rng.integers(0, 2**63, n + m - common, dtype=np.uint64))
+                x, y = pool[rng.permutation(len(pool))][:n], None
+                y = np.concatenate([x[:common], np.setdiff1d(pool, x)])
+                apart = neardup.parity_distance(neardup.parity(x), neardup.parity(y))
+                assert apart == neardup.parity_distance(neardup.parity(y), neardup.parity(x)) <= len(np.setxor1d(x, y))
+                if n >= 300 and share <= 0.7:
+                    assert apart > 0.2 * (len(x) + len(y))
+
+
+def test_multisets_of_pairs_under_the_limit_are_not_joined(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[:cut] + [f"x{k}_{i}" for i in range(300 - cut)]) for k, cut in enumerate([300] + [rng.randint(195, 210) for _ in range(20)] + [280])]
+    elements = [neardup.element_arrays([t])[0] for t in texts]
+    sets = spark.createDataFrame([(k, len(e), neardup.parity(e)) for k, e in enumerate(elements)], "cid long, n int, parity binary")
+    pairs = spark.createDataFrame([(i, j) for j in range(len(texts)) for i in range(j)], "a long, b long")
+    got = {tuple(r) for r in neardup._close(pairs, sets, 0.8).collect()}
+    assert expected(texts) == {(0, 21)} == got
+
+
 def test_an_unreachable_recall_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(neardup, "MIN_DEPTH", 8)
     base = [f"w{i}" for i in range(50)]
